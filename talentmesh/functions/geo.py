@@ -87,7 +87,7 @@ def compatible(place: Column, own: Column, wanted: Column, allow_global: Column)
     other = names_other(place, wanted)
     inside = (place != "") & in_target(place, wanted)
     worldwide = is_global(place)
-    remote = place.rlike(r"\bremote\b")
+    remote = place.rlike(r"(?U)\bremote\b")
     return (
         F.when(worldwide, allow_global & ~other)
         .when(allow_global & remote & ((own == "") | (own == wanted) | inside) & ~other,

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from talentmesh import lexicons as lex
-from talentmesh.functions.text import any_of, mask_bits, strip, text_of
+from talentmesh.functions.text import any_of, let, mask_bits, strip, text_of
 
 HIGH_MASK = mask_bits(lex.HIGH_VALUE_SKILLS, lex.SKILLS)
 LOW_MASK = mask_bits(lex.LOW_SIGNAL_SKILLS, lex.SKILLS)
@@ -25,7 +25,7 @@ def title_minimum(title: Column) -> Column:
     low = F.lower(text_of(title))
     case = F.when(any_of(low, lex.ENTRY_TITLE_TERMS), F.lit(0.0))
     for pattern, years in lex.SENIORITY_MINIMUMS:
-        case = case.when(low.rlike(pattern), F.lit(years))
+        case = case.when(low.rlike("(?U)" + pattern), F.lit(years))
     return case
 
 
@@ -41,7 +41,7 @@ def required_years(title: Column, description: Column) -> Column:
 
 
 def entry_level(title: Column) -> Column:
-    return F.lower(text_of(title)).rlike(lex.UNDERLEVEL_PATTERN)
+    return F.lower(text_of(title)).rlike("(?U)" + lex.UNDERLEVEL_PATTERN)
 
 
 def underlevel(years: Column, target: Column, title_is_entry: Column) -> Column:
@@ -92,7 +92,7 @@ def ai_alignment(title: Column) -> Column:
         F.when(any_of(padded, lex.AI_EXCLUDED_WORDS), F.lit(-65.0))
         .when(any_of(padded, lex.AI_EXACT_ROLES), F.lit(35.0))
         .when(any_of(padded, lex.AI_SCIENTIST_ROLES), F.lit(25.0))
-        .when(padded.rlike(r"\b(?:ai|llm|ml)\b") | padded.contains("machine learning"),
+        .when(padded.rlike(r"(?U)\b(?:ai|llm|ml)\b") | padded.contains("machine learning"),
               F.lit(15.0))
         .otherwise(F.lit(-45.0))
     )
@@ -204,7 +204,7 @@ def ai_title(text: Column) -> Column:
     """AI / ML wording in a listing that is not about another country."""
     low = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
     named = any_of(low, lex.AI_TITLE_WORDS)
-    loose = low.rlike(r"\bai\b") & low.rlike(lex.AI_TITLE_ROLE_PATTERN)
+    loose = low.rlike(r"(?U)\bai\b") & low.rlike("(?U)" + lex.AI_TITLE_ROLE_PATTERN)
     return ~outside_text(low) & (named | loose)
 
 
@@ -215,14 +215,16 @@ def job_like_text(text: Column) -> Column:
 def any_query(haystack: Column, queries: Column) -> Column:
     """Any query phrase, or an AI term together with a technical role."""
     padded = F.concat(F.lit(" "), haystack, F.lit(" "))
-    return F.exists(queries, lambda q: F.contains(haystack, q)) | (
+    return let(haystack, lambda h: F.exists(queries, lambda q: F.contains(h, q))) | (
         any_of(padded, lex.AI_HAYSTACK_TERMS) & any_of(haystack, lex.TECHNICAL_ROLE_TERMS)
     )
 
 
 def any_word(haystack: Column, terms: Column) -> Column:
     """Plain containment of any term; no terms means everything passes."""
-    return (F.size(terms) == 0) | F.exists(terms, lambda t: F.contains(haystack, F.lower(t)))
+    return (F.size(terms) == 0) | let(
+        haystack, lambda h: F.exists(terms, lambda t: F.contains(h, F.lower(t)))
+    )
 
 
 def listing_relevance(title: Column, target: Column) -> Column:

@@ -41,6 +41,15 @@ def explode_some(values: Column) -> Column:
     return F.explode_outer(values)
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it many times inside ``body``.
+
+    An expression written inside a lambda runs once per element; here it becomes the lambda
+    variable of a one-element array instead.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
@@ -175,7 +184,9 @@ def mask_bits(terms: Iterable[str], lexicon: Sequence[str]) -> int:
 
 def mask_to_array(mask: Column, terms: Sequence[str]) -> Column:
     """Lexicon terms of a mask, in lexicon (alphabetical) order."""
-    return F.filter(constant_array(terms), lambda t, i: F.getbit(mask, i) == 1)
+    return let(
+        mask, lambda m: F.filter(constant_array(terms), lambda t, i: F.getbit(m, i) == 1)
+    )
 
 
 def cv_text(c: Column) -> Column:

@@ -1,0 +1,13 @@
+"""Named queries over the warehouse tables."""
+
+from __future__ import annotations
+
+import importlib
+
+MODULES = ("matching_queries",)
+
+
+def load_all() -> None:
+    """Import every query module, which fills the registry."""
+    for module in MODULES:
+        importlib.import_module(f"{__name__}.{module}")
