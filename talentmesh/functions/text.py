@@ -199,20 +199,25 @@ def cv_text(c: Column) -> Column:
 _ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 
+# One constant; the optimizer folds it to a map literal.
+_NAMED = "\u001e".join(f"{n}\u001f{chr(p)}" for n, p in sorted(name2codepoint.items()))
+
+
 def _entity_value(entity: Column) -> Column:
-    names = F.create_map(
-        *[x for n, p in sorted(name2codepoint.items()) for x in (F.lit(n), F.lit(chr(p)))]
-    )
+    names = F.str_to_map(F.lit(_NAMED), F.lit("\u001e"), F.lit("\u001f"))
     body = F.substr(entity, F.lit(2), F.length(entity) - 2)
     code = F.when(
         body.rlike("^#[xX]"), F.conv(F.substr(body, F.lit(3)), 16, 10)
     ).otherwise(F.substr(body, F.lit(2)))
-    point = F.coalesce(code.try_cast("int"), F.lit(0))
-    valid = (point > 0) & (point < 0x110000) & ~point.between(0xD800, 0xDFFF)
-    numeric = F.when(
-        valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
-    ).otherwise(F.lit("\ufffd"))
-    return F.when(body.startswith("#"), numeric).otherwise(F.try_element_at(names, body))
+    numeric = let(
+        F.coalesce(code.try_cast("int"), F.lit(0)),
+        lambda point: F.when(
+            (point > 0) & (point < 0x110000) & ~point.between(0xD800, 0xDFFF),
+            F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"),
+        ).otherwise(F.lit("\ufffd")),
+    )
+    value = F.when(body.startswith("#"), numeric).otherwise(F.try_element_at(names, body))
+    return F.coalesce(value, entity)
 
 
 def unescape(c: Column) -> Column:
@@ -222,13 +227,16 @@ def unescape(c: Column) -> Column:
     ampersand last, so that ``&amp;lt;`` becomes ``&lt;`` and not ``<``. Names that only
     HTML 5 has, or that lack the semicolon, need :func:`unescape_exact`.
     """
-    found = F.array_distinct(F.regexp_extract_all(c, F.lit(_ENTITY), F.lit(0)))
-    is_amp = lambda e: F.coalesce(_entity_value(e) == "&", F.lit(False))
-    ordered = F.concat(F.filter(found, lambda e: ~is_amp(e)), F.filter(found, is_amp))
-    decoded = F.aggregate(
-        ordered, c, lambda acc, e: F.replace(acc, e, F.coalesce(_entity_value(e), e))
-    )
-    return F.when(c.contains("&"), decoded).otherwise(c)
+
+    def decoded(text: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0)))
+        valued = F.transform(
+            found, lambda e: F.struct(e.alias("e"), _entity_value(e).alias("v")))
+        ordered = F.array_sort(F.transform(
+            valued, lambda p: F.struct((p["v"] == "&").alias("last"), p["e"], p["v"])))
+        return F.aggregate(ordered, text, lambda acc, p: F.replace(acc, p["e"], p["v"]))
+
+    return let(c, lambda text: F.when(text.contains("&"), decoded(text)).otherwise(text))
 
 
 @F.pandas_udf(T.StringType())
@@ -261,8 +269,10 @@ def first_group(c: Column, pattern: str, group: int = 1) -> Column:
     return strip(F.regexp_extract(c, pattern, group))
 
 
-def attribute(tag: Column, name: str, decode=unescape) -> Column:
-    """Value of an HTML attribute, quoted either way or bare; '' when absent."""
+def attribute(tag: Column, name: str, decode=lambda c: c) -> Column:
+    """Value of an HTML attribute, quoted either way or bare; '' when absent.
+
+    Values are returned as written; pass ``unescape`` where entities may occur."""
     head = rf"(?is)\b{re.escape(name)}\s*=\s*"
     value = F.coalesce(
         F.nullif(F.regexp_extract(tag, head + r'"([^"]*)"', 1), F.lit("")),

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from talentmesh import lexicons as lex
-from talentmesh.functions.text import collapse, fold, strip, text_of, unescape
+from talentmesh.functions.text import fold, let, strip, text_of, unescape
 
 # The generic URI split of RFC 3986, appendix B.
 _PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -120,7 +120,8 @@ def _kept_pairs(q: Column, dropped: Sequence[str]) -> Column:
 
 
 def _with_query(base: Column, encoded: Column) -> Column:
-    return F.when(encoded == "", base).otherwise(F.concat(base, F.lit("?"), encoded))
+    tail = let(encoded, lambda q: F.when(q == "", q).otherwise(F.concat(F.lit("?"), q)))
+    return F.concat(base, tail)
 
 
 def vacancy_url(c: Column) -> Column:
@@ -130,20 +131,26 @@ def vacancy_url(c: Column) -> Column:
     host are lower-cased, the path keeps its case but not its trailing slashes. Text that
     is not an absolute address is only folded.
     """
-    raw = strip(text_of(c))
+    return let(strip(text_of(c)), _vacancy_url)
+
+
+def _vacancy_url(raw: Column) -> Column:
     trimmed = F.regexp_replace(path(raw), "/+$", "")
     base = F.concat(
         F.when(scheme(raw) == "", F.lit("")).otherwise(F.concat(scheme(raw), F.lit(":"))),
         F.lit("//"), netloc(raw),
         F.when(trimmed == "", F.lit("/")).otherwise(trimmed),
     )
-    full = _with_query(base, _encoded(_kept_pairs(query(raw), lex.TRACKING_KEYS_VACANCY)))
-    return F.when(netloc(raw) == "", fold(raw)).otherwise(full)
+    encoded = _encoded(_kept_pairs(query(raw), lex.TRACKING_KEYS_VACANCY))
+    return F.when(netloc(raw) == "", fold(raw)).otherwise(_with_query(base, encoded))
 
 
 def crawl_url(c: Column, decode=unescape) -> Column:
     """Canonical address for page discovery; '' when the text is no usable address."""
-    raw = strip(decode(text_of(c)))
+    return let(strip(decode(text_of(c))), _crawl_url)
+
+
+def _crawl_url(raw: Column) -> Column:
     usable = (
         (raw != "")
         & ~raw.rlike(r"(?U)\s")
@@ -155,8 +162,8 @@ def crawl_url(c: Column, decode=unescape) -> Column:
     single = F.regexp_replace(path(raw), "/+", "/")
     tidy = F.when(single.isin("", "/"), F.lit("/")).otherwise(F.regexp_replace(single, "/$", ""))
     base = F.concat(scheme(raw), F.lit("://"), netloc(raw), tidy)
-    full = _with_query(base, _encoded(_kept_pairs(query(raw), lex.TRACKING_KEYS_CRAWL)))
-    return F.when(usable, full).otherwise(F.lit(""))
+    encoded = _encoded(_kept_pairs(query(raw), lex.TRACKING_KEYS_CRAWL))
+    return F.when(usable, _with_query(base, encoded)).otherwise(F.lit(""))
 
 
 def _resolve_dots(p: Column) -> Column:
@@ -175,6 +182,10 @@ def _resolve_dots(p: Column) -> Column:
 
 def join_url(base: Column, href: Column) -> Column:
     """Resolve a reference against the address of its page."""
+    return let(href, lambda h: let(base, lambda b: _join_url(b, h)))
+
+
+def _join_url(base: Column, href: Column) -> Column:
     root = F.concat(scheme(base), F.lit("://"), netloc(base))
     base_path = F.when(path(base) == "", F.lit("/")).otherwise(path(base))
     folder = F.regexp_replace(base_path, "[^/]*$", "")
@@ -182,7 +193,8 @@ def join_url(base: Column, href: Column) -> Column:
     stem = F.regexp_extract(href, r"(?s)^([^?#]*)", 1)
 
     def dotted(p: Column) -> Column:
-        return F.when(p.rlike(r"(?:^|/)\.{1,2}(?:/|$)"), _resolve_dots(p)).otherwise(p)
+        return let(p, lambda q: F.when(
+            q.rlike(r"(?:^|/)\.{1,2}(?:/|$)"), _resolve_dots(q)).otherwise(q))
 
     return (
         F.when(href == "", base)

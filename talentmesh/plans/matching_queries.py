@@ -196,8 +196,8 @@ def portal_gate(spark: SparkSession, sf: str) -> DataFrame:
 @query("title_alignment", "F03 F04", f"""
 WITH {JOBS}, {PEOPLE}, r AS (SELECT DISTINCT target_position AS role FROM people),
 t AS (SELECT DISTINCT title, lower(title) AS low FROM jobs)
-SELECT role, title, {ck.target_alignment('role', 'low')} AS alignment,
-       {ck.ai_alignment('low')} AS ai_fit
+SELECT role, title, CAST({ck.target_alignment('role', 'low')} AS DOUBLE) AS alignment,
+       CAST({ck.ai_alignment('low')} AS DOUBLE) AS ai_fit
 FROM r CROSS JOIN t WHERE {ck.role_gate('low', 'role')} AND role <> ''
 """)
 def title_alignment(spark: SparkSession, sf: str) -> DataFrame:
