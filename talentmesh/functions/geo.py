@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentmesh import lexicons as lex
-from talentmesh.functions.text import any_of, collapse, fold, java_quote, strip, text_of
+from talentmesh.functions.text import any_of, collapse, fold, java_quote, let, strip, text_of
 
 
 def _lookup(mapping: dict[str, str], key: Column) -> Column:
@@ -133,14 +133,18 @@ def foreign_location(location: Column) -> Column:
 def evidence_place(text: Column, country: Column) -> Column:
     """Label of the first place of the country that a text mentions, else ''."""
     wanted = normal_country(country)
-    low = F.lower(text)
-    local = F.coalesce(
-        *[F.when(low.rlike(_bounded([p])), F.lit(p.title())) for p in lex.EVIDENCE_PLACES],
-        F.lit(""),
-    )
-    return (
-        F.when(wanted == "", F.lit(""))
-        .when(wanted == "sri lanka", local)
-        .when(has_place(low, wanted), F.initcap(wanted))
-        .otherwise(F.lit(""))
-    )
+
+
+    def label(low: Column) -> Column:
+        local = F.coalesce(
+            *[F.when(low.rlike(_bounded([p])), F.lit(p.title())) for p in lex.EVIDENCE_PLACES],
+            F.lit(""),
+        )
+        return (
+            F.when(wanted == "", F.lit(""))
+            .when(wanted == "sri lanka", local)
+            .when(has_place(low, wanted), F.initcap(wanted))
+            .otherwise(F.lit(""))
+        )
+
+    return let(F.lower(text), label)

@@ -11,7 +11,7 @@ from collections.abc import Iterable, Sequence
 from html.entities import name2codepoint
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,6 +50,19 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are worked out once per row and never again.
+
+    They pass through a one-row generator, below which the optimizer cannot push a filter on
+    them; otherwise each such filter would repeat the whole expression in the scan.
+    """
+    bundle = F.struct(*[c.alias(n) for n, c in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.explode_outer(F.array(bundle)).alias("__made")).select(
+        *kept, *[F.col(f"__made.{n}").alias(n) for n in columns]
+    )
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 

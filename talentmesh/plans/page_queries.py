@@ -37,7 +37,9 @@ def landed_pages(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql(LANDED_SQL, pages=views.table(spark, sf, "pages"))
 
 
-CLEAN_ENTITIES = "replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+CLEAN_ENTITIES = (
+    "replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
+)
 
 
 def clean_sql(col: str) -> str:
@@ -62,7 +64,7 @@ def page_text(spark: SparkSession, sf: str) -> DataFrame:
 @query("page_descriptions", "F12 P22", f"""
 WITH b AS (SELECT page_id, html, regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<noscript\\b.*?</noscript>|<svg\\b.*?</svg>|<nav\\b.*?</nav>|<header\\b.*?</header>|<footer\\b.*?</footer>', ' ', 'g') AS bare FROM pages),
 d AS (SELECT page_id, html, list_transform(list_concat(regexp_extract_all(bare, '(?is)<article\\b[^>]*>(.*?)</article>', 1),
-  regexp_extract_all(bare, '(?is)<body\\b[^>]*>(.*?)</body>', 1)), lambda x: {clean_sql('x')}) AS ts FROM b),
+  CASE WHEN regexp_matches(bare, '(?is)<body\\b[^>]*>.*?</body>') THEN regexp_extract_all(bare, '(?is)<body\\b[^>]*>(.*?)</body>', 1) ELSE [bare] END), lambda x: {clean_sql('x')}) AS ts FROM b),
 e AS (SELECT page_id, html, list_reduce(ts, lambda a, x: CASE WHEN length(x) > length(a) THEN x ELSE a END, '') AS description FROM d)
 SELECT page_id, description, length(description) >= 60
   AND {ck.contains_any("lower(" + clean_sql('html') + " || ' ' || description)", lex.DETAIL_SIGNALS)} AS evidence FROM e
@@ -201,7 +203,8 @@ def validated_hits(spark: SparkSession, sf: str) -> DataFrame:
 WITH {LANDED}
 SELECT page_id, CASE WHEN page_id % 4 = 3 THEN 'Colombo, Sri Lanka' ELSE '' END AS location,
   CASE WHEN page_id % 4 = 3 THEN '2024-01-20' ELSE '' END AS published,
-  page_id % 9 = 0 AS closed, CASE WHEN page_id % 4 = 3 THEN 'Sri Lanka' ELSE '' END AS place_label
+  page_id % 9 = 0 AS closed,
+  CASE page_id % 4 WHEN 3 THEN 'Sri Lanka' WHEN 0 THEN 'Colombo' ELSE '' END AS place_label
 FROM landed
 """)
 def page_evidence(spark: SparkSession, sf: str) -> DataFrame:
