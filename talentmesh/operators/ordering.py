@@ -38,16 +38,20 @@ def numbered(
     seq: str,
     name: str = "position",
     bucket: int = BUCKET,
+    fine: Sequence[Column] | None = None,
 ) -> DataFrame:
     """Exact 1-based position of every row in its group, however large the group is.
 
     ``order`` lists (column, descending) with few distinct values per group, such as a score
     to one decimal or a day; ``seq`` is the unique last key. Rows are counted per (group,
     order values, block of ``seq``), the counts are accumulated, and only blocks of at most
-    ``bucket`` sequence values are sorted.
+    ``bucket`` sequence values are sorted. With ``fine``, rows of equal order values are
+    sorted by those columns instead (an hour as the order value, the exact time as the fine
+    one), and ``seq`` is not used.
     """
     order_cols = [c for c, _ in order]
-    blocked = df.withColumn("__block", F.floor(F.col(seq) / bucket).cast("long"))
+    block = F.lit(0) if fine else F.floor(F.col(seq) / bucket)
+    blocked = df.withColumn("__block", block.cast("long"))
     cell = [*group, *order_cols, "__block"]
     sort = [F.col(c).desc_nulls_last() if d else F.col(c).asc_nulls_last() for c, d in order]
     counts = blocked.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n"))
@@ -59,7 +63,7 @@ def numbered(
         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"),
     )
     condition = [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in cell]
-    local = Window.partitionBy(*cell).orderBy(seq)
+    local = Window.partitionBy(*cell).orderBy(*(fine or [F.col(seq)]))
     placed = blocked.withColumn("__row", F.row_number().over(local)).join(starts, condition)
     return placed.withColumn(
         name, (F.col("__start") + F.col("__row")).cast("long")

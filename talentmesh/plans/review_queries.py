@@ -157,7 +157,7 @@ SELECT seq AS job_key, CASE WHEN seq % 4 = 0 THEN 'inserted' WHEN seq % 4 = 3 TH
     WHEN seq % 4 = 1 THEN CASE WHEN seq % 9 = 0 THEN 'conflict' ELSE 'unchanged' END
     ELSE CASE WHEN seq % 9 = 0 THEN 'conflict' WHEN d = 'review_failed' THEN 'retried' WHEN d = 'accepted' THEN 'unchanged' ELSE 'conflict' END END AS outcome,
   CASE WHEN seq % 4 = 2 AND seq % 9 <> 0 AND d = 'review_failed' THEN 'accepted' ELSE d END AS decision,
-  CASE WHEN seq % 4 = 0 THEN 0 WHEN seq % 4 = 2 AND seq % 9 <> 0 AND d = 'review_failed' THEN 2 ELSE 1 END AS attempt_count
+  CASE WHEN seq % 4 = 2 AND seq % 9 <> 0 AND d = 'review_failed' THEN 2 ELSE 1 END AS attempt_count
 FROM s
 """)
 def review_upsert(spark: SparkSession, sf: str) -> DataFrame:
