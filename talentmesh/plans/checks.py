@@ -264,14 +264,14 @@ pairs AS (
   LEFT JOIN gate g ON g.role = c.target_position AND g.low = f.low
 ),
 scored AS (
-  SELECT *, round(least(100.0,
+  SELECT *, round(CAST(least(100.0,
       least(12.0 * len(list_intersect(shared, [{', '.join(lit(t) for t in lex.HIGH_VALUE_SKILLS)}])), 72.0)
     + least(2.0 * len(list_intersect(shared, [{', '.join(lit(t) for t in lex.LOW_SIGNAL_SKILLS)}])), 8.0)
     + least(16.0 * len(named), 32.0) + fit
     + CASE WHEN is_ai THEN ai_fit + CASE WHEN ai_fit < 0 THEN -20.0 ELSE 0.0 END ELSE 0.0 END
     + extras
     + CASE WHEN senior AND years < 3 THEN -20.0 ELSE 0.0 END
-    + CASE WHEN under THEN -45.0 ELSE 0.0 END), 1) AS score,
+    + CASE WHEN under THEN -45.0 ELSE 0.0 END) AS DOUBLE), 1) AS score,
     CASE WHEN eligibility THEN [{lit(lex.CONCERN_ELIGIBILITY)}] ELSE CAST([] AS VARCHAR[]) END
     || CASE WHEN senior AND years < 3 THEN [{lit(lex.CONCERN_SENIORITY_YEARS)}]
             WHEN senior AND NOT cv_senior THEN [{lit(lex.CONCERN_SENIORITY_REVIEW)}]
