@@ -128,8 +128,8 @@ FROM (
               ELSE CAST('2024-02-01' AS DATE) - CAST(doc_id % 75 AS INTEGER) END AS posted
   FROM (
     SELECT doc_id, text, lang, source,
-           CAST(ascii(text) AS BIGINT) * 31 + length(split_part(text, ' ', 1)) * 7
-             + length(split_part(text, ' ', 2)) AS k
+           CAST(ascii(text) AS BIGINT) * 31 + instr(text, ' ') * 7
+             + instr(substr(text, instr(text, ' ') + 1), ' ') AS k
     FROM {{documents}}
   ) d
 ) v
@@ -150,8 +150,22 @@ FROM {{customer}}
 """
 
 
+TEXT_TABLES = ("documents", "pages")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores when the input has fewer splits than there are cores.
+
+    Text tables cost far more to work through than to move, and a small one may be a single
+    row group. A large input has many splits and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    df = configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def vacancies(spark: SparkSession, sf_dir: str) -> DataFrame:
