@@ -22,18 +22,22 @@ def content_hash(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def same_content(items: DataFrame, hash_of: Callable[[Column], Column] = content_hash) -> DataFrame:
+def same_content(
+    items: DataFrame, hash_of: Callable[[Column], Column] = content_hash, many_repeats: bool = False
+) -> DataFrame:
     """Groups of equal ``content`` among rows (id, content): id, keep_id, group_size, sha256.
 
     Groups are counted on hashes alone. Only groups with several rows have their bytes
     compared: aggregation on (hash, content) compares whole keys. Copies are spread over
     ``SALTS`` tasks first and meet as one row per salt. Contents that share a hash form
-    classes of their own, told apart by their SHA-256.
+    classes of their own, told apart by their SHA-256. Spark broadcasts the repeated hashes
+    while they are few; ``many_repeats`` says they are not, and contents are always shuffled.
     """
     hashed = stable(
         items.select("id", hash_of(F.col("content")).alias("hash"), F.sha2("content", 256).alias("sha256")), "hashes"
     )
     several = stable(hashed.groupBy("hash").count().where("count > 1").select("hash"), "repeated-hashes")
+    several = several.hint("shuffle_merge") if many_repeats else several
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")
     members = (
         items.select("id", "content", hash_of(F.col("content")).alias("hash"), salt)

@@ -59,7 +59,7 @@ def without_repeated_chunks(docs: DataFrame, window: int = WINDOW, divisor: int
     chunked = line_chunks(docs, window, divisor)
     several = chunked.where("doc_id IS NOT NULL").select("doc_id", "text_hash", F.inline("chunks")).where("n_lines > 1")
     items = several.select(F.struct("doc_id", "chunk_no", "text_hash").alias("id"), F.col("chunk").alias("content"))
-    repeats = same_content(items).where(F.col("id") != F.col("keep_id")).select("id.*")
+    repeats = same_content(items, many_repeats=True).where(F.col("id") != F.col("keep_id")).select("id.*")
     removed = repeats.groupBy("doc_id", "text_hash").agg(F.collect_set("chunk_no").alias("removed"))
     joined = chunked.join(removed, ["doc_id", "text_hash"], "left")
     gone = F.coalesce("removed", F.array().cast("array<int>"))
