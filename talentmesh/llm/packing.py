@@ -25,7 +25,7 @@ END = 0
 BLOCKS = 1024
 #: The linear program ends when its value is proven to be this close to the best.
 GAP = 0.0005
-STEPS = 800
+STEPS = 200
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PLACED = PIECES + ", sequence_id long, offset long"
 
