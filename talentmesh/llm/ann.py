@@ -21,8 +21,8 @@ from talentmesh.llm.common import stable
 SAMPLE = 20_000
 MAX_LISTS = 4_096
 #: Share of the lists that a query looks into, and the least number of lists and candidates.
-PROBE_SHARE = 0.25
-MIN_PROBES = 8
+PROBE_SHARE = 0.65
+MIN_PROBES = 16
 MIN_CANDIDATES = 64
 #: Candidates and queries that meet in one task call.
 CANDIDATE_BLOCK = 4_096
@@ -136,7 +136,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_
         return spark.createDataFrame([], schema)
     turn = rotation(width)
     sample = unit(matrix(drawn.column(0), width)) @ turn
-    lists = max(1, min(MAX_LISTS, int(total**0.5), len(sample)))
+    lists = max(1, min(MAX_LISTS, int(total**0.5 / 2), len(sample)))
     centres = fit_centres(sample, lists)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
