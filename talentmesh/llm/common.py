@@ -53,3 +53,28 @@ def body(text: str | Column = "text") -> Column:
 def fold_of(doc_id: str = "doc_id") -> Column:
     """crc32 of the id's decimal text, modulo 3; fold 1 is held out from every model."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3))
+
+
+#: Bits of a membership filter: fixed, so its size does not follow the data.
+FILTER_BITS = 1 << 22
+
+
+def maybe_among(ids: DataFrame, column: str) -> Column:
+    """A test that is true for every value of the one column of ``ids``, and rarely for others.
+
+    For thinning out a large table before a join on ``column``: the bit map is a scalar
+    subquery of fixed size, so what fails the test is not shuffled. It saturates as ``ids``
+    grows, and then only stops helping. Nulls fail.
+    """
+    name = ids.columns[0]
+    slot = F.pmod(F.xxhash64(ids[name].cast("long")), F.lit(FILTER_BITS))
+    bits = ids.where(ids[name].isNotNull()).select(slot.alias("slot"))
+    words = bits.groupBy((F.col("slot") / 64).cast("long").alias("at")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(slot % 64 AS INT))")).alias("word")
+    )
+    every = ids.sparkSession.range(FILTER_BITS // 64).join(F.broadcast(words), F.col("id") == F.col("at"), "left")
+    pairs = F.sort_array(F.collect_list(F.struct("id", F.coalesce("word", F.lit(0)).cast("long").alias("word"))))
+    bitmap = every.agg(F.transform(pairs, lambda x: x.word).alias("bits")).scalar()
+    own = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(FILTER_BITS))
+    word = F.element_at(bitmap, (F.floor(own / 64) + 1).cast("int"))
+    return F.coalesce(F.getbit(word, (own % 64).cast("int")) == 1, F.lit(False)) & F.col(column).isNotNull()
