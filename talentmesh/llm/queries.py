@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentmesh.llm import ann, exact, jaccard, langid, lines, packing, sharding
+from talentmesh.llm import ann, exact, jaccard, langid, lines, packing, sharding, suffixdedup
 from talentmesh.llm.common import table
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,11 @@ FROM f GROUP BY doc_id
 """
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffixdedup.without_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -95,6 +100,7 @@ QUERIES: dict[str, Runner] = {
     "op2_nearest": op2_nearest,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_line_dedup": op4_line_dedup,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_language_id": op7_language_id,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_sharding": op10_sharding,
