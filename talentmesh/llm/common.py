@@ -78,3 +78,18 @@ def maybe_among(ids: DataFrame, column: str) -> Column:
     own = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(FILTER_BITS))
     word = F.element_at(bitmap, (F.floor(own / 64) + 1).cast("int"))
     return F.coalesce(F.getbit(word, (own % 64).cast("int")) == 1, F.lit(False)) & F.col(column).isNotNull()
+
+
+def without(docs: DataFrame, dropped: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
+    """``docs`` less the documents whose doc_id is in ``dropped``, columns as they came.
+
+    Of the documents in ``repeated`` one row stays. Both tables have the one column doc_id,
+    without nulls. Only rows that may be meant are moved.
+    """
+    dropped = dropped.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    gone = maybe_among(dropped, "doc_id")
+    stay = docs.where(~gone).unionByName(docs.where(gone).join(dropped, "doc_id", "left_anti").select(docs.columns))
+    if repeated is None:
+        return stay
+    again = maybe_among(repeated, "doc_id")
+    return stay.where(~again).unionByName(stay.where(again).dropDuplicates(["doc_id"]))

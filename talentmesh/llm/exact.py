@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talentmesh.llm.common import WHITE_SPACE, body, shuffle_partitions, stable
+from talentmesh.llm.common import WHITE_SPACE, body, shuffle_partitions, stable, without
 
 #: Tasks over which the copies of one text are spread before their bytes meet.
 SALTS = 16
@@ -77,6 +77,7 @@ def exact_groups(docs: DataFrame, hash_of: Callable[[Column], Column] = content_
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, columns as they came."""
-    kept = exact_groups(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """``docs`` with one document of each group of equal texts, columns as they came; a doc_id stays once."""
+    decided = stable(exact_groups(docs).select("doc_id", "kept").where("doc_id IS NOT NULL"), "exact-decisions")
+    again = decided.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    return without(docs, decided.where("NOT kept").select("doc_id"), stable(again, "repeated-rows"))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talentmesh.llm.common import body, maybe_among, shuffle_partitions, stable
+from talentmesh.llm.common import body, maybe_among, shuffle_partitions, stable, without
 from talentmesh.llm.components import components
 
 WORDS = 5
@@ -303,5 +303,5 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with the smallest doc_id of each component, columns as they came."""
-    kept = similar_documents(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    others = similar_documents(docs).where("doc_id <> component_id").select("doc_id")
+    return without(docs, stable(others, "near-copies"))

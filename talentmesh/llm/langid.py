@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talentmesh.llm.common import body, fold_of, stable
+from talentmesh.llm.common import body, fold_of, stable, without
 
 #: Training text: rows a language, and characters a language, at most.
 TRAIN_ROWS = 64
@@ -227,5 +227,5 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 def with_language(docs: DataFrame) -> DataFrame:
     """``docs`` without the texts in which no language can be told, columns as they came."""
-    known = identify(docs).where(F.col("lang_pred") != NO_LANGUAGE).select("doc_id").distinct()
-    return docs.join(known, docs["doc_id"].eqNullSafe(known["doc_id"]), "left_semi")
+    decided = identify(docs).where((F.col("lang_pred") == NO_LANGUAGE) & F.col("doc_id").isNotNull())
+    return without(docs, stable(decided.select("doc_id"), "no-language"))

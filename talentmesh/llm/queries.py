@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentmesh.llm import ann, exact, jaccard, langid, lines, packing, sharding, suffixdedup
+from talentmesh.llm import ann, bpe, exact, jaccard, langid, lines, packing, quality, sharding, suffixdedup
 from talentmesh.llm.common import table
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +60,11 @@ FROM f GROUP BY doc_id
 """
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffixdedup.without_repeats(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -91,6 +97,12 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN r ON r.a = d.doc_id GROUP BY d.
 """
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``source`` is the host; its documents in one language are the path."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.judge(docs, labels, F.col("source"), F.col("lang"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placements(table(spark, sf_dir, "documents"))
 
@@ -100,9 +112,14 @@ QUERIES: dict[str, Runner] = {
     "op2_nearest": op2_nearest,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_line_dedup": op4_line_dedup,
+    "op5_bpe": op5_bpe,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_language_id": op7_language_id,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL, "op8_jaccard_join": OP8_SQL}
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

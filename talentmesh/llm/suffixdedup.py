@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talentmesh.llm.common import body, maybe_among, shuffle_partitions, stable
 from talentmesh.llm.suffixsort import suffix_array
@@ -281,41 +282,67 @@ def removed_runs(spans: list[dict], length: int = LENGTH) -> list[tuple[int, int
     return [tuple(r) for r in out]
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def whole_characters(data: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs of UTF-8 bytes shrunk to the characters that lie in them whole."""
+    out = []
+    for lo, hi in runs:
+        while lo < hi and data[lo] & 0xC0 == 0x80:
+            lo += 1
+        while lo < hi < len(data) and data[hi] & 0xC0 == 0x80:
+            hi -= 1
+        out.append((lo, hi))
+    return out
+
+
+def without_repeats(docs: DataFrame, characters: bool = False) -> DataFrame:
     """Every document less the bytes that a repeated string of LENGTH bytes covers.
 
     Returns one row per input row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs),
-    kept (the remaining bytes). Null text is empty. Only doc_id and text are read. Rows that
-    repeat doc_id and text repeat each other's strings, so all of both goes, if long enough;
-    rows that share a doc_id with other text are kept apart by a hash of the text. An empty
-    table gives an empty result. Contexts are compared by 128-bit hash, slices byte by byte.
+    kept (the remaining bytes), rest (the other columns, whatever their names). With
+    ``characters`` a character goes only if all its bytes do, so that ``kept`` is text. Null
+    text is empty. Rows that repeat doc_id and text repeat each other's strings, so all of both
+    goes, if long enough; rows that share a doc_id with other text are kept apart by a hash of
+    the text. An empty table gives an empty result. Contexts are compared by 128-bit hash,
+    slices byte by byte.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body()).alias("mark"), body().alias("text"))
+    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct(*others) if others else F.lit(None).cast("string")
+    texts = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body()).alias("mark"), body().alias("text"), rest.alias("rest")
+    )
     ranges = stable(repeated_ranges(texts), "ranges")
     hit = maybe_among(ranges.select("mark"), "mark")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
-    raw = F.col("text").cast("binary")
-    zero = F.lit(0).cast("long")
-    untouched = texts.where(~hit).select("doc_id", F.octet_length(raw).cast("long"), zero, zero, raw)
+    schema = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept binary").add(texts.schema["rest"])
+    raw, zero = F.col("text").cast("binary"), F.lit(0).cast("long")
+    untouched = texts.where(~hit).select("doc_id", F.octet_length(raw).cast("long"), zero, zero, raw, "rest")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text, spans in zip(*(batch.column(n) for n in ("doc_id", "text", "spans")), strict=True):
+            for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
                 data, at, kept = text.as_py().encode("utf-8", "surrogatepass"), 0, []
                 gone = removed_runs(spans.as_py() or [])
+                gone = whole_characters(data, gone) if characters else gone
                 for lo, hi in gone:
                     kept.append(data[at:lo])
                     at = hi
                 kept.append(data[at:])
-                out.append((doc_id.as_py(), len(data), sum(hi - lo for lo, hi in gone), len(gone), b"".join(kept)))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
-            )
+                out.append((len(data), sum(hi - lo for lo, hi in gone), len(gone), b"".join(kept)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            columns = list(zip(*out, strict=True)) if out else [[]] * 4
+            made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made, batch.column("rest")], schema.names)
 
     maybe = texts.where(hit)
     joined = maybe.join(ranges, maybe["doc_id"].eqNullSafe(ranges["doc_id"]) & (maybe["mark"] == ranges["mark"]), "left")
-    touched = joined.select(maybe["doc_id"], "text", "spans").mapInArrow(remove, schema)
+    touched = joined.select(maybe["doc_id"], "text", "spans", "rest").mapInArrow(remove, schema)
     return touched.union(untouched)
+
+
+def remaining_texts(docs: DataFrame) -> DataFrame:
+    """``docs`` with what is left of each text, columns as they came; n_chars, if there, counts what is left."""
+    done = without_repeats(docs, characters=True).withColumn("text", F.col("kept").cast("string"))
+    made = {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return done.select(*[made.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
