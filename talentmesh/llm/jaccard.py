@@ -30,8 +30,8 @@ SKETCH = (2, 1 << 16)
 REMEMBERED = 400_000
 #: Entries of a list that are skipped or compared together.
 BLOCK = 256
-#: Likely links of each set that are tried before the whole lists are.
-TRIES = 2
+#: Rounds in which each set tries the pivot it shares most lists with, before all pairs across components.
+TURNS = 3
 
 
 class _WordHashes(dict):
@@ -136,24 +136,21 @@ def prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
     )
 
 
-def _whole_lists(batches: Iterator[pa.RecordBatch], whole: bool = True) -> Iterator[dict[str, np.ndarray]]:
-    """Columns of rows sorted by token, cut between lists (also inside them unless ``whole``)."""
+def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of rows sorted by token, cut between lists."""
     held: list[dict[str, np.ndarray]] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         part = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names}
-        if whole:
-            change = np.flatnonzero(part["token"][1:] != part["token"][:-1])
-            if held and not len(change) and part["token"][0] == held[-1]["token"][-1]:
-                held.append(part)
-                continue
-            cut = int(change[-1]) + 1 if len(change) else 0
-            held.append({n: c[:cut] for n, c in part.items()})
-            yield {n: np.concatenate([h[n] for h in held]) for n in part}
-            held = [{n: c[cut:] for n, c in part.items()}]
-        else:
-            yield part
+        change = np.flatnonzero(part["token"][1:] != part["token"][:-1])
+        if held and not len(change) and part["token"][0] == held[-1]["token"][-1]:
+            held.append(part)
+            continue
+        cut = int(change[-1]) + 1 if len(change) else 0
+        held.append({n: c[:cut] for n, c in part.items()})
+        yield {n: np.concatenate([h[n] for h in held]) for n in part}
+        held = [{n: c[cut:] for n, c in part.items()}]
     if held:
         yield {n: np.concatenate([h[n] for h in held]) for n in held[0]}
 
@@ -165,23 +162,55 @@ def _runs(token: np.ndarray) -> Iterator[tuple[int, int]]:
             yield lo, hi
 
 
-def _pairs_schema(a: np.ndarray, b: np.ndarray, votes: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(votes)], ["a", "b", "votes"])
+def _distinct_pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, votes): each set with the first set of its list, counted over lists."""
-    for part in _whole_lists(batches, whole=False):
-        token, node, size = part["token"], part["node"], part["size"]
-        first = np.concatenate([[True], token[1:] != token[:-1]])
-        lead = np.maximum.accumulate(np.where(first, np.arange(len(token)), 0))
-        fits = ~first & (100 * size[lead].astype(np.int64) >= PERCENT * size)
-        pairs, votes = np.unique(np.stack([node[lead][fits], node[fits]], axis=1), axis=0, return_counts=True)
-        yield _pairs_schema(pairs[:, 0], pairs[:, 1], votes)
+    """(a, b, turn, votes): each set with the pivot of its list, another pivot each turn, counted over lists.
+
+    The first pivot is the set that stands in most lists: an original stands in more of them
+    than what was made from it. Then the same among a half of the sets, then one drawn by hash.
+    """
+
+    def counted(held: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        token, node, size, degree = (np.concatenate([h[n] for h in held]) for n in ("token", "node", "size", "degree"))
+        edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        members = np.diff(np.concatenate([edges, [len(token)]]))
+        size = size.astype(np.int64)
+        for turn in range(TURNS):
+            draw = (node.astype(np.uint64) + np.uint64(turn * 7919 + 1)) * np.uint64(0x9E3779B97F4A7C15)
+            draw = (draw ^ draw >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(24)
+            if turn < 2:
+                rare = np.maximum((1 << 20) - degree, 0).astype(np.uint64)
+                draw = (draw & np.uint64(turn)) << np.uint64(62) | rare << np.uint64(40) | draw
+            least = np.repeat(np.minimum.reduceat(draw, edges), members)
+            pivot = np.zeros(len(token), dtype=np.int64)
+            pivot[edges] = np.flatnonzero(draw == least)[np.searchsorted(np.flatnonzero(draw == least), edges)]
+            pivot = np.repeat(pivot[edges], members)
+            fits = (node != node[pivot]) & (100 * np.minimum(size, size[pivot]) >= PERCENT * np.maximum(size, size[pivot]))
+            a, b = node[pivot][fits], node[fits]
+            code = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.astype(np.uint64)
+            _, first, votes = np.unique(code, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a[first]), pa.array(b[first]), pa.array(np.full(len(first), turn, np.int32)), pa.array(votes)],
+                ["a", "b", "turn", "votes"],
+            )
+
+    held: list[dict[str, np.ndarray]] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append({n: batch.column(n).to_numpy() for n in ("token", "node", "size", "degree")})
+        if sum(len(h["token"]) for h in held) > 1_000_000:
+            yield from counted(held)
+            held = []
+    if held:
+        yield from counted(held)
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, votes): pairs of a list that lie in two components and may be similar."""
+    """(a, b): pairs of a list that lie in two components and may be similar."""
     for part in _whole_lists(batches):
         out_a, out_b, held = [], [], 0
         for lo, hi in _runs(part["token"]):
@@ -214,12 +243,10 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out_b.append(np.maximum(node[x][p], node[y][q]))
                     held += len(p)
                     if held > 500_000:
-                        pairs, votes = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], 1), axis=0, return_counts=True)
-                        yield _pairs_schema(pairs[:, 0], pairs[:, 1], votes)
+                        yield _distinct_pairs(out_a, out_b)
                         out_a, out_b, held = [], [], 0
         if held:
-            pairs, votes = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], 1), axis=0, return_counts=True)
-            yield _pairs_schema(pairs[:, 0], pairs[:, 1], votes)
+            yield _distinct_pairs(out_a, out_b)
 
 
 def linked(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
@@ -246,6 +273,15 @@ def linked(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     return stable(both.mapInArrow(compare, "a long, b long"), name)
 
 
+def _apart(pairs: DataFrame, stars: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) that ``stars`` does not hold in one component, each once."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for side in ("a", "b"):
+        of = stars.select(F.col("u").alias(side), F.col("v").alias(f"{side}_root"))
+        pairs = pairs.join(of, side, "left")
+    return pairs.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+
+
 def similar_documents(docs: DataFrame) -> DataFrame:
     """The component of every document under links of Jaccard similarity 0.75 or more.
 
@@ -275,21 +311,25 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     )
     entries = sole.select("node", "size", F.posexplode("tokens").alias("pos", "token")).select("token", "node", "size", "pos")
     shared = entries.withColumn("n", F.count("*").over(Window.partitionBy("token"))).where("n > 1").drop("n")
-    lists = stable(shared.sortWithinPartitions("token", "size", "node"), "lists")
-
-    votes = lists.mapInArrow(_likely, "a long, b long, votes long").groupBy("a", "b").agg(F.sum("votes").alias("votes"))
-    nth = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("votes"), "a"))
-    likely = stable(votes.where("a <> b").withColumn("nth", nth).where(F.col("nth") <= TRIES).select("a", "b"), "likely")
-    links = linked(likely, docs, "likely-links")
-    stars = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    shared = stable(shared, "shared-entries")
+    degree = shared.groupBy("node").agg(F.count("*").alias("degree"))
+    lists = shared.join(degree, "node").repartition(shuffle_partitions(spark), "token").sortWithinPartitions("token")
+    lists = stable(lists.select("token", "node", "size", "pos", "degree"), "lists")
+
+    votes = lists.mapInArrow(_likely, "a long, b long, turn int, votes long").groupBy("turn", "a", "b").agg(F.sum("votes").alias("votes"))
+    nth = F.row_number().over(Window.partitionBy("b", "turn").orderBy(F.desc("votes"), "a"))
+    likely = stable(votes.withColumn("nth", nth).where("nth = 1").select("turn", "a", "b"), "likely")
+    stars = spark.createDataFrame([], "u long, v long")
+    for turn in range(TURNS):
+        pairs = _apart(likely.where(F.col("turn") == turn), stars)
+        links = linked(pairs, docs, f"links-{turn}")
+        stars = components(stars.union(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
     grouped = lists.join(stars.select(F.col("u").alias("node"), F.col("v").alias("comp")), "node", "left")
     grouped = grouped.select("token", "node", "size", "pos", F.coalesce("comp", "node").alias("comp"))
     open_lists = grouped.repartition(shuffle_partitions(spark), "token").sortWithinPartitions("token")
-    across = open_lists.mapInArrow(_across, "a long, b long, votes long").select("a", "b").distinct()
-    tried = likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = linked(across.join(tried, ["a", "b"], "left_anti"), docs, "more-links")
-    every = links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    more = linked(open_lists.mapInArrow(_across, "a long, b long").distinct(), docs, "links-across")
+    every = stars.union(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
     roots = components(every)
 
     placed = same.join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
