@@ -32,7 +32,11 @@ NO_LANGUAGE = "und"
 
 @dataclass(frozen=True)
 class Model:
-    """``steps[base[l] + state * classes + symbol]`` is twice the next state, plus 1 if a phrase ends."""
+    """``steps[base[l] + state * classes + symbol]`` is 4 times the next state plus the phrases that end.
+
+    State 0 is between phrases. A symbol that leads nowhere ends the phrase before it and opens
+    the next one, or is a phrase by itself if the language has no such symbol.
+    """
 
     languages: list[str]
     symbol: np.ndarray
@@ -103,9 +107,11 @@ def fit(texts: dict[str, list[str]]) -> Model:
     for language in languages:
         text = np.concatenate([symbols("\n" + t, symbol) for t in texts[language]])
         table = suffix_automaton(text, classes)
-        ends = table < 0
-        again = np.where(table[0] < 0, 0, table[0])  # the symbol that ends a phrase opens the next one
-        step = np.where(ends, again[None, :], table) * 2 + ends
+        unseen = table[0] < 0
+        again = np.where(unseen, 0, table[0])
+        ends = np.where(table < 0, 1 + unseen[None, :], 0)
+        ends[0] = unseen
+        step = np.where(table < 0, again[None, :], table) * 4 + ends
         base.append(at)
         steps.append(step.astype(np.int32).ravel())
         weight.append(np.log2(max(2, len(text))))
@@ -138,9 +144,9 @@ def phrases(model: Model, texts: list[str]) -> np.ndarray:
         if not n:
             break
         step = model.steps[base + state[:, :n] * model.classes + columns[t, :n]]
-        count[:, :n] += step & 1
-        state[:, :n] = step >> 1
-    count += lengths > 0
+        count[:, :n] += step & 3
+        state[:, :n] = step >> 2
+    count += state > 0
     total = np.zeros((len(texts), n_languages))
     np.add.at(total, owner_of, count.T)
     size = np.bincount(np.array(owner), weights=[len(c) for c in cut], minlength=len(texts))
