@@ -13,6 +13,7 @@ from talentmesh.operators import audit, dedupe, reports
 from talentmesh.plans import checks as ck
 from talentmesh.plans import views
 from talentmesh.plans.registry import query
+from talentmesh.session import durable_cut
 
 JOBS = views.vacancy_cte()
 
@@ -62,18 +63,51 @@ def one_per_address(spark: SparkSession, sf: str) -> DataFrame:
         "seq", "source_id", "source", "title", F.md5("description").alias("body"))
 
 
-@query("near_copies", "J04 O06")
+ANONYMOUS = ", ".join(ck.lit(c) for c in lex.ANONYMOUS_COMPANIES)
+NEAR = f"""near_rows AS (
+  SELECT first_seq AS seq, source, source_id, title, company, rich1, rich2,
+    {ck.identity('title')} || '|' || {ck.identity('company')} AS ident, {ck.identity('location')} AS place,
+    list_distinct(string_split({ck.identity('description')}, ' ')) AS toks,
+    {ck.identity('title')} <> '' AND {ck.identity('company')} <> '' AND {ck.identity('company')} NOT IN ({ANONYMOUS})
+      AND length({ck.identity('description')}) >= 80 AS fit
+  FROM unique_urls),
+near_links AS (
+  SELECT a.seq AS a, b.seq AS b FROM near_rows a JOIN near_rows b ON a.ident = b.ident AND a.seq <> b.seq AND a.fit AND b.fit
+  WHERE (lower(a.source) <> lower(b.source) OR lower(a.source_id) = lower(b.source_id))
+    AND (a.place = '' OR b.place = '' OR contains(a.place, b.place) OR contains(b.place, a.place))
+    AND 5 * len(list_intersect(a.toks, b.toks)) >= 4 * least(len(a.toks), len(b.toks))),
+reach AS (SELECT seq AS a, seq AS b FROM near_rows UNION SELECT reach.a, near_links.b FROM reach JOIN near_links ON near_links.a = reach.b),
+roots AS (SELECT a AS seq, min(b) AS root FROM reach GROUP BY a),
+led AS (SELECT n.*, root, first_value(seq) OVER (PARTITION BY root ORDER BY rich1 DESC, rich2 DESC, seq) AS leader
+        FROM near_rows n JOIN roots USING (seq))"""
+
+
+def distinct_addresses(spark: SparkSession, sf: str) -> DataFrame:
+    return durable_cut(dedupe.one_per_url(views.vacancies(spark, sf)))
+
+
+@query("near_copies", "J04 O06", f"""
+WITH RECURSIVE {JOBS}, {SAME_URL}, {NEAR} SELECT seq, leader FROM led WHERE seq <> leader
+""")
 def near_copies(spark: SparkSession, sf: str) -> DataFrame:
-    unique = dedupe.one_per_url(views.vacancies(spark, sf))
-    return dedupe.near_duplicates(unique)
+    return dedupe.near_duplicates(distinct_addresses(spark, sf))
 
 
-@query("unique_vacancies", "W03 J04")
+@query("unique_vacancies", "W03 J04", f"""
+WITH RECURSIVE {JOBS}, {SAME_URL}, {NEAR}
+SELECT root AS seq, source, source_id, title, company FROM led WHERE seq = leader
+""")
 def unique_vacancies(spark: SparkSession, sf: str) -> DataFrame:
     return dedupe.unique_vacancies(views.vacancies(spark, sf)).select(
         "seq", "source", "source_id", "title", "company")
 
 
+@query("near_copies_in_order", "W03")
+def near_copies_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The order-dependent groups; no SQL, tests compare them with a plain loop."""
+    return dedupe.near_duplicates(distinct_addresses(spark, sf), in_order=True)
+
+
 def decided_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Vacancies with the decision stored for them: labelled rows are reviewed."""
     labels = views.table(spark, sf, "labels")

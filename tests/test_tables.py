@@ -27,39 +27,67 @@ def test_url_variants_and_near_copy(spark):
     assert [(r.seq, r.source) for r in got] == [(1, "Syndicator"), (5, "D")]
 
 
-def _leaders(rows):
-    """Richest first; join the first leader that is similar."""
-    order = sorted(rows, key=lambda r: (-len(r["d"]), -(len(r["t"]) + 4), r["seq"]))
-    leads, out = [], {}
-    for r in order:
-        for lead in leads:
-            a, b = set(r["d"].split()), set(lead["d"].split())
-            if lead["t"] == r["t"] and len(a & b) >= 0.8 * min(len(a), len(b)):
-                out[r["seq"]] = lead["seq"]
-                break
-        else:
-            leads.append(r)
+def _alike(a, b):
+    x, y = set(a["d"].split()), set(b["d"].split())
+    return a["t"] == b["t"] and a["s"] != b["s"] and len(x & y) >= 0.8 * min(len(x), len(y))
+
+
+def _rich(r):
+    return len(r["d"]), len(r["t"]) + 4
+
+
+def _components(rows):
+    """All that links reach is one group; the richest, then the first, leads."""
+    root = {r["seq"]: r["seq"] for r in rows}
+    for a in rows:
+        for b in rows:
+            if _alike(a, b):
+                old, new = root[a["seq"]], root[b["seq"]]
+                root = {k: new if v == old else v for k, v in root.items()}
+    out = {}
+    for r in rows:
+        mine = [x for x in rows if root[x["seq"]] == root[r["seq"]]]
+        lead = min(mine, key=lambda x: (-_rich(x)[0], -_rich(x)[1], x["seq"]))
+        if lead["seq"] != r["seq"]:
+            out[r["seq"]] = lead["seq"]
     return out
 
 
-@pytest.mark.parametrize("per_round", [2, 128])
-def test_near_duplicates_match_brute_force(spark, per_round):
+def _in_order(rows):
+    """A row joins the first group whose representative it resembles and leads it if richer."""
+    groups, joined = [], {}
+    for r in rows:
+        at = next((g for g, lead in enumerate(groups) if _alike(lead, r)), None)
+        if at is None:
+            at = len(groups)
+            groups.append(r)
+        elif _rich(r) > _rich(groups[at]):
+            groups[at] = r
+        joined[r["seq"]] = at
+    return {seq: groups[g]["seq"] for seq, g in joined.items() if groups[g]["seq"] != seq}
+
+
+@pytest.mark.parametrize("in_order", [False, True])
+def test_near_duplicates_match_brute_force(spark, in_order):
     rng = random.Random(7)
     vocab = [f"tok{i}" for i in range(60)]
     rows = []
     for seq in range(60):
         base = random.Random(seq % 6).sample(vocab, 30)
         words = [w if rng.random() > 0.12 else rng.choice(vocab) for w in base]
-        rows.append({"seq": seq, "t": f"Role {seq % 2}", "d": " ".join(words)})
+        if seq in (20, 33, 47):
+            words = rows[seq - 12]["d"].split()
+        rows.append({"seq": seq, "t": f"Role {seq % 2}", "d": " ".join(words), "s": f"s{seq % 25}"})
     df = spark.createDataFrame(
-        [job(r["seq"], title=r["t"], description=r["d"], source=f"s{r['seq']}") for r in rows], JOB)
-    got = {r.seq: r.leader for r in dedupe.near_duplicates(df, per_round).collect()}
-    assert got == _leaders(rows)
+        [job(r["seq"], title=r["t"], description=r["d"], source=r["s"]) for r in rows], JOB).repartition(5)
+    got = {r.seq: r.leader for r in dedupe.near_duplicates(df, in_order).collect()}
+    assert got == (_in_order if in_order else _components)(rows)
 
 
-def test_one_hot_block_keeps_every_row(spark):
+@pytest.mark.parametrize("in_order", [False, True])
+def test_one_hot_block_keeps_every_row(spark, in_order):
     rows = [job(i, title="Cook", source=f"s{i}", description=LONG, url=f"https://x.test/{i}") for i in range(300)]
-    got = dedupe.near_duplicates(spark.createDataFrame(rows, JOB).repartition(7), 4).collect()
+    got = dedupe.near_duplicates(spark.createDataFrame(rows, JOB).repartition(7), in_order).collect()
     assert len(got) == 299 and {r.leader for r in got} == {0}
 
 
