@@ -33,7 +33,7 @@ def required_years(title: Column, description: Column) -> Column:
     """Largest of the years a title implies and the years a text asks for."""
     text = F.lower(F.concat(text_of(title), F.lit(". "), text_of(description)))
     found = [
-        F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda y: y.cast("double"))
+        F.transform(F.regexp_extract_all(text, F.lit("(?U)" + p), F.lit(1)), lambda y: y.try_cast("double"))
         for p in lex.YEARS_PATTERNS
     ]
     stated = F.array_max(F.filter(F.concat(*found), lambda y: y <= 60))

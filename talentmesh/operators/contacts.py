@@ -113,7 +113,7 @@ def result_leads(results: DataFrame, country: str, include_personal: bool = Fals
     ).select(
         "company", F.col("p.name").alias("contact_name"), F.col("p.role").alias("title"),
         F.lit("").alias("email"), F.lit("").alias("email_type"), F.col("link").alias("profile_url"),
-        *[c.alias(n) for n, c in common.items()], F.substring("snippet", 1, 300).alias("evidence"),
+        *[c.alias(n) for n, c in common.items()], F.col("snippet").alias("evidence"),
         F.lit("public_linkedin_result").alias("confidence"), F.col("seq"))
     text = F.concat_ws("\n", "title", "snippet")
     mails = shaped.select(
@@ -122,7 +122,7 @@ def result_leads(results: DataFrame, country: str, include_personal: bool = Fals
         "company", F.lit("").alias("contact_name"), F.lit(EMAIL_TITLE).alias("title"),
         F.col("mail").alias("email"), email_type(F.col("mail")).alias("email_type"),
         F.lit("").alias("profile_url"), *[c.alias(n) for n, c in common.items()],
-        F.substring(text, 1, 300).alias("evidence"), F.lit("public_email").alias("confidence"),
+        text.alias("evidence"), F.lit("public_email").alias("confidence"),
         (F.col("seq") + F.col("n") + 1).alias("seq"))
     return profiles.unionByName(mails)
 

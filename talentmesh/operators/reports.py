@@ -38,14 +38,15 @@ def all_jobs_report(jobs: DataFrame) -> DataFrame:
     )
 
 
-def matches_report(matches: DataFrame) -> DataFrame:
-    """Related or final matches: score, posting, evidence and decision."""
+def related_report(matches: DataFrame) -> DataFrame:
+    """Related vacancies before any review: score, posting and evidence, no decision."""
     return matches.select(
         F.col("score").alias("match_score"), "title", "company", "location", "source",
         F.col("published_raw").alias("published_at"),
+        _stamp("fetched_at").alias("fetched_at_utc"),
+        _yes_no("detail_page_verified").alias("detail_page_verified"),
         F.array_join("matched_skills", ", ").alias("matched_skills"),
         F.array_join("concerns", " ").alias("concerns"),
-        F.col("decision").alias("decision"), F.col("reason").alias("reason"),
         F.col("url").alias("apply_url"),
     )
 
@@ -148,6 +149,11 @@ def append_reviews(reviews: DataFrame, path: str) -> None:
     reviews.write.mode("append").partitionBy("context_hash").parquet(path)
 
 
+def load_reviews(spark, path: str, contexts: list[str]) -> DataFrame:
+    """Stored decisions of some contexts; other folders are not read."""
+    return spark.read.parquet(path).where(F.col("context_hash").isin(*contexts))
+
+
 def file_manifest(df: DataFrame, run_key: str, known: DataFrame | None = None) -> DataFrame:
     """Kind, size and digest of result files, without those already recorded.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("matching_queries", "clean_queries", "cv_queries", "page_queries", "source_queries", "review_queries", "inventory_queries", "stream_queries")
+MODULES = ("matching_queries", "clean_queries", "cv_queries", "page_queries", "source_queries", "review_queries", "inventory_queries", "stream_queries", "sink_queries")
 
 
 def load_all() -> None:

@@ -144,23 +144,68 @@ def feed_errors(spark: SparkSession, sf: str) -> DataFrame:
     return feeds.parse_errors(_paged(spark, sf).withColumn("payload", cut))
 
 
+def _job_ad(seq: F.Column) -> F.Column:
+    """``jobAd.sections.*.text`` of a posting."""
+    text = lambda c: F.struct(c.alias("text"))
+    sections = F.create_map(F.lit("a"), text(F.lit("<p>Duty one.</p>")), F.lit("b"),
+                            text(F.concat(F.lit("<div>Bring "), seq, F.lit(".</div>"))))
+    return F.struct(sections.alias("sections")).alias("jobAd")
+
+
+@query("ats_details", "S05", f"""
+WITH {JOBS} SELECT 'job-' || seq AS sid, CASE WHEN seq % 4 = 0 THEN '' ELSE 'Duty one. Bring ' || seq || '.' END AS description,
+  seq % 4 <> 0 AS verified FROM jobs WHERE seq % 3 <> 0
+""")
+def ats_details(spark: SparkSession, sf: str) -> DataFrame:
+    """A listing without texts, and a detail payload for three postings in four, joined by id."""
+    seq, name = F.col("seq"), "IFS Sri Lanka Careers"
+    item = F.struct(
+        F.concat(F.lit("job-"), seq).alias("id"), F.col("title").alias("name"),
+        F.struct(F.when(seq % 3 == 0, F.lit("se")).otherwise(F.lit("LK")).alias("country"),
+                 F.lit("Colombo").alias("fullLocation")).alias("location"))
+    listed = feeds.parse_feed(_landed(spark, sf, name, item, "jobs"), feeds.FEEDS[name])
+    landed = views.vacancies(spark, sf).where(seq % 4 != 0).select(
+        F.lit(name).alias("source"), F.to_json(F.struct(F.concat(F.lit("job-"), seq).alias("id"), _job_ad(seq))).alias("payload"))
+    rows = feeds.with_ats_details(listed, feeds.ats_details(landed))
+    return rows.select(F.col("source_id").alias("sid"), "description", F.col("detail_page_verified").alias("verified"))
+
+
+@query("source_fan_in", "O04 S18", f"""
+WITH {JOBS}, parts AS (
+  SELECT 0 AS rank, 'Acumatica Sri Lanka Careers' AS source, 'job-' || seq AS sid, seq FROM jobs WHERE seq % 3 <> 0
+  UNION ALL SELECT 1, 'Rootcode Careers', CAST(seq AS VARCHAR), seq FROM jobs WHERE seq % 2 = 0
+  UNION ALL SELECT 2, 'Bistec Global Careers', CAST(seq AS VARCHAR), seq FROM jobs WHERE seq % 5 <> 0),
+pages AS (SELECT rank, seq // {PAGE} AS page, max(seq % {PAGE}) + 1 AS n FROM parts GROUP BY ALL),
+based AS (SELECT *, coalesce(sum(n) OVER (ORDER BY rank, page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM pages)
+SELECT source, sid, CAST(base + seq % {PAGE} AS BIGINT) AS seq FROM parts JOIN based ON parts.rank = based.rank AND page = seq // {PAGE}
+""")
+def source_fan_in(spark: SparkSession, sf: str) -> DataFrame:
+    """Three sources in registry order as one inventory, numbered across sources and pages."""
+    made = (("Acumatica Sri Lanka Careers", _section_item(), "content"), ("Rootcode Careers", _position_item(), "results"),
+            ("Bistec Global Careers", _opening_item(), "data"))
+    parts = [feeds.parse_feed(_landed(spark, sf, name, item, wrap), feeds.FEEDS[name]) for name, item, wrap in made]
+    return feeds.fan_in(parts).select("source", F.col("source_id").alias("sid"), "seq")
+
+
 @query("ats_sections", "S05 P26", f"""
 WITH {JOBS} SELECT 'job-' || seq AS sid, title, 'Kandy, Sri Lanka' AS location, 'Duty one. Bring ' || seq || '.' AS description,
   'https://jobs.smartrecruiters.com/acumatica/job-' || seq AS url FROM jobs WHERE seq % 3 <> 0
 """)
 def ats_sections(spark: SparkSession, sf: str) -> DataFrame:
+    name = "Acumatica Sri Lanka Careers"
+    rows = feeds.parse_feed(_landed(spark, sf, name, _section_item(), "content"), feeds.FEEDS[name])
+    return rows.select(F.col("source_id").alias("sid"), "title", "location", "description", "url")
+
+
+def _section_item() -> F.Column:
     seq = F.col("seq")
-    item = F.struct(
+    return F.struct(
         F.concat(F.lit("job-"), seq).alias("id"), F.col("title").alias("name"),
         F.struct(
             F.when(seq % 3 == 0, F.lit("de")).when(seq % 3 == 1, F.lit("LK")).otherwise(F.lit("xx")).alias("country"),
             F.when(seq % 3 == 0, F.lit("Berlin")).otherwise(F.lit("Kandy, Sri Lanka")).alias("fullLocation"),
         ).alias("location"),
-        F.create_map(F.lit("a"), F.lit("<p>Duty one.</p>"), F.lit("b"),
-                     F.concat(F.lit("<div>Bring "), seq, F.lit(".</div>"))).alias("sections"))
-    name = "Acumatica Sri Lanka Careers"
-    rows = feeds.parse_feed(_landed(spark, sf, name, item, "content"), feeds.FEEDS[name])
-    return rows.select(F.col("source_id").alias("sid"), "title", "location", "description", "url")
+        _job_ad(seq))
 
 
 @query("ats_positions", "S05 F18 P26", f"""
@@ -169,13 +214,16 @@ WITH {JOBS} SELECT CAST(seq AS VARCHAR) AS sid, title,
 FROM jobs WHERE seq % 2 = 0
 """)
 def ats_positions(spark: SparkSession, sf: str) -> DataFrame:
+    rows = feeds.parse_feed(
+        _landed(spark, sf, "Rootcode Careers", _position_item(), "results"), feeds.FEEDS["Rootcode Careers"])
+    return rows.select(F.col("source_id").alias("sid"), "title", "url")
+
+
+def _position_item() -> F.Column:
     seq = F.col("seq")
-    item = F.struct(
+    return F.struct(
         seq.cast("string").alias("id"), F.col("title").alias("position_name"),
         F.when(seq % 2 == 0, F.lit("Sri Lanka")).otherwise(F.lit("India")).alias("country"))
-    rows = feeds.parse_feed(
-        _landed(spark, sf, "Rootcode Careers", item, "results"), feeds.FEEDS["Rootcode Careers"])
-    return rows.select(F.col("source_id").alias("sid"), "title", "url")
 
 
 @query("ats_openings", "S05 P26", f"""
@@ -183,14 +231,17 @@ WITH {JOBS} SELECT CAST(seq AS VARCHAR) AS sid, title,
   CASE WHEN seq % 2 = 0 THEN 'Colombo, Sri Lanka' ELSE 'Sri Lanka' END AS location FROM jobs WHERE seq % 5 <> 0
 """)
 def ats_openings(spark: SparkSession, sf: str) -> DataFrame:
+    name = "Bistec Global Careers"
+    rows = feeds.parse_feed(_landed(spark, sf, name, _opening_item(), "data"), feeds.FEEDS[name])
+    return rows.select(F.col("source_id").alias("sid"), "title", "location")
+
+
+def _opening_item() -> F.Column:
     seq = F.col("seq")
-    item = F.struct(
+    return F.struct(
         seq.cast("string").alias("id"), F.col("title").alias("Posting_Title"),
         F.when(seq % 2 == 0, F.lit("Colombo")).alias("City"),
         F.when(seq % 5 == 0, F.lit("Norway")).when(seq % 5 == 1, F.lit("Sri Lanka")).alias("Country"))
-    name = "Bistec Global Careers"
-    rows = feeds.parse_feed(_landed(spark, sf, name, item, "data"), feeds.FEEDS[name])
-    return rows.select(F.col("source_id").alias("sid"), "title", "location")
 
 
 def _rss(spark: SparkSession, sf: str, title: F.Column) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,15 +9,13 @@ from pyspark.sql import functions as F
 
 from talentmesh.plans import views
 from talentmesh.plans.registry import query
-from talentmesh.session import configure
+from talentmesh.session import configure, shared_folder
 from talentmesh.streaming import inventory_stream as streams
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared folder; a scratch one only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    base = shared or tempfile.mkdtemp(prefix="talentmesh-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder below the shared one."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:

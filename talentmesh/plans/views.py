@@ -153,19 +153,15 @@ FROM {{customer}}
 TEXT_TABLES = ("documents", "pages")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when the input has fewer splits than there are cores.
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A warehouse table, in the splits its files have.
 
-    Text tables cost far more to work through than to move, and a small one may be a single
-    row group. A large input has many splits and is left as it is, without a shuffle.
+    Text tables cost far more to work through than to move. A session over files without
+    splits may ask for partitions by ``talentmesh.input.partitions``; nothing is moved unasked.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    parts = spark.conf.get("talentmesh.input.partitions", "")
+    return df.repartition(int(parts)) if parts and name in TEXT_TABLES else df
 
 
 def vacancies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCRATCH: dict[str, str] = {}
+
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -28,7 +31,9 @@ def local_session(app: str = "talentmesh", cores: str | int = "*") -> SparkSessi
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
-    return configure(builder.getOrCreate())
+    spark = configure(builder.getOrCreate())
+    spark.conf.set("talentmesh.input.partitions", "" if cores == "*" else str(cores))
+    return spark
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -38,15 +43,23 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def durable_cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` on reliable storage and forget its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a scratch
-    folder is used only where nothing is configured, as in tests.
+    Only a single-machine session may go without the setting; it gets a scratch folder.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    return _SCRATCH.setdefault(app, _SCRATCH.get(app) or "file://" + tempfile.mkdtemp(prefix="talentmesh-"))
+
+
+def durable_cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder and forget its lineage."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="talentmesh-ckpt-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentmesh.functions import dates, geo, scoring, urls
@@ -18,6 +19,7 @@ from talentmesh.functions.text import (
     clean_ats_html, clean_html, fold, strip, text_of,
 )
 from talentmesh.schemas import JOB_TEXT_COLUMNS
+from talentmesh.session import durable_cut
 
 Fields = Callable[[Column], dict[str, Column]]
 
@@ -27,7 +29,8 @@ class Feed:
     """Mapping of one payload family.
 
     ``items`` names the array inside the payload ('' when the payload is the array) and
-    ``keep`` is the local-row condition on an item.
+    ``keep`` is the local-row condition on an item. ``numbered`` is what an item without an id
+    is called, followed by its place in the payload.
     """
 
     source: str
@@ -37,6 +40,7 @@ class Feed:
     keep: Callable[[Column], Column] = field(default=lambda i: F.lit(True))
     remote_global: bool = False
     verified: Callable[[Column], Column] = field(default=lambda i: F.lit(False))
+    numbered: str = ""
 
 
 def _t(item: Column, *names: str) -> Column:
@@ -123,26 +127,31 @@ def _overview_board(i: Column) -> dict[str, Column]:
     }
 
 
+def _section_text(posting: Column) -> Column:
+    """The texts of a posting's sections, in their order."""
+    texts = F.transform(F.map_values(posting["sections"]), lambda s: clean_ats_html(text_of(s["text"])))
+    return strip(text_of(F.array_join(texts, " ")))
+
+
 def _smart_ats(company: str, slug: str) -> Fields:
     def fields(i: Column) -> dict[str, Column]:
-        texts = F.transform(F.map_values(i["sections"]), lambda s: clean_ats_html(text_of(s)))
         return {
             "source_id": _t(i, "id"), "title": strip(_t(i, "name")), "company": F.lit(company),
             "location": _or(text_of(i["location"]["fullLocation"]), "Sri Lanka"),
             "country_hint": F.lit("sri lanka"),
             "url": F.concat(F.lit(f"https://jobs.smartrecruiters.com/{slug}/"), _t(i, "id")),
-            "description": text_of(F.array_join(texts, " ")),
+            "description": _section_text(i["jobAd"]),
             "published_raw": _t(i, "releasedDate"), "salary": F.lit(""),
             "job_type": text_of(i["typeOfEmployment"]["label"]),
         }
     return fields
 
 
-def _position_ats(company: str, url: Callable[[Column], Column]) -> Fields:
+def _position_ats(company: str, url: Callable[[Column], Column], place: str = "Sri Lanka") -> Fields:
     def fields(i: Column) -> dict[str, Column]:
         return {
             "source_id": _t(i, "id", "hash"), "title": strip(_t(i, "position_name")),
-            "company": F.lit(company), "location": _or(_t(i, "location_display"), "Sri Lanka"),
+            "company": F.lit(company), "location": _or(_t(i, "location_display"), place),
             "country_hint": F.lit("sri lanka"), "url": url(i),
             "description": clean_ats_html(_t(i, "description")), "published_raw": F.lit(""),
             "salary": F.lit(""), "job_type": F.lit(""),
@@ -188,10 +197,10 @@ def _link_ats(i: Column) -> dict[str, Column]:
     }
 
 
+_JOB_AD = "jobAd:struct<sections:map<string,struct<text:string>>>"
 _SMART = (
     "array<struct<id:string,name:string,location:struct<country:string,fullLocation:string>,"
-    "releasedDate:string,typeOfEmployment:struct<label:string>,ref:string,"
-    "sections:map<string,string>>>"
+    f"releasedDate:string,typeOfEmployment:struct<label:string>,ref:string,{_JOB_AD}>>"
 )
 _POSITION = (
     "array<struct<id:string,hash:string,position_name:string,location_display:string,"
@@ -238,7 +247,7 @@ FEEDS = {f.source: f for f in (
          _smart_ats("Acumatica", "acumatica"), _in_lk, verified=lambda i: F.lit(True)),
     Feed("IFS Sri Lanka Careers", f"struct<jobs:{_SMART}>", "jobs", _smart_ats("IFS", "IFS1"),
          lambda i: fold(text_of(i["location"]["country"])).isin("lk", "lka"),
-         verified=lambda i: F.size(F.map_values(i["sections"])) > 0),
+         verified=lambda i: _section_text(i["jobAd"]) != ""),
     Feed("MillenniumIT ESP Careers", f"struct<results:{_POSITION}>", "results",
          _position_ats("MillenniumIT ESP", lambda i: F.concat(
              F.lit("https://www.careers-page.com/mitesp/job/"), _t(i, "hash"))),
@@ -246,7 +255,7 @@ FEEDS = {f.source: f for f in (
     Feed("Rootcode Careers", f"struct<results:{_POSITION}>", "results",
          _position_ats("Rootcode", lambda i: F.concat(
              F.lit("https://rootcode.ai/careers/"), urls.slug(strip(_t(i, "position_name"))),
-             F.lit("-"), _t(i, "id"))), _named_lk, verified=lambda i: F.lit(True)),
+             F.lit("-"), _t(i, "id")), "Colombo, Sri Lanka"), _named_lk, verified=lambda i: F.lit(True)),
     Feed("Infor Sri Lanka Careers", "struct<data:array<struct<id:string,path:string,url:string,"
          "title:string,job:string,location:string,description:string,"
          "key_responsibilities:string,skills_knowledge_expertise:string,benefits:string,"
@@ -263,7 +272,7 @@ FEEDS = {f.source: f for f in (
          verified=lambda i: _t(i, "Job_Description") != ""),
     Feed("3CS Careers", "array<struct<applyLink:string,title:string,title_blue:string,"
          "description:string,requirements:string,additional:string,tags:string>>", "", _link_ats,
-         verified=lambda i: _t(i, "description", "requirements") != ""),
+         verified=lambda i: _t(i, "description", "requirements") != "", numbered="3cs-"),
 )}
 """Feeds by source name; add an entry to teach the reader a new payload family."""
 
@@ -284,11 +293,49 @@ def parse_feed(landed: DataFrame, feed: Feed, country: str = "") -> DataFrame:
     made = feed.fields(item)
     made.setdefault("country_hint", F.lit(country))
     made["source"] = F.lit(feed.source)
+    if feed.numbered:
+        own = F.concat(F.lit(feed.numbered), F.col("ordinal"))
+        made["source_id"] = F.when(made["source_id"] == "", own).otherwise(made["source_id"])
     return rows.where(feed.keep(item)).select(
         "page_no", "ordinal", *[text_of(made[c]).alias(c) for c in JOB_TEXT_COLUMNS],
         feed.verified(item).alias("detail_page_verified"))
 
 
+def ats_details(landed: DataFrame) -> DataFrame:
+    """``source, source_id, detail`` of landed detail payloads, one posting each."""
+    posting = F.from_json("payload", f"struct<id:string,{_JOB_AD}>")
+    rows = landed.select("source", posting.alias("p")).where("p.id IS NOT NULL")
+    return rows.groupBy("source", F.col("p.id").alias("source_id")).agg(F.max(_section_text(F.col("p.jobAd"))).alias("detail"))
+
+
+def with_ats_details(jobs: DataFrame, details: DataFrame) -> DataFrame:
+    """Listings with the text of their detail payload; a text makes the row verified."""
+    joined = jobs.join(details, ["source", "source_id"], "left")
+    text = F.when(text_of("detail") != "", F.col("detail")).otherwise(F.col("description"))
+    return joined.withColumn("description", text).withColumn(
+        "detail_page_verified", F.col("detail_page_verified") | (F.col("description") != "")).drop("detail")
+
+
+def fan_in(parts: list[DataFrame]) -> DataFrame:
+    """Rows of several sources in registry order, each with its place in the whole as ``seq``.
+
+    ``parts`` come in registry order, with ``page_no`` and ``ordinal`` as :func:`parse_feed`
+    gives them. Pages are counted, not sorted together, so ``seq`` takes no global sort.
+    """
+    tagged = [p.withColumn("rank", F.lit(n)) for n, p in enumerate(parts)]
+    rows = durable_cut(reduce(DataFrame.unionByName, tagged))
+    pages = rows.groupBy("rank", "page_no").agg(F.max("ordinal").alias("last"))
+    by_rank = Window.partitionBy("rank").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
+    inside = pages.withColumn("in_rank", F.coalesce(F.sum(F.col("last") + 1).over(by_rank), F.lit(0)))
+    sizes = inside.groupBy("rank").agg(F.max(F.col("in_rank") + F.col("last") + 1).alias("rows"))
+    earlier = sizes.select(F.col("rank").alias("of"), F.col("rows").alias("before"))
+    first = sizes.join(F.broadcast(earlier), F.col("of") < F.col("rank"), "left").groupBy("rank").agg(
+        F.coalesce(F.sum("before"), F.lit(0)).alias("from"))  # a row a source
+    base = inside.join(first, "rank").select("rank", "page_no", (F.col("in_rank") + F.col("from")).alias("base"))
+    return rows.join(base, ["rank", "page_no"]).withColumn("seq", F.col("base") + F.col("ordinal")).drop(
+        "rank", "base", "page_no", "ordinal")
+
+
 def read_feed(spark, path: str, feed: Feed, country: str = "") -> DataFrame:
     """Landed JSON files (one payload a file) of a feed."""
     files = spark.read.text(path, wholetext=True).select(

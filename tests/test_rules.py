@@ -144,3 +144,11 @@ def test_places(spark):
     assert column(spark, lambda c: geo.evidence_place(c, F.lit("LK")), ["near Kandy", "Berlin"]) == ["Kandy", ""]
     assert column(spark, geo.foreign_location, ["Foreign job", "Dubai; International", "International Rd"]) == [
         True, True, False]
+
+
+def test_years_after_a_no_break_space(spark):
+    from talentmesh.functions.scoring import required_years
+
+    values = ["At least 5 years", "minimum 3 years", "nothing"]
+    got = column(spark, lambda v: required_years(F.lit(""), v), values)
+    assert got == [5.0, 3.0, None]

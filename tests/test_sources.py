@@ -17,3 +17,32 @@ def test_vacancy_csv(spark, tmp_path):
     (tmp_path / "v.csv").write_text('company,title,apply_url,match_score\n"A\nB",Cook,u,\n')
     row = registry.read_vacancy_csv(spark, str(tmp_path / "v.csv")).first()
     assert (row.company, row.title, row.match_score) == ("A\nB", "Cook", "")
+
+
+def test_posting_texts_inline_and_joined(spark):
+    import json
+
+    from talentmesh.sources import feeds
+
+    name = "IFS Sri Lanka Careers"
+    place = {"country": "lk", "fullLocation": "Colombo"}
+    ad = {"sections": {"a": {"text": "<p>Build things.</p>"}, "b": {"text": None}}}
+    listing = {"jobs": [{"id": "1", "name": "One", "location": place, "jobAd": ad}, {"id": "2", "name": "Two", "location": place},
+                        {"id": "3", "name": "Three", "location": place}, {"id": "4", "name": "Far", "location": {"country": "se"}}]}
+    landed = spark.createDataFrame([(name, "", json.dumps(listing))], "source string, url string, payload string")
+    details = spark.createDataFrame(
+        [(name, json.dumps({"id": "2", "jobAd": {"sections": {"x": {"text": "<b>Run</b> them."}}}})), (name, "no json")], "source string, payload string")
+    rows = feeds.with_ats_details(feeds.parse_feed(landed, feeds.FEEDS[name]), feeds.ats_details(details))
+    got = {r.source_id: (r.description, r.detail_page_verified) for r in rows.collect()}
+    assert got == {"1": ("Build things.", True), "2": ("Run them.", True), "3": ("", False)}
+
+
+def test_rows_without_a_link_are_numbered(spark):
+    import json
+
+    from talentmesh.sources import feeds
+
+    items = [{"title": "A", "applyLink": "a"}, {"title": "B"}]
+    landed = spark.createDataFrame([("3CS Careers", "", json.dumps(items))], "source string, url string, payload string")
+    got = feeds.parse_feed(landed, feeds.FEEDS["3CS Careers"]).orderBy("ordinal").collect()
+    assert [r.source_id for r in got] == ["a", "3cs-1"]
