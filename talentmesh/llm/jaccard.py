@@ -3,9 +3,9 @@
 Every set puts its rarest shingles, as many as any similar set must share one of, into
 inverted lists. Lists are skipped block by block where sizes and positions rule a match out.
 A set whose link to a similar set is known shares that set's component, so nothing between
-sets of one component is compared again; only pairs across components are. Counts of
-shingles, by which "rare" is decided, come from a count sketch of fixed size over all
-documents: any order of shingles is correct, a good one makes lists short.
+sets of one component is compared again; only pairs across components are. "Rare" means
+not among the most frequent shingles that the tasks report over all documents: any order of
+shingles is correct, a good one makes lists short.
 """
 
 from __future__ import annotations
@@ -24,14 +24,17 @@ from talentmesh.llm.components import components
 
 WORDS = 5
 PERCENT = 75
-#: Rows and columns of the count sketch.
-SKETCH = (2, 1 << 16)
+#: Shingles that a task counts together, how often it must see one to report it, and how many
+#: of the most frequent ones go last in every set. They shape the order only, never the result.
+COUNTED = 4_000_000
+OFTEN = 3
+FREQUENT = 200_000
 #: Words whose hashes a worker remembers.
 REMEMBERED = 400_000
 #: Entries of a list that are skipped or compared together.
 BLOCK = 256
 #: Rounds in which each set tries the pivot it shares most lists with, before all pairs across components.
-TURNS = 3
+TURNS = 2
 
 
 class _WordHashes(dict):
@@ -75,45 +78,64 @@ def shingle_hashes(text: str) -> np.ndarray:
     return np.unique(h ^ h >> np.uint64(32))
 
 
-def _cells(hashes: np.ndarray) -> list[np.ndarray]:
-    mask = np.uint64(SKETCH[1] - 1)
-    return [(hashes >> np.uint64(24 * r) & mask).astype(np.int64) for r in range(SKETCH[0])]
-
-
 def describe(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_hash) a document, and the sketch as rows with a null n_shingles."""
+    """(doc_id, n_shingles, set_hash) a document; and (token, seen) of shingles that a task saw often."""
+    names = ["doc_id", "n_shingles", "set_hash", "token", "seen"]
+
+    def often(held: list[np.ndarray]) -> pa.RecordBatch:
+        token, seen = np.unique(np.concatenate(held), return_counts=True)
+        token, seen = token[seen >= OFTEN], seen[seen >= OFTEN]
+        none = pa.nulls(len(token), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [none, none, pa.nulls(len(token), pa.binary()), pa.array(token.view(np.int64)), pa.array(seen)], names
+        )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(SKETCH, dtype=np.int64)
+        held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
             sizes, hashes = [], []
             for text in batch.column("text"):
                 h = shingle_hashes(text.as_py())
                 sizes.append(len(h))
                 hashes.append(hashlib.md5(h.tobytes()).digest())
-                for r, cell in enumerate(_cells(h)):
-                    sketch[r] += np.bincount(cell, minlength=SKETCH[1]) if len(cell) > 4096 else 0
-                    if len(cell) <= 4096:
-                        np.add.at(sketch[r], cell, 1)
+                held.append(h)
+                size += len(h)
+                if size > COUNTED:
+                    yield often(held)
+                    held, size = [], 0
             none = pa.nulls(len(sizes), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), none, none],
-                ["doc_id", "n_shingles", "set_hash", "cell", "seen"],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), none, none], names
             )
-        cell = np.flatnonzero(sketch.ravel())
-        none = pa.nulls(len(cell), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [none, none, pa.nulls(len(cell), pa.binary()), pa.array(cell), pa.array(sketch.ravel()[cell])],
-            ["doc_id", "n_shingles", "set_hash", "cell", "seen"],
-        )
+        if held:
+            yield often(held)
 
-    schema = "doc_id long, n_shingles long, set_hash binary, cell long, seen long"
+    schema = "doc_id long, n_shingles long, set_hash binary, token long, seen long"
     return docs.select(F.col("doc_id").cast("long"), body().alias("text")).mapInArrow(read, schema)
 
 
-def prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
+class Frequent:
+    """Counts of the most frequent shingles; 0 for all others."""
+
+    def __init__(self, token: np.ndarray, seen: np.ndarray) -> None:
+        order = np.argsort(token)
+        self.token, self.seen = token[order], seen[order]
+        self.hint = np.zeros(1 << 20, dtype=bool)  # most shingles are told by this alone
+        self.hint[(token & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+
+    def counts(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(hashes), dtype=np.int64)
+        at = np.flatnonzero(self.hint[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        if len(at):
+            place = np.minimum(np.searchsorted(self.token, hashes[at]), len(self.token) - 1)
+            out[at] = np.where(self.token[place] == hashes[at], self.seen[place], 0)
+        return out
+
+
+def prefixes(docs: DataFrame, frequent: Frequent) -> DataFrame:
     """(node, size, tokens): the rarest shingles of each set, enough to meet every similar set."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,7 +143,7 @@ def prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
             for text in batch.column("text"):
                 h = shingle_hashes(text.as_py())
                 n = len(h)
-                seen = np.min([shared.value[r][cell] for r, cell in enumerate(_cells(h))], axis=0)
+                seen = shared.value.counts(h)
                 keep = n - (PERCENT * n + 99) // 100 + 1 if n else 0
                 sizes.append(n)
                 tokens.append(h[np.lexsort((h, seen))[:keep]].view(np.int64))
@@ -171,7 +193,7 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, turn, votes): each set with the pivot of its list, another pivot each turn, counted over lists.
 
     The first pivot is the set that stands in most lists: an original stands in more of them
-    than what was made from it. Then the same among a half of the sets, then one drawn by hash.
+    than what was made from it. The next is drawn by a hash of the set, alike in all lists.
     """
 
     def counted(held: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -182,9 +204,8 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for turn in range(TURNS):
             draw = (node.astype(np.uint64) + np.uint64(turn * 7919 + 1)) * np.uint64(0x9E3779B97F4A7C15)
             draw = (draw ^ draw >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(24)
-            if turn < 2:
-                rare = np.maximum((1 << 20) - degree, 0).astype(np.uint64)
-                draw = (draw & np.uint64(turn)) << np.uint64(62) | rare << np.uint64(40) | draw
+            if turn == 0:
+                draw |= np.maximum((1 << 20) - degree, 0).astype(np.uint64) << np.uint64(40)
             least = np.repeat(np.minimum.reduceat(draw, edges), members)
             pivot = np.zeros(len(token), dtype=np.int64)
             pivot[edges] = np.flatnonzero(draw == least)[np.searchsorted(np.flatnonzero(draw == least), edges)]
@@ -295,9 +316,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     told = stable(describe(docs), "described")
     sets = told.where("n_shingles IS NOT NULL").select("doc_id", "n_shingles", "set_hash")
-    sketch = np.zeros(SKETCH[0] * SKETCH[1], dtype=np.int64)
-    for r in told.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("seen").alias("n")).toLocalIterator():
-        sketch[r["cell"]] = r["n"]  # SKETCH cells at most
+    counted = told.where("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen"))
+    top = counted.orderBy(F.desc("seen"), "token").limit(FREQUENT).toArrow()
+    frequent = Frequent(top.column("token").to_numpy().view(np.uint64), top.column("seen").to_numpy())
     nodes = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
     same = stable(nodes.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "equal-sets")
 
@@ -306,8 +327,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     repeats = stable(repeats, "repeated-sets")
     doubtful = maybe_among(repeats, "doc_id")
     known = docs.where("doc_id IS NOT NULL")
-    sole = prefixes(known.where(~doubtful), sketch.reshape(SKETCH)).union(
-        prefixes(known.where(doubtful), sketch.reshape(SKETCH)).join(repeats.withColumnRenamed("doc_id", "node"), "node", "left_anti")
+    sole = prefixes(known.where(~doubtful), frequent).union(
+        prefixes(known.where(doubtful), frequent).join(repeats.withColumnRenamed("doc_id", "node"), "node", "left_anti")
     )
     entries = sole.select("node", "size", F.posexplode("tokens").alias("pos", "token")).select("token", "node", "size", "pos")
     shared = entries.withColumn("n", F.count("*").over(Window.partitionBy("token"))).where("n > 1").drop("n")
@@ -327,7 +348,10 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
     grouped = lists.join(stars.select(F.col("u").alias("node"), F.col("v").alias("comp")), "node", "left")
     grouped = grouped.select("token", "node", "size", "pos", F.coalesce("comp", "node").alias("comp"))
-    open_lists = grouped.repartition(shuffle_partitions(spark), "token").sortWithinPartitions("token")
+    of_token = Window.partitionBy("token")
+    mixed = F.min("comp").over(of_token) != F.max("comp").over(of_token)
+    open_lists = grouped.repartition(shuffle_partitions(spark), "token").withColumn("mixed", mixed)
+    open_lists = open_lists.where("mixed").drop("mixed").sortWithinPartitions("token")
     more = linked(open_lists.mapInArrow(_across, "a long, b long").distinct(), docs, "links-across")
     every = stars.union(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
     roots = components(every)
