@@ -2,14 +2,15 @@
 
 Documents are read once. Each task numbers the different words of some megabytes of text and
 keeps the documents as word numbers. The different words of the corpus are then encoded, each
-once, by a higher-order fold over their bytes with the ranks as a literal map, and decoded by
-concatenating the pieces of their ids. Every block of documents gets the answers for its own
-words back and puts the documents together. No table of all words is ever in one place.
+once, by a higher-order fold over their bytes with the ranks as a literal map. Every block of
+documents gets the ids of its own words back and puts the documents together, and decodes them
+by concatenating the pieces of the ids. No table of all words is ever in one place.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import heapq
 import json
@@ -19,18 +20,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentmesh.functions.text import let
-from talentmesh.llm.common import body, shuffle_partitions, stable
+from talentmesh.llm.common import body, shared_dir, shuffle_partitions
 
 #: Slots of the rank map: a power of two, chosen so that a slot holds one piece or none.
 SLOTS = 1 << 16
 #: Words with more bytes are merged by a heap, since folding takes the square of the length.
 FOLD_BYTES = 256
 #: Characters of text whose words are numbered together.
-BLOCK_CHARS = 24 << 20
+BLOCK_CHARS = 48 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -43,13 +45,10 @@ class RankMap:
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         slots: list[dict[str, int]] = [{} for _ in range(SLOTS)]
-        names: list[str | None] = [None] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             name = piece.hex().upper()
             slots[zlib.crc32(name.encode()) % SLOTS][name] = rank
-            names[rank] = name
         self.slots = F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), "array<map<string,int>>")
-        self.names = F.from_json(F.lit(json.dumps(names, separators=(",", ":"))), "array<string>")
 
     @staticmethod
     def rank(slots: Column, piece: Column) -> Column:
@@ -93,17 +92,10 @@ def encoded(word: Column, table: RankMap) -> Column:
     return let(table.slots, lambda slots: let(F.hex(word.cast("binary")), lambda name: ids(slots, name)))
 
 
-def little_endian(ids: Column) -> Column:
-    """Ids as unsigned 32-bit integers, lowest byte first."""
-    def four(i: Column) -> Column:
-        return let(F.lpad(F.hex(i), 8, "0"), lambda h: F.concat(*(F.substring(h, at, 2) for at in (7, 5, 3, 1))))
-
-    return F.unhex(F.array_join(F.transform(ids, four), ""))
-
-
-def decoded(ids: Column, table: RankMap) -> Column:
-    """The pieces of the ids, concatenated as bytes."""
-    return let(table.names, lambda names: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(names, i)), "")))
+def short_integers(ids: Column) -> Column:
+    """Ids as unsigned 16-bit integers, lowest byte first."""
+    two = F.transform(ids, lambda i: let(F.lpad(F.hex(i), 4, "0"), lambda h: F.concat(F.substring(h, 3, 2), F.substring(h, 1, 2))))
+    return F.unhex(F.array_join(two, ""))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -136,6 +128,16 @@ class _Numbers(dict):
         return n
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Word numbers, byte plane by byte plane, which compresses well: frequent words come early."""
+    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(packed), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 def _blocks(docs: DataFrame, pattern: str) -> DataFrame:
     """Rows (block, docs, sizes, numbers, words): documents as numbers of the words of their block."""
 
@@ -149,7 +151,7 @@ def _blocks(docs: DataFrame, pattern: str) -> DataFrame:
             flat = np.concatenate(numbers) if numbers else np.empty(0, np.uint32)
             return pa.RecordBatch.from_arrays(
                 [pa.array([uuid.uuid4().int >> 65]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())),
-                 pa.array([zlib.compress(flat.tobytes(), 1)], pa.binary()), pa.array([list(known)], pa.list_(pa.string()))],
+                 pa.array([_packed(flat)], pa.binary()), pa.array([list(known)], pa.list_(pa.string()))],
                 ["block", "docs", "sizes", "numbers", "words"],
             )
 
@@ -171,40 +173,41 @@ def _blocks(docs: DataFrame, pattern: str) -> DataFrame:
     )
 
 
-def _assemble(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-    out: list[tuple] = []
-    at = np.argsort(answers.column("n").to_numpy())
-    answers = answers.take(pa.array(at))
-    ids, pieces = answers.column("ids").to_pylist(), answers.column("pieces").to_pylist()
-    for row in blocks.to_pylist():
-        numbers, first = np.frombuffer(zlib.decompress(row["numbers"]), dtype=np.uint32), 0
-        for doc_id, size in zip(row["docs"], row["sizes"], strict=True):
-            own = numbers[first : first + size].tolist()
-            first += size
-            coded = b"".join([ids[n] for n in own])
-            text = b"".join([pieces[n] for n in own])
-            out.append((doc_id, len(coded) // 4, hashlib.sha256(coded).hexdigest(), hashlib.sha256(text).hexdigest()))
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
-    columns = list(zip(*out, strict=True)) if out else [[]] * 4
-    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-
-def dictionary(words: DataFrame, ranks_path: str) -> DataFrame:
-    """(word, ids, pieces) of distinct words: ids in little-endian bytes, pieces as decoded from the ids."""
-    ranks = read_ranks(ranks_path)
-    table = RankMap(ranks)
+@functools.lru_cache(maxsize=2)
+def pieces_by_id(path: str) -> list[bytes]:
+    ranks = read_ranks(path)
+    out = [b""] * (max(ranks.values()) + 1)
+    for piece, rank in ranks.items():
+        out[rank] = piece
+    return out
+
+
+def decoded(ids: np.ndarray, pieces: list[bytes]) -> bytes:
+    """The pieces of the ids, concatenated."""
+    return b"".join(map(pieces.__getitem__, ids.tolist()))
+
+
+def _with_ids(uses: DataFrame, ranks_path: str) -> DataFrame:
+    """(block, n, ids): the ids of every word that a block uses, each different word folded once.
+
+    Uses of a word meet in one task; its first use is folded and the others take that over.
+    """
+    table = RankMap(read_ranks(ranks_path))
     short = F.octet_length("word") <= FOLD_BYTES
-    folded = words.where(short).select("word", encoded(F.col("word"), table).alias("id"))
+    uses = uses.repartition(shuffle_partitions(uses.sparkSession), "word")
+    of_word = Window.partitionBy("word").orderBy("block")
+    first = uses.where(short).withColumn("nth", F.row_number().over(of_word))
+    coded = first.withColumn("coded", F.when(F.col("nth") == 1, short_integers(encoded(F.col("word"), table))))
+    upto = Window.partitionBy("word").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    folded = coded.select("block", "n", F.first("coded").over(upto).alias("ids"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = read_ranks(ranks_path)
         for batch in batches:
-            ids = [merge_long(w.encode(), known) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "id"])
+            ids = [np.array(merge_long(w.encode(), known), dtype="<u2").tobytes() for w in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("n"), pa.array(ids, pa.binary())], ["block", "n", "ids"])
 
-    every = folded.union(words.where(~short).mapInArrow(merge, "word string, id array<int>"))
-    every = stable(every, "word-ids")
-    return every.select("word", little_endian(F.col("id")).alias("ids"), decoded(F.col("id"), table).alias("pieces"))
+    return folded.union(uses.where(~short).mapInArrow(merge, "block long, n int, ids binary"))
 
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -213,14 +216,36 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     Returns one row per input row: doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned
     32-bit integers), decoded_sha256. Null text is empty and has no ids. Only doc_id and text
     are read; rows that repeat come back as often. An empty table gives an empty result.
-    Words of more than ``FOLD_BYTES`` bytes are merged by a heap, with the same result.
+    Words of more than ``FOLD_BYTES`` bytes are merged by a heap, with the same result. The
+    vocabulary must have at most 65,536 ids.
+
+    Documents stay where they were first written, in buckets by block; only words and their
+    ids move.
     """
     spark = docs.sparkSession
-    blocks = stable(_blocks(docs, pattern), "word-blocks")
-    uses = blocks.select("block", F.posexplode("words").alias("n", "word"))
-    uses = uses.repartition(shuffle_partitions(spark), "word")
-    answers = stable(dictionary(uses.select("word").distinct(), ranks_path), "dictionary")
-    own = uses.join(answers.hint("shuffle_merge"), "word").select("block", "n", "ids", "pieces")
-    texts = blocks.select(F.col("block").alias("home"), "docs", "sizes", "numbers")
+    if len(pieces_by_id(ranks_path)) > 1 << 16:
+        raise ValueError("ids must fit into 16 bits")
+    name = f"word_blocks_{uuid.uuid4().hex}"
+    writer = _blocks(docs, pattern).write.bucketBy(shuffle_partitions(spark), "block").option("compression", "zstd")
+    writer.option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    uses = spark.table(name).select("block", F.posexplode("words").alias("n", "word"))
+    own = _with_ids(uses, ranks_path)
+
+    def assemble(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        pieces, out = pieces_by_id(ranks_path), []
+        ids = answers.column("ids").take(pa.array(np.argsort(answers.column("n").to_numpy()))).to_pylist()
+        for row in blocks.to_pylist():
+            numbers, first = _unpacked(row["numbers"]), 0
+            for doc_id, size in zip(row["docs"], row["sizes"], strict=True):
+                words = numbers[first : first + size].tolist()
+                first += size
+                coded = np.frombuffer(b"".join([ids[n] for n in words]), dtype="<u2").astype("<u4")
+                text = decoded(coded, pieces)
+                out.append((doc_id, len(coded), hashlib.sha256(coded.tobytes()).hexdigest(), hashlib.sha256(text).hexdigest()))
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+        columns = list(zip(*out, strict=True)) if out else [[]] * 4
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    texts = spark.table(name).select(F.col("block").alias("home"), "docs", "sizes", "numbers")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return texts.groupBy("home").cogroup(own.groupBy("block")).applyInArrow(_assemble, schema)
+    return texts.groupBy("home").cogroup(own.groupBy("block")).applyInArrow(assemble, schema)

@@ -99,6 +99,9 @@ def test_bpe_encodes_and_decodes(spark):
     got = bpe.encode_decode(cases.documents(spark, ROWS), RANKS, public_tokenizers.PATTERN).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     assert bpe.encode_decode(cases.no_documents(spark), RANKS, public_tokenizers.PATTERN).collect() == []
+    nothing = hashlib.sha256(b"").hexdigest()
+    blank = bpe.encode_decode(cases.documents(spark, [(1, None), (2, "")]), RANKS, public_tokenizers.PATTERN).collect()
+    assert sorted(map(tuple, blank)) == [(1, 0, nothing, nothing), (2, 0, nothing, nothing)]
 
 
 def test_heap_and_fold_agree():
