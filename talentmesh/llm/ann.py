@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talentmesh.llm.common import stable
+from talentmesh.llm.common import stable, tidy
 
 #: Rows on which the list centres are fitted, at most.
 SAMPLE = 20_000
@@ -145,7 +145,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_
             yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), *batch.columns], ["list", *batch.schema.names])
 
     kind = rows.schema["vec"].dataType.simpleString()
-    index = stable(rows.mapInArrow(assign, f"list int, id long, vec {kind}, asks boolean"), "lists")
+    index = stable(rows.mapInArrow(tidy(assign), f"list int, id long, vec {kind}, asks boolean"), "lists")
     # One row a list, MAX_LISTS at most.
     counts = np.zeros(lists, dtype=np.int64)
     for r in index.groupBy("list").count().collect():
@@ -167,7 +167,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_
             )
 
     asked = index.where("asks").groupBy("id").agg(F.min_by("vec", F.xxhash64("vec")).alias("vec"))
-    asked = stable(asked.mapInArrow(probe, f"list int, id long, vec {kind}"), "probes")
+    asked = stable(asked.mapInArrow(tidy(probe), f"list int, id long, vec {kind}"), "probes")
     sizes = asked.groupBy("list").count()
     asking = np.ones(lists, dtype=np.int64)
     for r in sizes.collect():

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentmesh.functions.text import let
-from talentmesh.llm.common import body, shared_dir, shuffle_partitions
+from talentmesh.llm.common import body, shared_dir, shuffle_partitions, tidy
 
 #: Slots of the rank map: a power of two, chosen so that a slot holds one piece or none.
 SLOTS = 1 << 16
@@ -169,7 +169,7 @@ def _blocks(docs: DataFrame, pattern: str) -> DataFrame:
             yield full()
 
     return docs.select(F.col("doc_id").cast("long"), body().alias("text")).mapInArrow(
-        read, "block long, docs array<long>, sizes array<long>, numbers binary, words array<string>"
+        tidy(read), "block long, docs array<long>, sizes array<long>, numbers binary, words array<string>"
     )
 
 
@@ -207,7 +207,7 @@ def _with_ids(uses: DataFrame, ranks_path: str) -> DataFrame:
             ids = [np.array(merge_long(w.encode(), known), dtype="<u2").tobytes() for w in batch.column("word").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("n"), pa.array(ids, pa.binary())], ["block", "n", "ids"])
 
-    return folded.union(uses.where(~short).mapInArrow(merge, "block long, n int, ids binary"))
+    return folded.union(uses.where(~short).mapInArrow(tidy(merge), "block long, n int, ids binary"))
 
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,3 +99,19 @@ def without(docs: DataFrame, dropped: DataFrame, repeated: DataFrame | None = No
         return stay
     again = maybe_among(repeated, "doc_id")
     return stay.where(~again).unionByName(stay.where(again).dropDuplicates(["doc_id"]))
+
+
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` for mapInArrow, whose worker gives free memory back at the end: it waits for other tasks."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                with contextlib.suppress(AttributeError, OSError):  # another C library
+                    ctypes.CDLL(None).malloc_trim(0)
+
+    return run

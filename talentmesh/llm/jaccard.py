@@ -19,18 +19,18 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talentmesh.llm.common import body, maybe_among, shuffle_partitions, stable, without
+from talentmesh.llm.common import body, maybe_among, shuffle_partitions, stable, tidy, without
 from talentmesh.llm.components import components
 
 WORDS = 5
 PERCENT = 75
 #: Shingles that a task counts together, how often it must see one to report it, and how many
 #: of the most frequent ones go last in every set. They shape the order only, never the result.
-COUNTED = 4_000_000
+COUNTED = 2_000_000
 OFTEN = 3
 FREQUENT = 200_000
 #: Words whose hashes a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Entries of a list that are skipped or compared together.
 BLOCK = 256
 #: Rounds in which each set tries the pivot it shares most lists with, before all pairs across components.
@@ -112,7 +112,7 @@ def describe(docs: DataFrame) -> DataFrame:
             yield often(held)
 
     schema = "doc_id long, n_shingles long, set_hash binary, token long, seen long"
-    return docs.select(F.col("doc_id").cast("long"), body().alias("text")).mapInArrow(read, schema)
+    return docs.select(F.col("doc_id").cast("long"), body().alias("text")).mapInArrow(tidy(read), schema)
 
 
 class Frequent:
@@ -154,7 +154,7 @@ def prefixes(docs: DataFrame, frequent: Frequent) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes, pa.int32()), lists], ["node", "size", "tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("node"), body().alias("text")).mapInArrow(
-        read, "node long, size int, tokens array<long>"
+        tidy(read), "node long, size int, tokens array<long>"
     )
 
 
@@ -223,7 +223,7 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             held.append({n: batch.column(n).to_numpy() for n in ("token", "node", "size", "degree")})
-        if sum(len(h["token"]) for h in held) > 1_000_000:
+        if sum(len(h["token"]) for h in held) > 400_000:
             yield from counted(held)
             held = []
     if held:
@@ -291,7 +291,7 @@ def linked(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
                 ok.append(100 * common >= PERCENT * (len(other) + len(last_set) - common) and common > 0)
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return stable(both.mapInArrow(compare, "a long, b long"), name)
+    return stable(both.mapInArrow(tidy(compare), "a long, b long"), name)
 
 
 def _apart(pairs: DataFrame, stars: DataFrame) -> DataFrame:
@@ -337,7 +337,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     lists = shared.join(degree, "node").repartition(shuffle_partitions(spark), "token").sortWithinPartitions("token")
     lists = stable(lists.select("token", "node", "size", "pos", "degree"), "lists")
 
-    votes = lists.mapInArrow(_likely, "a long, b long, turn int, votes long").groupBy("turn", "a", "b").agg(F.sum("votes").alias("votes"))
+    votes = lists.mapInArrow(tidy(_likely), "a long, b long, turn int, votes long").groupBy("turn", "a", "b").agg(F.sum("votes").alias("votes"))
     nth = F.row_number().over(Window.partitionBy("b", "turn").orderBy(F.desc("votes"), "a"))
     likely = stable(votes.withColumn("nth", nth).where("nth = 1").select("turn", "a", "b"), "likely")
     stars = spark.createDataFrame([], "u long, v long")
@@ -352,7 +352,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     mixed = F.min("comp").over(of_token) != F.max("comp").over(of_token)
     open_lists = grouped.repartition(shuffle_partitions(spark), "token").withColumn("mixed", mixed)
     open_lists = open_lists.where("mixed").drop("mixed").sortWithinPartitions("token")
-    more = linked(open_lists.mapInArrow(_across, "a long, b long").distinct(), docs, "links-across")
+    more = linked(open_lists.mapInArrow(tidy(_across), "a long, b long").distinct(), docs, "links-across")
     every = stars.union(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
     roots = components(every)
 

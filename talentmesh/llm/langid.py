@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talentmesh.llm.common import body, fold_of, stable, without
+from talentmesh.llm.common import body, fold_of, stable, tidy, without
 
 #: Training text: rows a language, and characters a language, at most.
 TRAIN_ROWS = 64
@@ -26,7 +26,7 @@ MAX_MODEL_BYTES = 256 << 20
 #: Texts are parsed in segments of so many symbols; a phrase ends where a segment ends.
 SEGMENT = 2_048
 #: Bytes of text that are parsed side by side.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 NO_LANGUAGE = "und"
 
 
@@ -228,7 +228,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(predict, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidy(predict), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def with_language(docs: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talentmesh.llm.common import body, stable
+from talentmesh.llm.common import body, stable, tidy
 from talentmesh.llm.tokens import byte_level_ids
 
 CAPACITY = 1024
@@ -47,7 +47,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), body().alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), body().alias("text")).mapInArrow(tidy(cut), PIECES)
 
 
 def best_pattern(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -217,4 +217,4 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFram
             columns = [*batch.columns[:5], pa.array(sequence), pa.array(offset)]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:5], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(placed, PLACED)
+    return ranked.mapInArrow(tidy(placed), PLACED)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talentmesh.llm.common import body, fold_of, stable
+from talentmesh.llm.common import body, fold_of, stable, tidy
 
 #: Labelled rows on which the text model is fitted, at most.
 SAMPLE = 20_000
@@ -63,7 +63,7 @@ def described(docs: DataFrame, host: Column, path: Column) -> DataFrame:
 
     text_of = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(host).alias("host"), text_of(path).alias("path"), body().alias("text"))
-    return rows.mapInArrow(read, "doc_id long, host string, path string, x array<double>")
+    return rows.mapInArrow(tidy(read), "doc_id long, host string, path string, x array<double>")
 
 
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, float]:

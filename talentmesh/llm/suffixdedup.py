@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talentmesh.llm.common import body, maybe_among, shuffle_partitions, stable
+from talentmesh.llm.common import body, maybe_among, shuffle_partitions, stable, tidy
 from talentmesh.llm.suffixsort import suffix_array
 
 LENGTH = 400
@@ -107,7 +107,7 @@ def _runs(docs: DataFrame) -> DataFrame:
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["anchor", "context", "doc_id", "mark", "p", "lo", "hi"]
             )
 
-    return docs.mapInArrow(read, "anchor long, context binary, doc_id long, mark long, p long, lo long, hi long")
+    return docs.mapInArrow(tidy(read), "anchor long, context binary, doc_id long, mark long, p long, lo long, hi long")
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +222,7 @@ def _with_bits(slices: DataFrame, crowded: bool) -> DataFrame:
     settled = kinds.where("copies > 1").select("key", "before", "after", F.lit(-1).cast("long").alias("bits"))
     open_kinds = kinds.where("kinds > 1").select("key", "before", "after")
     open_kinds = open_kinds.repartition(shuffle_partitions(slices.sparkSession), "key").sortWithinPartitions("key")
-    found = open_kinds.mapInArrow(_sorted_repeats, "key binary, before binary, after binary, bits long").where("bits <> 0")
+    found = open_kinds.mapInArrow(tidy(_sorted_repeats), "key binary, before binary, after binary, bits long").where("bits <> 0")
     bits = settled if crowded else settled.union(found)
     bits = bits.groupBy("key", "before", "after").agg(F.bit_or("bits").alias("bits"))
     return slices.where("n = 1").join(bits, ["key", "before", "after"]).select("doc_id", "mark", "at", "before", "after", "bits")
@@ -249,7 +249,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     texts = docs.where(maybe_among(spots.select("mark"), "mark"))
     cut = texts.join(spots, texts["doc_id"].eqNullSafe(spots["doc_id"]) & (texts["mark"] == spots["mark"]))
     cut = cut.select(texts["doc_id"], texts["mark"], "text", "spots").dropDuplicates(["doc_id", "mark"])
-    slices = stable(cut.mapInArrow(_slices, SLICE_SCHEMA), "slices")
+    slices = stable(cut.mapInArrow(tidy(_slices), SLICE_SCHEMA), "slices")
 
     crowds = slices.select("key", "before", "after").distinct().groupBy("key").count().where(F.col("count") > CROWD).select("key")
     crowds = stable(crowds, "crowds")
@@ -257,7 +257,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
         partly = _with_bits(slices, crowded=False)
     else:
         sparse = slices.join(crowds, "key", "left_anti")
-        dense = slices.join(crowds, "key", "left_semi").mapInArrow(_single_starts, SLICE_SCHEMA)
+        dense = slices.join(crowds, "key", "left_semi").mapInArrow(tidy(_single_starts), SLICE_SCHEMA)
         partly = _with_bits(sparse, crowded=False).union(_with_bits(dense, crowded=True))
     held = (F.col("at") - F.octet_length("before")).alias("lo"), (F.col("at") + F.octet_length("after") - SLICE + 1).alias("hi")
     partly = partly.select("doc_id", "mark", F.when(F.col("bits") == -1, F.struct(*held, F.lit(None).cast("long").alias("bits"))).otherwise(
@@ -335,7 +335,7 @@ def without_repeats(docs: DataFrame, characters: bool = False) -> DataFrame:
 
     maybe = texts.where(hit)
     joined = maybe.join(ranges, maybe["doc_id"].eqNullSafe(ranges["doc_id"]) & (maybe["mark"] == ranges["mark"]), "left")
-    touched = joined.select(maybe["doc_id"], "text", "spans", "rest").mapInArrow(remove, schema)
+    touched = joined.select(maybe["doc_id"], "text", "spans", "rest").mapInArrow(tidy(remove), schema)
     return touched.union(untouched)
 
 
