@@ -84,8 +84,11 @@ def stream_run_health(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("stream_liveness", "T02")
 def stream_liveness(spark: SparkSession, sf: str) -> DataFrame:
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    seen = event_stream(spark, sf).select(F.col("user_id").cast("string").alias("vacancy"), "ts")
-    return _finish(streams.liveness(seen, 2 * 24 * 3600 * 1000), work_folder(spark))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        seen = event_stream(spark, sf).select(F.col("user_id").cast("string").alias("vacancy"), "ts")
+        return _finish(streams.liveness(seen, 2 * 24 * 3600 * 1000), work_folder(spark))
+    finally:
+        spark.conf.set(key, before)

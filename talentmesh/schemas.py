@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_STR = T.StringType()
-_STRS = T.ArrayType(_STR)
+_TYPES = {
+    "string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "bigint": T.LongType(),
+    "int": T.IntegerType(), "timestamp": T.TimestampType(), "array<string>": T.ArrayType(T.StringType()),
+}
 
 
 def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """Fields as ``name type``; parsed here, so that importing needs no session."""
+    fields = (part.split() for part in spec.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in fields])
 
 
 CANDIDATES = _struct(

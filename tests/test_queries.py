@@ -42,3 +42,13 @@ def test_every_query_is_registered_once():
 
 def test_entry_runs(spark):
     assert entry.entry(spark).limit(1).count() == 1
+
+
+def test_names_are_listed_without_a_session():
+    import subprocess
+    import sys
+
+    said = subprocess.run(
+        [sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"],
+        cwd=Path(entry.__file__).parent, capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0, said.stderr[-500:]
