@@ -15,6 +15,7 @@ EMAIL = r"(?U)[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}"
 PHONE = r"(?U)\+?\d[\d\s().-]{7,}\d"
 LINK = r"(?iU)https?://\S+|www\.\S+"
 LINE_BREAK = r"\R|[\x1c-\x1e]"
+# Where a CV is searched by default, in lines, and the most words of a line that names a role.
 NAME_LINES, HEADLINE_LINES, TITLE_LINES, EXPERIENCE_LINES, ROLE_WORDS = 5, 60, 25, 30, 14
 
 
@@ -51,21 +52,26 @@ def title_case(line: Column) -> Column:
     )
 
 
-def person_name(lines: Column, email: Column) -> Column:
-    """A short line near the top, else an upper-case line further down, else ''."""
+def _first(lines: Column, n: int | None) -> Column:
+    return lines if n is None else F.slice(lines, 1, n)
+
+
+def person_name(lines: Column, email: Column, name_lines: int | None = NAME_LINES,
+                headline_lines: int | None = HEADLINE_LINES) -> Column:
+    """A short line near the top, else an upper-case line further down, else ''; None searches all lines."""
     mail = F.lower(email)
 
     def without_mail(line: Column) -> Column:
         return (mail == "") | ~F.contains(F.lower(line), mail)
 
     plain = F.filter(
-        F.slice(lines, 1, NAME_LINES),
+        _first(lines, name_lines),
         lambda s: without_mail(s)
         & ~any_of(F.lower(s), ("http", "linkedin", "@"))
         & _word_count(s).between(2, 5),
     )
     loud = F.filter(
-        F.slice(lines, 1, HEADLINE_LINES),
+        _first(lines, headline_lines),
         lambda s: ~F.lower(s).isin(*lex.SECTION_HEADINGS)
         & without_mail(s)
         & ~s.rlike(r"\p{Nd}")
@@ -78,24 +84,24 @@ def person_name(lines: Column, email: Column) -> Column:
     )
 
 
-def likely_titles(lines: Column) -> Column:
+def likely_titles(lines: Column, title_lines: int | None = TITLE_LINES) -> Column:
     """Title terms of the opening lines and of short lines that read like a title."""
     titled = F.filter(
         lines,
         lambda s: (_word_count(s) <= ROLE_WORDS)
         & any_of(F.lower(s), lex.TITLE_CONTEXT_TERMS),
     )
-    text = F.array_join(F.concat(F.slice(lines, 1, TITLE_LINES), titled), "\n")
+    text = F.array_join(F.concat(_first(lines, title_lines), titled), "\n")
     return mask_to_array(title_mask(cv_text(text)), lex.TITLE_TERMS)
 
 
-def experience_lines(lines: Column) -> Column:
+def experience_lines(lines: Column, limit: int | None = EXPERIENCE_LINES) -> Column:
     kept = F.filter(
         lines,
         lambda s: s.startswith("-") | s.startswith("*")
         | (any_of(F.lower(s), lex.TITLE_TERMS) & (_word_count(s) <= ROLE_WORDS)),
     )
-    return F.slice(kept, 1, EXPERIENCE_LINES)
+    return _first(kept, limit)
 
 
 def cv_skills(c: Column) -> Column:

@@ -71,13 +71,12 @@ def stream_inventory(spark: SparkSession, sf: str) -> DataFrame:
 WITH w AS (SELECT date_trunc('hour', ts) AS start, 's' || (user_id % 4) AS source, count(*) AS rows,
   count(*) FILTER (WHERE event_type = 'error') AS failures FROM events GROUP BY 1, 2)
 SELECT strftime(start, '%Y-%m-%d %H:%M') AS start, source, rows, failures FROM w
-WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR
 """)
 def stream_run_health(spark: SparkSession, sf: str) -> DataFrame:
     runs = event_stream(spark, sf).select(
         "ts", F.concat(F.lit("s"), F.col("user_id") % 4).alias("source"),
         (F.col("event_type") != "error").alias("ok"))
-    done = _finish(streams.run_health(runs), work_folder(spark))
+    done = streams.latest_windows(streams.run_health(runs), work_folder(spark), ["start", "source"])
     return done.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "source", "rows",
                        "failures")
 

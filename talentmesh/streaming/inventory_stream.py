@@ -55,7 +55,7 @@ def keep_inventory(stream: DataFrame, path: str, checkpoint: str, to_rows) -> St
 
 
 def run_health(stream: DataFrame, width: str = "1 hour", delay: str = "2 hours") -> DataFrame:
-    """Rows and failures of every source in tumbling windows (append mode)."""
+    """Rows and failures of every source in tumbling windows."""
     return (
         stream.withWatermark("ts", delay)
         .groupBy(F.window("ts", width), "source")
@@ -64,6 +64,28 @@ def run_health(stream: DataFrame, width: str = "1 hour", delay: str = "2 hours")
     )
 
 
+def latest_windows(stream: DataFrame, folder: str, keys: list[str]) -> DataFrame:
+    """The newest state of every window, those still open included.
+
+    Update mode hands over what a batch changed; each batch has a folder of its own, so a batch
+    that runs again replaces it. Windows past the watermark leave the state.
+    """
+    spark = stream.sparkSession
+
+    def keep(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
+
+    run = (
+        stream.writeStream.outputMode("update").foreachBatch(keep)
+        .option("checkpointLocation", f"{folder}/ckpt").trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    rows = spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out")
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("last"))
+    return newest.select(*keys, *[F.col(f"last.{c}").alias(c) for c in values])
+
+
 class Liveness(StatefulProcessor):
     """Expires a vacancy that was not seen for its lifetime; a later sighting reopens it."""
 
