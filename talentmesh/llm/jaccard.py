@@ -27,14 +27,16 @@ PERCENT = 75
 #: Shingles that a task counts together, how often it must see one to report it, and how many
 #: of the most frequent ones go last in every set. They shape the order only, never the result.
 COUNTED = 2_000_000
-OFTEN = 3
-FREQUENT = 200_000
+OFTEN = 2
+FREQUENT = 500_000
+#: Cells of the table that tells most shingles apart from the frequent ones.
+HINT = 1 << 22
 #: Words whose hashes a worker remembers.
 REMEMBERED = 200_000
 #: Entries of a list that are skipped or compared together.
 BLOCK = 256
 #: Rounds in which each set tries the pivot it shares most lists with, before all pairs across components.
-TURNS = 2
+TURNS = 1
 
 
 class _WordHashes(dict):
@@ -121,12 +123,12 @@ class Frequent:
     def __init__(self, token: np.ndarray, seen: np.ndarray) -> None:
         order = np.argsort(token)
         self.token, self.seen = token[order], seen[order]
-        self.hint = np.zeros(1 << 20, dtype=bool)  # most shingles are told by this alone
-        self.hint[(token & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        self.hint = np.zeros(HINT, dtype=bool)  # most shingles are told by this alone
+        self.hint[(token & np.uint64(HINT - 1)).astype(np.int64)] = True
 
     def counts(self, hashes: np.ndarray) -> np.ndarray:
         out = np.zeros(len(hashes), dtype=np.int64)
-        at = np.flatnonzero(self.hint[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        at = np.flatnonzero(self.hint[(hashes & np.uint64(HINT - 1)).astype(np.int64)])
         if len(at):
             place = np.minimum(np.searchsorted(self.token, hashes[at]), len(self.token) - 1)
             out[at] = np.where(self.token[place] == hashes[at], self.seen[place], 0)
