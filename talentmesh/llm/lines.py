@@ -1,4 +1,4 @@
-"""Line duplicates: content-defined chunks of lines, whole repeated chunks removed."""
+"""Line duplicates: content-defined chunks of lines, whole repeated chunks removed; or every repeated run of lines."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentmesh.functions.text import computed
-from talentmesh.llm.common import body
+from talentmesh.llm.common import body, stable
 from talentmesh.llm.exact import same_content
 
 #: Lines whose hashes decide whether a chunk ends, and one line in how many ends one.
@@ -71,3 +71,36 @@ def without_repeated_chunks(docs: DataFrame, window: int = WINDOW, divisor: int
         F.col("n_lines").cast("long").alias("n_lines"),
         (F.col("n_lines") - F.aggregate("chunks", F.lit(0), lambda n, c: n + c.n_lines)).cast("long").alias("n_removed"),
     )
+
+
+def without_repeated_runs(docs: DataFrame) -> DataFrame:
+    """Documents without the lines of any run of two lines or more that occurs before, anywhere.
+
+    A run occurs before if each two neighbouring lines of it do, so pairs of lines are compared and
+    no boundary can hide a repeat. Returns one row per input row: doc_id, text (lines that stay,
+    joined by line feeds), n_lines, n_removed. The first occurrence of a pair, by (doc_id, line
+    number), stays. Pairs are equal if their SHA-256 is, so no text is moved to compare them. Null
+    text, null doc_id and repeated rows count as in ``without_repeated_chunks``.
+    """
+    texts = docs.select("doc_id", F.xxhash64(body()).alias("text_hash"), body().alias("text"))
+    lined = computed(texts, lines=F.split("text", "\n", -1)).drop("text")
+    starts = F.sequence(F.lit(0), F.size("lines") - 2)
+    pairs = F.transform(starts, lambda i: F.concat(F.get("lines", i), F.lit("\n"), F.get("lines", i + 1)))
+    several = lined.where(F.col("doc_id").isNotNull() & (F.size("lines") > 1)).select(
+        "doc_id", "text_hash", F.posexplode(pairs).alias("at", "content")
+    )
+    made = several.select(F.struct("doc_id", "at", "text_hash").alias("id"), F.unhex(F.sha2("content", 256)).alias("key"))
+    keyed = stable(made, "line-pairs")
+    firsts = keyed.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    repeats = keyed.join(firsts, "key").where(F.col("id") != F.col("first")).select("id.*")
+    removed = repeats.groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("removed"))
+    joined = lined.join(removed, ["doc_id", "text_hash"], "left")
+    gone = F.coalesce("removed", F.array().cast("array<int>"))
+    covered = F.array_union(gone, F.transform(gone, lambda i: i + 1))
+    stay = computed(joined, stay=F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), covered))
+    return stay.select(
+        "doc_id",
+        F.array_join(F.transform("stay", lambda i: F.get("lines", i)), "\n").alias("text"),
+        F.size("lines").cast("long").alias("n_lines"),
+        (F.size("lines") - F.size("stay")).cast("long").alias("n_removed"),
+    )

@@ -60,6 +60,23 @@ FROM f GROUP BY doc_id
 """
 
 
+def op4_repeated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.without_repeated_runs(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP4_RUNS_SQL = """
+WITH l AS (SELECT doc_id, unnest(list) AS line, generate_subscripts(list, 1) AS i, len(list) AS n
+           FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS list FROM documents)),
+p AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS following FROM l),
+r AS (SELECT *, i < n AND row_number() OVER (PARTITION BY line, following, i < n ORDER BY doc_id, i) > 1 AS again FROM p),
+f AS (SELECT *, again OR coalesce(lag(again) OVER (PARTITION BY doc_id ORDER BY i), false) AS gone FROM r)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM f GROUP BY doc_id
+"""
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode_decode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -112,6 +129,7 @@ QUERIES: dict[str, Runner] = {
     "op2_nearest": op2_nearest,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_line_dedup": op4_line_dedup,
+    "op4_repeated_runs": op4_repeated_runs,
     "op5_bpe": op5_bpe,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_language_id": op7_language_id,
@@ -120,6 +138,8 @@ QUERIES: dict[str, Runner] = {
     "op10_sharding": op10_sharding,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL, "op8_jaccard_join": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_exact_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL, "op4_repeated_runs": OP4_RUNS_SQL, "op8_jaccard_join": OP8_SQL,
+}
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

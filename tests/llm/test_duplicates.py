@@ -71,6 +71,38 @@ def test_repeated_chunks(spark):
     assert any(w[3] for w in want)
 
 
+def run_rows():
+    rng = random.Random(6)
+    line = lambda: " ".join(rng.choice("abcdefgh") * rng.randrange(1, 5) for _ in range(rng.randrange(1, 9)))
+    passage = [line() for _ in range(30)]
+    rows = list(ROWS)
+    for k in range(20):
+        a = rng.randrange(28)
+        run = passage[a : rng.randrange(a + 2, 31)]
+        rows.append((4000 + k, "\n".join([*(line() for _ in range(rng.randrange(4))), *run, *(line() for _ in range(rng.randrange(4)))])))
+    return [*rows, (4100, "\n".join(passage)), (4101, "\n".join(passage)), (4102, "a\na\na"), (4103, "\n\n"), (4104, "once\ntwice")]
+
+
+def test_repeated_runs(spark):
+    rows = run_rows()
+    seen, want = set(), []
+    for i, t in sorted({r for r in rows if r[0] is not None}):
+        own, gone = (t or "").split("\n"), set()
+        for k, pair in enumerate(zip(own, own[1:])):
+            gone |= {k, k + 1} if pair in seen else set()
+            seen.add(pair)
+        want += [(i, "\n".join(x for k, x in enumerate(own) if k not in gone), len(own), len(gone))] * rows.count((i, t))
+    want += [(i, t, 1, 0) for i, t in rows if i is None]
+    got = lines.without_repeated_runs(cases.documents(spark, rows)).collect()
+    assert key(map(tuple, got)) == key(want)
+
+
+def test_an_exact_copy_of_several_lines_goes_whole(spark):
+    rows = [(1, "\n".join(f"line {i}" for i in range(60))), (2, "\n".join(f"line {i}" for i in range(60)))]
+    got = {r.doc_id: r.n_removed for r in lines.without_repeated_runs(cases.documents(spark, rows)).collect()}
+    assert got == {1: 0, 2: 60}
+
+
 def near_rows():
     rng = random.Random(3)
     words = [f"w{i}" for i in range(3000)]
