@@ -188,6 +188,24 @@ def page_vacancies(spark: SparkSession, sf: str) -> DataFrame:
         "page_id", "title", "company", "location", "published_raw")
 
 
+@query("page_vacancies_whole", "S15 P08 P09 F13", f"""
+WITH {LANDED}, p AS (SELECT page_id, url, html, page_id % 4 AS kind FROM landed
+  WHERE NOT regexp_matches(url, '[?&]page=') AND NOT regexp_matches(url, '^https?://[^/?#]+/?(#.*)?$')),
+h AS (SELECT *, {clean_sql("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS heading,
+  replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), 'www.', '') AS host FROM p)
+SELECT page_id, {views.pick(views.TITLES, "page_id")} AS title, 'Acorn Labs' AS company, 'Colombo, LK' AS location,
+  '2024-01-15' AS published_raw, true AS structured FROM h WHERE kind = 0 AND page_id % 8 <> 0
+UNION ALL SELECT page_id, 'Data Engineer', host, 'Remote', '', true FROM h WHERE kind = 1
+UNION ALL SELECT page_id, heading, CASE WHEN contains(lower(heading), ' at ') THEN trim(string_split(heading, ' at ')[-1]) ELSE host END,
+  'Sri Lanka', '', false FROM h WHERE kind = 3 AND heading <> ''
+""")
+def page_vacancies_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """All that the operator returns, pages without structured data by heading and evidence included."""
+    rows = postings.page_vacancies(landed_pages(spark, sf), "Portal", "sri lanka", views.NOW)
+    return rows.select("page_id", "title", "company", "location", "published_raw",
+                       F.col("item_location").isNotNull().alias("structured"))
+
+
 @query("validated_hits", "S17 S19 J15 F14 P23")
 def validated_hits(spark: SparkSession, sf: str) -> DataFrame:
     landed = landed_pages(spark, sf)

@@ -30,15 +30,30 @@ WITH {JOBS} SELECT source_id AS sid, title, company, CASE WHEN location = '' THE
 WHERE source_id <> ''
 """)
 def json_board_remote(spark: SparkSession, sf: str) -> DataFrame:
+    own = _remote_rows(spark, sf).where("source_id <> '' and not source_id like '%://%'")
+    return own.select(F.col("source_id").alias("sid"), "title", "company", "location", "url",
+                      F.md5("description").alias("body"), "published_raw", "salary")
+
+
+@query("json_board_remote_whole", "S02 P14", f"""
+WITH {JOBS} SELECT CASE WHEN source_id = '' THEN url ELSE source_id END AS sid, title, company,
+  CASE WHEN location = '' THEN 'Remote' ELSE location END AS location, url,
+  md5(trim(regexp_replace(description, '[\\s\\x{{a0}}]+', ' ', 'g'))) AS body, published_raw, salary FROM jobs
+""")
+def json_board_remote_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """All postings; one without an id of its own goes by its address."""
+    return _remote_rows(spark, sf).select(
+        F.col("source_id").alias("sid"), "title", "company", "location", "url",
+        F.md5("description").alias("body"), "published_raw", "salary")
+
+
+def _remote_rows(spark: SparkSession, sf: str) -> DataFrame:
     item = F.struct(
         F.col("source_id").alias("id"), "url", "title", F.col("company").alias("company_name"),
         F.col("location").alias("candidate_required_location"), "description",
         F.col("published_raw").alias("publication_date"), "salary", "job_type")
     landed = _landed(spark, sf, "Remotive", item, "jobs")
-    rows = feeds.parse_feed(landed, feeds.FEEDS["Remotive"], "sri lanka")
-    own = rows.where("source_id <> '' and not source_id like '%://%'")
-    return own.select(F.col("source_id").alias("sid"), "title", "company", "location", "url",
-                      F.md5("description").alias("body"), "published_raw", "salary")
+    return feeds.parse_feed(landed, feeds.FEEDS["Remotive"], "sri lanka")
 
 
 @query("json_board_offers", "S02 F22 F23 F21", f"""
@@ -344,3 +359,19 @@ def detail_enrichment(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("2024-01-30").alias("published"))
     return feeds.enriched(jobs, details).select(
         F.col("source_id").alias("sid"), "description", "published_raw")
+
+
+@query("detail_enrichment_whole", "S16", f"""
+WITH {JOBS} SELECT seq, source_id AS sid,
+  CASE WHEN seq % 3 = 0 AND source_id <> '' THEN 'Detail of the role. ' || title ELSE title END AS description,
+  CASE WHEN seq % 3 = 0 AND source_id <> '' THEN '2024-01-30' ELSE published_raw END AS published_raw FROM jobs
+""")
+def detail_enrichment_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """All postings; one without an id of its own cannot be matched and keeps its card."""
+    jobs = views.vacancies(spark, sf).select(
+        "seq", "source_id", F.col("title").alias("description"), "published_raw")
+    details = jobs.where("seq % 3 = 0").select(
+        "source_id", F.lit("Detail of the role.").alias("detail"),
+        F.lit("2024-01-30").alias("published"))
+    return feeds.enriched(jobs, details).select(
+        "seq", F.col("source_id").alias("sid"), "description", "published_raw")

@@ -380,7 +380,8 @@ def enriched(jobs: DataFrame, details: DataFrame, replace: bool = False,
              minimum: int = 0) -> DataFrame:
     """Attach detail text: put in front of the card's text, or in place of it if longer.
 
-    A row without a usable detail keeps its card. ``details(source_id, detail, published)``.
+    A row without a usable detail keeps its card, and so does one without an id: blank ids
+    match nothing. ``details(source_id, detail, published)``.
     """
     text = text_of("detail")
     usable = (text != "") & (F.length(text) >= minimum)
@@ -388,7 +389,10 @@ def enriched(jobs: DataFrame, details: DataFrame, replace: bool = False,
         better = F.when(usable & (F.length(text) > F.length("description")), text)
     else:
         better = F.when(usable, F.concat(text, F.lit(" "), F.col("description")))
-    joined = jobs.join(details, "source_id", "left")
+    # rows without an id are spread over places that no detail has
+    spread = F.when(F.col("source_id") == "", F.xxhash64(*jobs.columns).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("long"))
+    keyed = details.where("source_id <> ''").withColumn("__spread", F.lit(0).cast("long"))
+    joined = jobs.withColumn("__spread", spread).join(keyed, ["source_id", "__spread"], "left").drop("__spread")
     return joined.withColumn("description", F.coalesce(better, F.col("description"))).withColumn(
         "published_raw",
         F.coalesce(F.nullif(text_of("published"), F.lit("")), F.col("published_raw")),

@@ -35,6 +35,18 @@ def test_query_matches_sql(spark, name):
     assert cells(got.columns, got.collect()) == cells(want.columns, want.fetchall())
 
 
+@pytest.mark.parametrize("part, whole, missed", [
+    ("page_vacancies", "page_vacancies_whole", "NOT structured"),
+    ("json_board_remote", "json_board_remote_whole", "sid = '' OR sid LIKE '%://%'"),
+    ("detail_enrichment", "detail_enrichment_whole", "sid = ''"),
+])
+def test_rows_left_out_of_a_checked_part_are_returned_by_the_whole(spark, part, whole, missed):
+    rows = entry.queries()[whole](spark, SF)
+    assert rows.where(missed).count() > 0
+    assert rows.count() == rows.where(missed).count() + entry.queries()[part](spark, SF).count()
+    test_query_matches_sql(spark, whole)
+
+
 def test_every_query_is_registered_once():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) > 90

@@ -46,3 +46,13 @@ def test_rows_without_a_link_are_numbered(spark):
     landed = spark.createDataFrame([("3CS Careers", "", json.dumps(items))], "source string, url string, payload string")
     got = feeds.parse_feed(landed, feeds.FEEDS["3CS Careers"]).orderBy("ordinal").collect()
     assert [r.source_id for r in got] == ["a", "3cs-1"]
+
+
+def test_blank_ids_match_no_detail(spark):
+    from talentmesh.sources import feeds
+
+    jobs = spark.createDataFrame([("", "a", ""), ("", "b", ""), ("1", "c", "")], "source_id string, description string, published_raw string")
+    details = spark.createDataFrame([("", "wrong", ""), ("", "wrong", ""), ("1", "More.", "")], "source_id string, detail string, published string")
+    got = feeds.enriched(jobs, details)
+    assert got.columns == jobs.columns
+    assert sorted(r.description for r in got.collect()) == ["More. c", "a", "b"]
