@@ -206,7 +206,7 @@ def page_vacancies_whole(spark: SparkSession, sf: str) -> DataFrame:
                        F.col("item_location").isNotNull().alias("structured"))
 
 
-@query("validated_hits", "S17 S19 J15 F14 P23")
+@query("validated_hits", "S17 J15 F14 P23")
 def validated_hits(spark: SparkSession, sf: str) -> DataFrame:
     landed = landed_pages(spark, sf)
     hits = landed.select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talentmesh.plans import views
 from talentmesh.plans.registry import query
-from talentmesh.sources import cards, feeds
+from talentmesh.sources import cards, feeds, registry
 
 JOBS = views.vacancy_cte()
 PAGE = 25
@@ -185,7 +185,7 @@ def ats_details(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("source_id").alias("sid"), "description", F.col("detail_page_verified").alias("verified"))
 
 
-@query("source_fan_in", "O04 S18", f"""
+@query("source_fan_in", "O04", f"""
 WITH {JOBS}, parts AS (
   SELECT 0 AS rank, 'Acumatica Sri Lanka Careers' AS source, 'job-' || seq AS sid, seq FROM jobs WHERE seq % 3 <> 0
   UNION ALL SELECT 1, 'Rootcode Careers', CAST(seq AS VARCHAR), seq FROM jobs WHERE seq % 2 = 0
@@ -333,7 +333,7 @@ def table_listings(spark: SparkSession, sf: str) -> DataFrame:
                        "description")
 
 
-@query("search_result_jobs", "S07 S17 S19 F17", f"""
+@query("search_result_jobs", "S07 S17 F17", f"""
 WITH {JOBS} SELECT 'https://jobs.test/' || seq AS sid, title || ' at Acme' AS title, 'Acme' AS company, 'Snip' AS description,
   'Sri Lanka' AS location FROM jobs
 """)
@@ -375,3 +375,75 @@ def detail_enrichment_whole(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("2024-01-30").alias("published"))
     return feeds.enriched(jobs, details).select(
         "seq", F.col("source_id").alias("sid"), "description", "published_raw")
+
+
+@query("search_payload_results", "S17 S19", f"""
+WITH {JOBS} SELECT 'Google Custom Search' AS source, 'https://jobs.test/' || seq AS url, title, 'Snip' AS snippet,
+  CASE WHEN seq % 3 = 0 THEN 'https://img.test/' || seq ELSE '' END AS thumbnail FROM jobs
+UNION ALL SELECT 'SerpAPI Google', 'https://jobs.test/' || seq, title, 'Snip', '' FROM jobs
+""")
+def search_payload_results(spark: SparkSession, sf: str) -> DataFrame:
+    seq = F.col("seq")
+    shown = F.when(seq % 3 == 0, F.struct(F.array(F.struct(F.concat(F.lit("https://img.test/"), seq).alias("src"))).alias("cse_thumbnail")))
+    item = [F.concat(F.lit("https://jobs.test/"), seq).alias("link"), F.col("title"), F.lit("Snip").alias("snippet")]
+    landed = _landed(spark, sf, "Google Custom Search", F.struct(*item, shown.alias("pagemap")), "items").unionByName(
+        _landed(spark, sf, "SerpAPI Google", F.struct(*item), "organic_results"))
+    rows = cards.search_payloads(landed.withColumnRenamed("page_no", "page_id"))
+    return rows.select("source", "url", "title", "snippet", "thumbnail")
+
+
+@query("guest_cards", "S07", f"""
+WITH {JOBS} SELECT CASE WHEN seq % 2 = 0 THEN CAST(seq AS VARCHAR) ELSE 'https://li.test/view/' || seq || '?a=1&b=2' END AS sid,
+  title, 'Acme & Co' AS company, 'Colombo, Sri Lanka' AS location, 'https://li.test/view/' || seq || '?a=1&b=2' AS url,
+  '2024-01-02' AS published_raw FROM jobs WHERE seq % 5 <> 0
+""")
+def guest_cards(spark: SparkSession, sf: str) -> DataFrame:
+    seq = F.col("seq")
+    pages = views.vacancies(spark, sf).select(
+        seq.alias("page_id"), F.lit("https://li.test/search").alias("url"),
+        F.concat(F.lit('<ul><li><div class="base-card x"'), F.when(seq % 2 == 0, F.concat(F.lit(' data-entity-urn="urn:li:jobPosting:'), seq, F.lit('"'))).otherwise(""),
+                 F.lit('><a class="base-card__full-link y" href="https://li.test/view/'), seq, F.lit('?a=1&amp;b=2">x</a><h3 class="base-search-card__title"> '), "title",
+                 F.lit(' </h3><h4 class="base-search-card__subtitle"><a href="/c">Acme &amp; Co</a></h4><span class="job-search-card__location"> '),
+                 F.when(seq % 5 == 0, F.lit("Berlin")).otherwise(F.lit("Colombo, Sri Lanka")),
+                 F.lit(' </span><time datetime="2024-01-02"></time></div></li></ul>')).alias("html"))
+    rows = cards.guest_cards(pages)
+    return rows.select(F.col("source_id").alias("sid"), "title", "company", "location", "url", "published_raw")
+
+
+@query("structured_list", "S07 S08", f"""
+WITH {JOBS} SELECT 'https://rr.test/jobs/senior-cook-' || seq AS sid, CASE WHEN seq % 2 = 0 THEN title ELSE 'Senior Cook ' || seq END AS title,
+  'Acme' AS company, 'Sri Lanka / Remote' AS location, CASE WHEN seq % 2 = 0 THEN title ELSE 'Senior Cook ' || seq END AS description,
+  '2024-01-03' AS published_raw FROM jobs
+""")
+def structured_list(spark: SparkSession, sf: str) -> DataFrame:
+    seq = F.col("seq")
+    item = F.struct(
+        F.lit("JobPosting").alias("@type"), F.when(seq % 2 == 0, F.col("title")).alias("title"),
+        F.concat(F.lit("https://rr.test/jobs/senior-cook-"), seq).alias("url"),
+        F.struct(F.lit("Acme").alias("name")).alias("hiringOrganization"), F.lit("2024-01-03").alias("datePosted"))
+    landed = _landed(spark, sf, "RemoteRocketship", item, "itemListElement")
+    pages = landed.select(F.col("page_no").alias("page_id"), "url", F.concat(
+        F.lit('<script type="application/ld+json">'), "payload", F.lit("</script>")).alias("html"))
+    rows = cards.structured_list(pages)
+    return rows.select(F.col("source_id").alias("sid"), "title", "company", "location", "description", "published_raw")
+
+
+@query("registry_fan_in", "O04 S18", f"""
+WITH {JOBS}, parts AS (
+  SELECT 0 AS rank, 'Himalayas' AS source, CAST(seq AS VARCHAR) AS sid, seq FROM jobs
+  UNION ALL SELECT 1, 'Rootcode Careers', CAST(seq AS VARCHAR), seq FROM jobs WHERE seq % 2 = 0),
+pages AS (SELECT rank, seq // {PAGE} AS page, max(seq % {PAGE}) + 1 AS n FROM parts GROUP BY ALL),
+based AS (SELECT *, coalesce(sum(n) OVER (ORDER BY rank, page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM pages)
+SELECT source, sid, CAST(base + seq % {PAGE} AS BIGINT) AS seq FROM parts JOIN based ON parts.rank = based.rank AND page = seq // {PAGE}
+""")
+def registry_fan_in(spark: SparkSession, sf: str) -> DataFrame:
+    """Landed feeds that the registry says run; Bistec has no verified address, so its payloads stay out."""
+    companies = spark.createDataFrame(
+        [("Rootcode", "https://rootcode.ai/careers"), ("Bistec Global", None)], "company string, verified_url string")
+    scope = registry.sources_in_scope(
+        registry.default_registry(spark, companies), "Software Engineer", remote_global=True)
+    guid = F.struct(F.col("seq").cast("string").alias("guid"), "title")
+    landed = _landed(spark, sf, "Bistec Global Careers", _opening_item(), "data").unionByName(
+        _landed(spark, sf, "Rootcode Careers", _position_item(), "results")).unionByName(
+        _landed(spark, sf, "Himalayas", guid, "jobs"))
+    return feeds.registry_fan_in(scope, landed).select("source", F.col("source_id").alias("sid"), "seq")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from talentmesh import lexicons as lex
 from talentmesh.functions import urls
 from talentmesh.functions.text import clean_html, first_group, strip, unescape
+from talentmesh.operators import postings
 
 # --- fixed values: card and field patterns --------------------------------------------------------
 CARD = r"(?is)<article\b(?=[^>]*class=[\"'][^\"']*\bjob-card\b)[^>]*>.*?</article>"
@@ -24,6 +25,12 @@ RESULT = (
     r"<div[^>]+class=\"result__snippet\"[^>]*>(.*?)</div>)"
 )
 BOARD_LINK = r"(?is)href=[\"']([^\"']*/jobs/[^\"']+/)[\"'][^>]*>(.*?)</a>"
+GUEST_CARD = r"(?is)<div class=\"base-card\b.*?</li>"
+GUEST_TITLE = r"(?is)<h3 class=\"base-search-card__title\">\s*(.*?)\s*</h3>"
+GUEST_COMPANY = r"(?is)<h4 class=\"base-search-card__subtitle\">.*?<a[^>]*>\s*(.*?)\s*</a>"
+GUEST_PLACE = r"(?is)<span class=\"job-search-card__location\">\s*(.*?)\s*</span>"
+GUEST_LINK = r"(?is)<a class=\"base-card__full-link[^\"]*\" href=\"([^\"]+)\""
+GUEST_TIME = r"(?is)<time[^>]*datetime=\"([^\"]+)\""
 REMARK = r"(?is)<div\b[^>]*\bid=[\"']remark[\"'][^>]*>(.*?)</div>"
 
 
@@ -132,3 +139,56 @@ def search_hit_jobs(hits: DataFrame, source: str, country: str) -> DataFrame:
         urls.company_of(F.col("url"), F.col("title")).alias("company"),
         F.lit(country.title()).alias("location"), F.lit(country).alias("country_hint"), "url",
         F.col("snippet").alias("description"), F.lit("search result").alias("job_type"))
+
+
+def guest_cards(pages_df: DataFrame, source: str = "LinkedIn Public") -> DataFrame:
+    """Guest search cards with a title, a link and a place in the country."""
+    card = F.col("card")
+    own_id = first_group(card, r"(?i)urn:li:jobPosting:(\d+)")
+    made = _exploded(pages_df, GUEST_CARD, "card").select(
+        "page_id", "ordinal", F.lit(source).alias("source"), own_id.alias("own_id"),
+        clean_html(first_group(card, GUEST_TITLE)).alias("title"),
+        clean_html(first_group(card, GUEST_COMPANY)).alias("company"),
+        clean_html(first_group(card, GUEST_PLACE)).alias("location"),
+        unescape(first_group(card, GUEST_LINK)).alias("url"),
+        first_group(card, GUEST_TIME).alias("published_raw"))
+    kept = made.where((F.col("title") != "") & (F.col("url") != "") & F.lower("location").contains("sri lanka"))
+    return kept.select(
+        "page_id", "ordinal", "source",
+        F.when(F.col("own_id") != "", F.col("own_id")).otherwise(F.col("url")).alias("source_id"),
+        "title", "company", "location", F.lit("sri lanka").alias("country_hint"), "url",
+        F.col("title").alias("description"), "published_raw")
+
+
+def structured_list(pages_df: DataFrame, source: str = "RemoteRocketship") -> DataFrame:
+    """Records with an address of a board's JSON-LD list; a blank title is read from the address."""
+    field = lambda key: F.coalesce(F.get_json_object("record", f"$.{key}"), F.lit(""))
+    either = lambda a, b: F.when(a != "", a).otherwise(b)
+    made = postings.structured_records(pages_df).select(
+        "page_id", "ordinal", "record", field("url").alias("url"), either(field("name"), field("title")).alias("named"))
+    titled = made.where(F.col("url") != "").withColumn(
+        "title", either(F.col("named"), urls.title_from_slug(F.col("url"))))
+    return titled.select(
+        "page_id", "ordinal", F.lit(source).alias("source"), F.col("url").alias("source_id"),
+        either(F.col("title"), F.lit("Machine Learning / AI role")).alias("title"),
+        field("hiringOrganization.name").alias("company"), F.lit("Sri Lanka / Remote").alias("location"),
+        F.lit("sri lanka").alias("country_hint"), "url",
+        either(field("description"), F.col("title")).alias("description"),
+        field("datePosted").alias("published_raw"), field("employmentType").alias("job_type"))
+
+
+def search_payloads(landed: DataFrame) -> DataFrame:
+    """``title, url, snippet, thumbnail`` of landed search-result JSON, one row a result.
+
+    ``landed(page_id, source, payload)`` holds ``items`` or ``organic_results``. Entries that are
+    no objects are skipped; an unreadable payload gives no row. The thumbnail is that of a contact result.
+    """
+    lists = F.from_json("payload", "struct<items:array<string>,organic_results:array<string>>")
+    none = F.array().cast("array<string>")
+    read = landed.select("page_id", "source", lists.alias("p")).select(
+        "page_id", "source", F.posexplode(F.concat(
+            F.coalesce("p.items", none), F.coalesce("p.organic_results", none))).alias("ordinal", "item"))
+    field = lambda path: F.coalesce(F.get_json_object("item", f"$.{path}"), F.lit(""))
+    return read.where(F.col("item").startswith("{")).select(
+        "page_id", "ordinal", "source", field("title").alias("title"), field("link").alias("url"),
+        field("snippet").alias("snippet"), field("pagemap.cse_thumbnail[0].src").alias("thumbnail"))

@@ -322,8 +322,22 @@ def fan_in(parts: list[DataFrame]) -> DataFrame:
     ``parts`` come in registry order, with ``page_no`` and ``ordinal`` as :func:`parse_feed`
     gives them. Pages are counted, not sorted together, so ``seq`` takes no global sort.
     """
-    tagged = [p.withColumn("rank", F.lit(n)) for n, p in enumerate(parts)]
-    rows = durable_cut(reduce(DataFrame.unionByName, tagged))
+    return _numbered(reduce(DataFrame.unionByName, [p.withColumn("rank", F.lit(n)) for n, p in enumerate(parts)]))
+
+
+def registry_fan_in(scope: DataFrame, landed: DataFrame, country: str = "") -> DataFrame:
+    """Rows of every landed feed whose source runs, in registry order, as :func:`fan_in` numbers them.
+
+    ``scope`` is :func:`registry.sources_in_scope`; ``landed`` as for :func:`parse_feed`. Payloads
+    of a source that is skipped, or that the registry does not hold, give no row.
+    """
+    runs = scope.where("skip_reason = ''").select("source", F.struct("source_order", "source").alias("rank")).distinct()
+    rows = reduce(DataFrame.unionByName, [parse_feed(landed, feed, country) for feed in FEEDS.values()])
+    return _numbered(rows.join(runs, "source"))
+
+
+def _numbered(tagged: DataFrame) -> DataFrame:
+    rows = durable_cut(tagged)
     pages = rows.groupBy("rank", "page_no").agg(F.max("ordinal").alias("last"))
     by_rank = Window.partitionBy("rank").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
     inside = pages.withColumn("in_rank", F.coalesce(F.sum(F.col("last") + 1).over(by_rank), F.lit(0)))

@@ -56,3 +56,31 @@ def test_blank_ids_match_no_detail(spark):
     got = feeds.enriched(jobs, details)
     assert got.columns == jobs.columns
     assert sorted(r.description for r in got.collect()) == ["More. c", "a", "b"]
+
+
+def test_search_payloads(spark):
+    import json
+
+    from talentmesh.sources import cards
+
+    good = {"title": "A", "link": "https://a.test", "snippet": "s", "pagemap": {"cse_thumbnail": [{"src": "t"}]}}
+    made = [("g", json.dumps({"items": [good, "odd", {"title": 7, "pagemap": {"cse_thumbnail": {}}}]})),
+            ("s", json.dumps({"organic_results": [{"title": "B", "link": "https://b.test", "pagemap": []}]})), ("x", "no json"), ("y", "{}")]
+    landed = spark.createDataFrame([(i, *m) for i, m in enumerate(made)], "page_id long, source string, payload string")
+    got = cards.search_payloads(landed).orderBy("page_id", "ordinal").select("source", "title", "url", "snippet", "thumbnail")
+    assert [tuple(r) for r in got.collect()] == [
+        ("g", "A", "https://a.test", "s", "t"), ("g", "7", "", "", ""), ("s", "B", "https://b.test", "", "")]
+
+
+def test_fan_in_takes_what_the_registry_runs(spark):
+    import json
+
+    from talentmesh.sources import feeds
+
+    names = ("Himalayas", "Remotive", "Arbeitnow", "Rootcode Careers")
+    made = [(n, "", json.dumps({"jobs": [{"guid": "1", "id": "1"}, {"guid": "2", "id": "2"}], "data": [{"slug": "3"}]})) for n in names]
+    landed = spark.createDataFrame(made, "source string, url string, payload string")
+    run = lambda remote: feeds.registry_fan_in(
+        registry.sources_in_scope(registry.default_registry(spark), "Nurse", remote_global=remote), landed).select("seq", "source", "source_id")
+    assert sorted(map(tuple, run(False).collect())) == [(0, "Arbeitnow", "3")]
+    assert [r[1] for r in sorted(map(tuple, run(True).collect()))] == ["Remotive", "Remotive", "Himalayas", "Himalayas", "Arbeitnow"]
