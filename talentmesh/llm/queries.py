@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 import corpus_pipeline
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentmesh.llm import ann, bpe, exact, jaccard, langid, lines, packing, quality, sharding, suffixdedup
-from talentmesh.llm.common import table
+from talentmesh.functions.text import let
+from talentmesh.llm import (
+    alignment, ann, bpe, exact, fingerprints, jaccard, langid, lines, packing, periodic, quality, sharding, suffixdedup,
+)
+from talentmesh.llm.common import WHITE_SPACE, body, table
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -124,6 +127,105 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placements(table(spark, sf_dir, "documents"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fingerprints.against_edits(table(spark, sf_dir, "documents"))
+    return done.withColumn("edited", F.sha2("edited", 256)).withColumnRenamed("edited", "edited_sha256")
+
+
+def _triplets() -> str:
+    """Hashed triplets of every four bytes (z is the last, y, x, w those before it)."""
+    parts = []
+    for nth, (a, b) in enumerate(fingerprints.TRIPLETS):
+        first, second = "zyxw"[b], "zyxw"[b - a]
+        parts.append(
+            f"SELECT doc_id, kind, ((({first}::BIGINT * 65536 + {second} * 256 + z + {nth << 24}) * {fingerprints.MULTIPLIER}) "
+            f"% 4294967296) // {(1 << 32) // fingerprints.BUCKETS} AS bucket FROM b WHERE {first} IS NOT NULL"
+        )
+    return " UNION ALL ".join(parts)
+
+
+OP11_SQL = f"""
+WITH n AS (SELECT doc_id, coalesce(text, '') AS text,
+         coalesce(lead(doc_id) OVER w, max(doc_id) OVER ()) AS next_id,
+         coalesce(lead(coalesce(text, '')) OVER w, first_value(coalesce(text, '')) OVER w) AS following
+       FROM documents WINDOW w AS (ORDER BY doc_id DESC)),
+e AS (SELECT doc_id, next_id, text, length(text) AS n_chars,
+        substr(text, 1, length(text) - length(text) // 3) || substr(following, 1, length(text) // 3) AS edited FROM n),
+t AS (SELECT doc_id, 0 AS kind, text FROM e UNION ALL SELECT doc_id, 1, edited FROM e),
+u AS (SELECT doc_id, kind, unnest(list) AS pair, generate_subscripts(list, 1) AS i
+      FROM (SELECT doc_id, kind, list_concat(['00', '00'], regexp_extract_all(hex(encode(text)), '..')) AS list FROM t)),
+h AS (SELECT doc_id, kind, i, CAST('0x' || pair AS INTEGER) AS z FROM u),
+b AS (SELECT doc_id, kind, z, lag(z, 1) OVER w AS y, lag(z, 2) OVER w AS x, lag(z, 3) OVER w AS w
+      FROM h WINDOW w AS (PARTITION BY doc_id, kind ORDER BY i)),
+k AS (SELECT doc_id, kind, bucket, count(*) AS c FROM ({_triplets()}) GROUP BY ALL),
+f AS (SELECT t.doc_id, t.kind, r.bucket, coalesce(k.c, 0) AS c
+      FROM t CROSS JOIN range({fingerprints.BUCKETS}) r(bucket) LEFT JOIN k ON k.doc_id = t.doc_id AND k.kind = t.kind AND k.bucket = r.bucket),
+q AS (SELECT doc_id, kind, list_sort(list(c)) AS s FROM f GROUP BY ALL),
+c AS (SELECT f.doc_id, f.kind, f.bucket, CAST(c > s[{fingerprints.BUCKETS // 4}] AS INTEGER) + CAST(c > s[{fingerprints.BUCKETS // 2}] AS INTEGER)
+        + CAST(c > s[{3 * fingerprints.BUCKETS // 4}] AS INTEGER) AS code FROM f JOIN q ON q.doc_id = f.doc_id AND q.kind = f.kind),
+x AS (SELECT doc_id, kind, string_agg(digit, '' ORDER BY place) AS digits FROM (
+        SELECT doc_id, kind, bucket // 2 AS place, substr('0123456789abcdef', 1 + CAST(sum(CASE WHEN bucket % 2 = 0 THEN 4 * code ELSE code END) AS INTEGER), 1) AS digit
+        FROM c GROUP BY ALL) GROUP BY ALL),
+l AS (SELECT doc_id, kind, n, CASE WHEN n < 1 THEN 0 ELSE least(255, p * 8 + ((n << 3) >> p) - 7) END AS code
+      FROM (SELECT doc_id, kind, strlen(text)::BIGINT AS n, greatest(length(bin(strlen(text)::BIGINT)) - 1, 0)::INTEGER AS p FROM t)),
+d AS (SELECT x.doc_id, x.kind, lower(lpad(hex(l.code), 2, '0')) || x.digits AS fingerprint, l.code,
+        g.codes FROM x JOIN l USING (doc_id, kind) JOIN (SELECT doc_id, kind, list(code ORDER BY bucket) AS codes FROM c GROUP BY ALL) g USING (doc_id, kind)),
+p AS (SELECT e.doc_id, o.fingerprint, m.fingerprint AS edited_fingerprint,
+        list_sum(list_transform(list_zip(o.codes, m.codes), lambda z: abs(z[1] - z[2]))) + least(abs(o.code - m.code), {fingerprints.LENGTH_PART}) AS to_edited,
+        list_sum(list_transform(list_zip(o.codes, v.codes), lambda z: abs(z[1] - z[2]))) + least(abs(o.code - v.code), {fingerprints.LENGTH_PART}) AS to_next
+      FROM e JOIN d o ON o.doc_id = e.doc_id AND o.kind = 0 JOIN d m ON m.doc_id = e.doc_id AND m.kind = 1
+        JOIN d v ON v.doc_id = e.next_id AND v.kind = 0)
+SELECT e.doc_id, e.n_chars, sha256(e.edited) AS edited_sha256, fingerprint, edited_fingerprint,
+  CAST(greatest({fingerprints.BOUND} - to_edited, 0) AS DOUBLE) / {fingerprints.BOUND} AS near_edited,
+  CAST(greatest({fingerprints.BOUND} - to_next, 0) AS DOUBLE) / {fingerprints.BOUND} AS near_next
+FROM e JOIN p USING (doc_id)
+"""
+
+
+def made_periodic(docs: DataFrame) -> DataFrame:
+    """``documents`` (doc_id, text) in which a tenth of the texts repeat a stretch of words to their end.
+
+    With h = crc32 of the decimal doc_id and g = h / 10: if h is divisible by 10, words from
+    a = g % n on become original words a + (i - a) % p, p = 1 + (n - a) / (3 + g % 8). A null
+    doc_id changes nothing.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.expr("crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) div 10")
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = F.pmod(g, n).cast("int")
+        p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + F.pmod(g, F.lit(8))))).cast("int")
+        times = F.ceil((n - a) / p).cast("int")
+        again = F.flatten(F.array_repeat(F.slice(words, a + 1, p), times))
+        return F.array_join(F.slice(F.concat(F.slice(words, F.lit(1), a), again), F.lit(1), n), " ")
+
+    words = F.filter(F.split(body(), WHITE_SPACE), lambda w: w != "")
+    changed = let(words, lambda w: F.when(F.size(w) > 0, repeated(w)).otherwise(""))
+    return docs.select("doc_id", F.when(F.pmod(h, F.lit(10)) == 0, changed).otherwise(body()).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = periodic.periodic_runs(made_periodic(table(spark, sf_dir, "documents")))
+    none = F.expr("CAST(NULL AS struct<start: bigint, length: bigint, period: bigint>)")
+    longer = lambda r, best: r["length"] * best["period"] > best["length"] * r["period"]
+    best = F.reduce("runs", none, lambda most, r: F.when(most.isNull() | longer(r, most), r).otherwise(most))
+    lines_of_runs = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    done = done.withColumn("best", best)
+    return done.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines_of_runs, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = lambda groups: F.when(groups == "", "").otherwise(F.sha2(groups, 256))
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    rows, _ = alignment.aligned(table(spark, sf_dir, "documents"), *paths, keep=digest)
+    return rows.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES: dict[str, Runner] = {
     "op1_packing": op1_packing,
     "op2_nearest": op2_nearest,
@@ -136,10 +238,14 @@ QUERIES: dict[str, Runner] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
+    "op11_fingerprints": op11_fingerprints,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_alignment": op13_alignment,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL, "op4_repeated_runs": OP4_RUNS_SQL, "op8_jaccard_join": OP8_SQL,
+    "op11_fingerprints": OP11_SQL,
 }
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -37,7 +37,7 @@ class ByteLevelIds:
         if [vocab["".join(m)] for m in merges] != list(range(256, 256 + len(merges))):
             raise ValueError(f"{path}: ids are not the ranks of the merges")
         ranks = {bytes(letters[c] for c in w): i for w, i in vocab.items()}
-        self._path, self._slow = path, None
+        self._path, self._slow, self._plain, self._ranks = path, None, None, ranks
         self._fast = tiktoken.Encoding(
             "vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special
         )
@@ -54,6 +54,27 @@ class ByteLevelIds:
             self._slow = Tokenizer.from_file(self._path)
         return np.array(self._slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
+    def encode_ordinary(self, text: str) -> np.ndarray:
+        """Ids of ``text``, in which special tokens written out are text like any other."""
+        try:
+            return np.array(self._fast.encode_ordinary(text), dtype="<u4")
+        except BaseException as refused:  # a panic of the extension is no Exception
+            if isinstance(refused, (KeyboardInterrupt, SystemExit, MemoryError)):
+                raise
+        if self._plain is None:
+            from tokenizers import Tokenizer
+
+            self._plain = Tokenizer.from_file(self._path)
+            self._plain.encode_special_tokens = True
+        return np.array(self._plain.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def bytes_of(self) -> list[bytes]:
+        """The bytes that each id stands for; ids that are no merges or bytes stand for none."""
+        out = [b""] * (max(self._ranks.values()) + 1)
+        for raw, i in self._ranks.items():
+            out[i] = raw
+        return out
+
 
 @functools.lru_cache(maxsize=2)
 def byte_level_ids(path: str) -> ByteLevelIds:
