@@ -9,12 +9,12 @@ differ by about BOUND, where likeness ends.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentmesh.llm.common import body, shuffle_partitions, stable, tidy
@@ -156,15 +156,15 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(rows, REPORT)
 
 
-def against_edits(docs: DataFrame) -> DataFrame:
+def against_edits(docs: DataFrame, keep: Callable[[Column], Column] = lambda edited: edited) -> DataFrame:
     """Each document's fingerprint against that of an edited copy and of the next document.
 
     The next document follows by descending doc_id, the first follows the last; a table of one
     row is its own next. In the edited text the last third of the code points (rounded down) is
     replaced by the first as many, or all, of the next document.
 
-    Returns one row per document: doc_id, n_chars, edited (the text), fingerprint,
-    edited_fingerprint, near_edited, near_next. Null text is empty. Rows with a null doc_id come
+    Returns one row per document: doc_id, n_chars, edited (the text, after ``keep``, which says
+    what of it is to be written), fingerprint, edited_fingerprint, near_edited, near_next. Null text is empty. Rows with a null doc_id come
     last; rows that share a doc_id follow one another by xxhash64 of their text. Only doc_id and
     text are read, so other columns cannot clash. An empty table gives an empty result.
 
@@ -176,7 +176,8 @@ def against_edits(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("text"), F.xxhash64(body()).alias("mark"), spread)
     order = [F.desc_nulls_last("doc_id"), F.asc("mark"), F.asc("spread")]
     sorted_texts = texts.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
-    walked = stable(sorted_texts.select("doc_id", "text").mapInArrow(tidy(_walk), WALK_SCHEMA), "walked")
+    walk = sorted_texts.select("doc_id", "text").mapInArrow(tidy(_walk), WALK_SCHEMA)
+    walked = stable(walk.withColumn("edited", keep(F.col("edited"))), "walked")
 
     firsts = walked.where("edge = 'first'").select("partition", F.col("text").alias("following"))
     # One number a partition of the shuffle.
@@ -187,4 +188,5 @@ def against_edits(docs: DataFrame) -> DataFrame:
     lasts = walked.where("edge = 'last'").select("doc_id", "text", "partition").join(after, "partition")
     firsts = firsts.withColumnRenamed("partition", "next_partition")
     edges = lasts.join(firsts, "next_partition").select("doc_id", "text", "following").mapInArrow(tidy(_edges), REPORT_SCHEMA)
+    edges = edges.withColumn("edited", keep(F.col("edited")))
     return walked.where("edge IS NULL").select(*REPORT.names).union(edges)

@@ -128,8 +128,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = fingerprints.against_edits(table(spark, sf_dir, "documents"))
-    return done.withColumn("edited", F.sha2("edited", 256)).withColumnRenamed("edited", "edited_sha256")
+    done = fingerprints.against_edits(table(spark, sf_dir, "documents"), keep=lambda edited: F.sha2(edited, 256))
+    return done.withColumnRenamed("edited", "edited_sha256")
 
 
 def _triplets() -> str:
