@@ -3,12 +3,12 @@
 Both token sequences of a text are cut into groups wherever a token of each ends at one byte.
 The tokens of a group are linked, every one of A with every one of B.
 
-Links are kept as inverted lists. Documents are numbered inside blocks; for every id pair of a
-block there is a set of bitmaps over the block's documents, one for each binary digit of the
-number of links (multiplicity planes). Their union is the pair's document bitmap, whose bits
-are the pair's documents. Blocks hold different documents, so a pair's count over the corpus is
-the sum over its blocks. The counts then return along the postings to the blocks, where each
-plane adds its share to the documents it names.
+Links are kept as inverted lists. Documents are numbered inside blocks; every id pair of a block
+has a compressed bitmap of the documents that hold it linked, and multiplicity planes: one
+bitmap for each binary digit of the links beyond the first. The links of a block's documents are
+merged into one bitmap a pair, whose bits are counted. Blocks hold different documents, so a
+pair's count over the corpus is the sum over its blocks. The counts then return along the
+postings to the blocks, where each bitmap adds its share to the documents it names.
 """
 
 from __future__ import annotations
@@ -32,6 +32,11 @@ BLOCK_TOKENS = 1 << 20
 #: Bits that a list of places may take before a bit map is shorter.
 _FULL = BLOCK_DOCUMENTS // 16
 _SIDE = 1 << 20
+_SIDE_A = 1 << 17
+#: Links of a group from which on its ids are counted before they are paired.
+LARGE_GROUP = 256
+#: Tokens of A whose texts are aligned together.
+TOGETHER = 1 << 16
 
 
 class PieceIds:
@@ -56,39 +61,68 @@ def piece_ids(path: str) -> PieceIds:
     return PieceIds(path)
 
 
-def shared_ends(lengths_a: np.ndarray, lengths_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The group of every token of A and of B, given the tokens' byte lengths."""
-    ends_a, ends_b = np.cumsum(lengths_a), np.cumsum(lengths_b)
-    shared = np.intersect1d(ends_a, ends_b)
-    return np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
-
-
-def written_groups(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the ids of each group."""
-    group, side = np.concatenate([group_a, group_b]), np.repeat([0, 1], [len(a), len(b)])
-    order = np.argsort(group * 2 + side, kind="stable")
-    ids, cell = np.concatenate([a, b])[order].tolist(), (group * 2 + side)[order]
-    signs = np.where(np.diff(cell) == 0, 0, np.where(cell[1:] % 2 == 1, 1, 2)).tolist()
-    return "".join([f"{i}{',|;'[s]}" for i, s in zip(ids, signs, strict=False)]) + str(ids[-1])
+class Groups:
+    """Tokens of several texts, cut into groups where a token of each side ends at one byte.
 
+    ``a`` and ``b`` hold the ids of all texts, ``of_a`` and ``of_b`` the text of each token; the
+    tokens of a text cover the same bytes on both sides.
+    """
 
-def _counted(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    cells, n = np.unique(group * _SIDE + ids, return_counts=True)
-    return cells // _SIDE, cells % _SIDE, n
+    def __init__(self, a: list[np.ndarray], b: list[np.ndarray], size_a: np.ndarray, size_b: np.ndarray) -> None:
+        self.texts = len(a)
+        self.of_a, self.of_b = (np.repeat(np.arange(len(x)), [len(t) for t in x]) for x in (a, b))
+        self.a, self.b = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in (a, b))
+        ends_a, ends_b = np.cumsum(size_a[self.a]), np.cumsum(size_b[self.b])
+        n = int(ends_a[-1]) + 1 if len(ends_a) else 1
+        at_a, at_b = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+        at_a[ends_a] = at_b[ends_b] = True
+        self.last_a, self.last_b = at_b[ends_a], at_a[ends_b]
+        self.group_a, self.group_b = (np.cumsum(last) - last for last in (self.last_a, self.last_b))
+        self.of_group = self.of_a[self.last_a]
+        count = len(self.of_group)
+        self.n_a, self.n_b = np.bincount(self.group_a, minlength=count), np.bincount(self.group_b, minlength=count)
+        self.first_b = np.cumsum(self.n_b) - self.n_b
+
+    def per_text(self, of: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
+        total = np.zeros(self.texts, dtype=np.int64)
+        np.add.at(total, of, 1 if values is None else values)
+        return total
+
+    def written(self, names: list[str]) -> list[str]:
+        """``a1,a2|b1;a3|b2,b3`` of each text; ``names`` holds every id with every sign after it."""
+        before_a = np.arange(len(self.a)) + self.first_b[self.group_a]
+        before_b = np.arange(len(self.b)) + np.cumsum(self.n_a)[self.group_b]
+        order = np.empty(len(self.a) + len(self.b), dtype=np.int64)
+        ends = np.append(self.of_b[1:] != self.of_b[:-1], True)[: len(self.b)]
+        order[before_a] = self.a * 2 + self.last_a
+        order[before_b] = 2 * _SIDE_A + self.b * 3 + self.last_b + ends
+        cuts = np.cumsum(self.per_text(self.of_a) + self.per_text(self.of_b)).tolist()
+        get = names.__getitem__
+        return ["".join(map(get, order[lo:hi].tolist())) for lo, hi in zip([0, *cuts], cuts, strict=False)]
+
+    def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, a * 2**20 + b, links) of linked tokens; equal ids of a large group come once, counted."""
+        large = self.n_a * self.n_b > LARGE_GROUP
+        width = np.where(large, 0, self.n_b)[self.group_a]
+        left = np.repeat(np.arange(len(self.a)), width)
+        right = np.arange(len(left)) - np.repeat(np.cumsum(width) - width, width) + np.repeat(self.first_b[self.group_a], width)
+        texts, pairs, counts = [self.of_a[left]], [self.a[left] * _SIDE + self.b[right]], [np.ones(len(left), dtype=np.int64)]
+        first_a = np.cumsum(self.n_a) - self.n_a
+        for g in np.flatnonzero(large).tolist():
+            id_a, n_a = np.unique(self.a[first_a[g] : first_a[g] + self.n_a[g]], return_counts=True)
+            id_b, n_b = np.unique(self.b[self.first_b[g] : self.first_b[g] + self.n_b[g]], return_counts=True)
+            pairs.append((id_a[:, None] * _SIDE + id_b).ravel())
+            counts.append((n_a[:, None] * n_b).ravel())
+            texts.append(np.full(len(pairs[-1]), self.of_group[g]))
+        return np.concatenate(texts), np.concatenate(pairs), np.concatenate(counts)
 
 
-def linked_pairs(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct id pairs of the groups (a * 2**20 + b) and their links; equal ids of a group are counted first."""
-    of_a, id_a, n_a = _counted(group_a, a)
-    of_b, id_b, n_b = _counted(group_b, b)
-    first, end = np.searchsorted(of_b, of_a), np.searchsorted(of_b, of_a, side="right")
-    width = end - first
-    left = np.repeat(np.arange(len(of_a)), width)
-    right = np.arange(len(left)) - np.repeat(np.cumsum(width) - width, width) + np.repeat(first, width)
-    pairs, at = np.unique(id_a[left] * _SIDE + id_b[right], return_inverse=True)
-    links = np.zeros(len(pairs), dtype=np.int64)
-    np.add.at(links, at, n_a[left] * n_b[right])
-    return pairs, links
+@functools.lru_cache(maxsize=2)
+def signed_names(n_a: int, n_b: int) -> list[str]:
+    """Ids of A before ``,`` and ``|``, then ids of B before ``,`` and ``;`` and at a text's end."""
+    names = [f"{i}{sign}" for i in range(n_a) for sign in ",|"]
+    names += [""] * (2 * (_SIDE_A - n_a))
+    return names + [f"{i}{sign}" for i in range(n_b) for sign in (",", ";", "")]
 
 
 def bitmap(places: np.ndarray) -> bytes:
@@ -108,60 +142,22 @@ def places_of(data: bytes) -> np.ndarray:
 
 
 def planes_of(places: np.ndarray, links: np.ndarray) -> list[bytes]:
-    """One bit map for each binary digit of the number of links."""
-    if links.max() == 1:
-        return [bitmap(places)]
-    return [bitmap(places[links >> d & 1 == 1]) for d in range(int(links.max()).bit_length())]
+    """One bit map for each binary digit of the links beyond the first."""
+    return [bitmap(places[links - 1 >> d & 1 == 1]) for d in range(int(links.max() - 1).bit_length())]
 
 
-#: A document (groups set) or an id pair's postings in a block (planes set).
+#: A document (place set) or an id pair's postings in a block (docs set).
 ALIGNED = pa.schema([
     ("block", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()),
     ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups", pa.string()),
-    ("a", pa.int32()), ("b", pa.int32()), ("n_docs", pa.int32()), ("planes", pa.list_(pa.binary())),
+    ("a", pa.int32()), ("b", pa.int32()), ("n_docs", pa.int32()), ("docs", pa.binary()), ("planes", pa.list_(pa.binary())),
 ])
 ALIGNED_SCHEMA = (
     "block long, place int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, "
-    "a int, b int, n_docs int, planes array<binary>"
+    "a int, b int, n_docs int, docs binary, planes array<binary>"
 )
 
 
-class _Block:
-    """Documents numbered one after another, and their links."""
-
-    def __init__(self, number: int) -> None:
-        self.number, self.rows, self.tokens = number, [], 0
-        self.pairs: list[np.ndarray] = []
-        self.links: list[np.ndarray] = []
-
-    def add(self, doc_id: int | None, a: np.ndarray, b: np.ndarray, lengths: tuple[np.ndarray, np.ndarray]) -> None:
-        none = np.zeros(0, dtype=np.int64)
-        groups, n_groups, pairs, links = "", 0, none, none
-        if len(a):
-            group_a, group_b = shared_ends(*lengths)
-            groups, n_groups = written_groups(a, b, group_a, group_b), int(group_a[-1]) + 1
-            pairs, links = linked_pairs(a, b, group_a, group_b)
-        self.rows.append((doc_id, len(a), len(b), n_groups, int(links.sum()), groups))
-        self.pairs.append(pairs)
-        self.links.append(links)
-        self.tokens += len(a)
-
-    def full(self) -> bool:
-        return len(self.rows) >= BLOCK_DOCUMENTS or self.tokens >= BLOCK_TOKENS
-
-    def batches(self) -> Iterator[pa.RecordBatch]:
-        yield _filled(block=[self.number] * len(self.rows), place=range(len(self.rows)),
-                      **dict(zip(("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups"), zip(*self.rows, strict=True), strict=True)))
-        pairs, links = np.concatenate(self.pairs), np.concatenate(self.links)
-        places = np.repeat(np.arange(len(self.pairs)), [len(p) for p in self.pairs])
-        order = np.argsort(pairs, kind="stable")  # places stay in order
-        pairs, links, places = pairs[order], links[order], places[order]
-        edges = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1], [True]])) if len(pairs) else np.zeros(1, dtype=int)
-        own = pairs[edges[:-1]]
-        planes = [planes_of(places[i:j], links[i:j]) for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-        yield _filled(block=[self.number] * len(own), a=own // _SIDE, b=own % _SIDE, n_docs=np.diff(edges), planes=planes)
-
-
 def _filled(**columns) -> pa.RecordBatch:
     n = len(columns["block"])
     return pa.RecordBatch.from_arrays(
@@ -169,30 +165,82 @@ def _filled(**columns) -> pa.RecordBatch:
     )
 
 
+class _Block:
+    """Documents numbered one after another, and their links."""
+
+    def __init__(self, number: int) -> None:
+        self.number, self.documents, self.tokens = number, 0, 0
+        none = np.zeros(0, dtype=np.int64)
+        self.links: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(none, none, none)]
+
+    def add(self, doc_ids: list[int | None], groups: Groups, names: list[str]) -> pa.RecordBatch:
+        """Number the documents of ``groups`` and keep their links; the documents as rows."""
+        places, pairs, counts = groups.links()
+        first = self.documents
+        self.links.append((places + first, pairs, counts))
+        self.documents += len(doc_ids)
+        self.tokens += len(groups.a)
+        return _filled(
+            block=[self.number] * len(doc_ids), place=range(first, self.documents), doc_id=doc_ids,
+            n_a=groups.per_text(groups.of_a), n_b=groups.per_text(groups.of_b), n_groups=groups.per_text(groups.of_group),
+            n_links=groups.per_text(groups.of_group, groups.n_a * groups.n_b), groups=groups.written(names))
+
+    def postings(self) -> pa.RecordBatch:
+        places, pairs, counts = (np.concatenate(x) for x in zip(*self.links, strict=True))
+        order = np.argsort(pairs * BLOCK_DOCUMENTS + places, kind="stable")
+        pairs, places, counts = pairs[order], places[order], counts[order]
+        fresh = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]) | (places[1:] != places[:-1])])[: len(pairs)])
+        links = np.add.reduceat(counts, fresh) if len(fresh) else counts
+        pairs, places = pairs[fresh], places[fresh]
+        starts = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])[: len(pairs)])
+        ends = np.append(starts[1:], len(pairs))[: len(starts)]
+        listed = places.astype("<u2").tobytes()
+        spans = list(zip(starts.tolist(), ends.tolist(), strict=True))
+        docs = [listed[2 * i : 2 * j] if j - i < _FULL else bitmap(places[i:j]) for i, j in spans]
+        most = np.maximum.reduceat(links, starts) if len(starts) else links
+        planes = [planes_of(places[i:j], links[i:j]) if m > 1 else [] for (i, j), m in zip(spans, most.tolist(), strict=True)]
+        own = pairs[starts]
+        return _filled(block=[self.number] * len(own), a=own // _SIDE, b=own % _SIDE, n_docs=ends - starts, docs=docs, planes=planes)
+
+
 def _aligned(texts: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = byte_level_ids(byte_level), piece_ids(pieces)
         bytes_a, bytes_b = left.bytes_of(), right.bytes_of
         size_a, size_b = np.array([len(x) for x in bytes_a]), np.array([len(x) for x in bytes_b])
-        none = np.zeros(0, dtype=np.int64)
+        names = signed_names(len(bytes_a), len(bytes_b))
+        none: list[int] = []
         # A task's blocks bear its number; a task that runs again makes the same blocks.
         number = TaskContext.get().partitionId() << 32
         block = _Block(number)
+        ids, a, b, size = [], [], [], 0
+
+        def taken() -> pa.RecordBatch:
+            return block.add(ids, Groups(a, b, size_a, size_b), names)
+
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                text, a, b = text.as_py(), none, none
+                text, own_a, own_b = text.as_py(), none, none
                 if text:
-                    a, b = left.encode_ordinary(" " + text).astype(np.int64), np.array(right.encode(text), dtype=np.int64)
-                    raw = (" " + text).encode()
-                    if b"".join([bytes_a[i] for i in a.tolist()]) != raw or b"".join([bytes_b[i] for i in b.tolist()]) != raw:
-                        a = b = none
-                block.add(doc_id.as_py(), a, b, (size_a[a], size_b[b]))
-                if block.full():
-                    yield from block.batches()
+                    own_a, own_b, raw = left.encode_ordinary(" " + text).tolist(), right.encode(text), (" " + text).encode()
+                    if any(b"".join(map(of.__getitem__, own)) != raw for of, own in ((bytes_a, own_a), (bytes_b, own_b))):
+                        own_a = own_b = none
+                ids.append(doc_id.as_py())
+                a.append(np.array(own_a, dtype=np.int64))
+                b.append(np.array(own_b, dtype=np.int64))
+                size += len(own_a)
+                full = block.documents + len(ids) >= BLOCK_DOCUMENTS or block.tokens + size >= BLOCK_TOKENS
+                if full or size >= TOGETHER:
+                    yield taken()
+                    ids, a, b, size = [], [], [], 0
+                if full:
+                    yield block.postings()
                     number += 1
                     block = _Block(number)
-        if block.rows:
-            yield from block.batches()
+        if ids:
+            yield taken()
+        if block.documents:
+            yield block.postings()
 
     return texts.mapInArrow(tidy(read), ALIGNED_SCHEMA)
 
@@ -203,12 +251,19 @@ def _totals(key: tuple, table: pa.Table) -> pa.Table:
     n = len(documents)
     total, best = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
     postings = table.filter(pc.is_valid(table["count"]))
-    for count, top, planes in zip(*(postings[c].to_pylist() for c in ("count", "best", "planes")), strict=True):
+    counts, tops = postings["count"].to_numpy(), postings["best"].to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def spread(rows: list[int], maps: list[bytes], weight: int) -> None:
+        """Add a row's count, and its links if it is a best one, to the documents of its map."""
+        at = [places_of(m) for m in maps]
+        places, row = np.concatenate([np.zeros(0, dtype=np.int64), *at]), np.repeat(np.array(rows, dtype=np.int64), [len(x) for x in at])
+        np.add.at(total, places, counts[row] * weight)
+        np.add.at(best, places, tops[row] * weight)
+
+    spread(list(range(len(postings))), postings["docs"].to_pylist(), 1)
+    for i, planes in enumerate(postings["planes"].to_pylist()):
         for digit, plane in enumerate(planes):
-            places = places_of(plane)
-            total[places] += count << digit
-            if top:
-                best[places] += 1 << digit
+            spread([i], [plane], 1 << digit)
     columns = [documents[c] for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
     return pa.table([*columns, pa.array(best), pa.array(total), documents["groups"]], names=names)
@@ -237,12 +292,12 @@ def aligned(
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("text"))
     found = _aligned(texts, byte_level, pieces).withColumn("groups", keep(F.col("groups")))
     found = stable(found, "aligned")
-    postings = found.where("planes IS NOT NULL").select("block", "a", "b", "n_docs", "planes")
+    postings = found.where("docs IS NOT NULL").select("block", "a", "b", "n_docs", "docs", "planes")
     counts = stable(postings.groupBy("a", "b").agg(F.sum("n_docs").cast("long").alias("count")), "pair-counts")
     top = counts.groupBy("a").agg(F.max("count").alias("top"))
     counts = counts.join(top, "a").select("a", "b", "count", (F.col("count") == F.col("top")).alias("best"))
 
-    scored = postings.join(counts, ["a", "b"]).select("block", "count", "best", "planes")
+    scored = postings.join(counts, ["a", "b"]).select("block", "count", "best", "docs", "planes")
     narrow = ("place", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups")
     documents = found.where("place IS NOT NULL").select("block", *narrow)
     rows = documents.unionByName(scored, allowMissingColumns=True)

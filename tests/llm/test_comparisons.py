@@ -283,12 +283,16 @@ def test_bitmaps():
         assert (alignment.places_of(data) == places).all() and len(data) <= alignment.BLOCK_DOCUMENTS // 8 + 1
     links = np.array([1, 2, 3, 8])
     planes = alignment.planes_of(np.array([3, 5, 9, 11]), links)
-    assert [alignment.places_of(p).tolist() for p in planes] == [[3, 9], [5, 9], [], [11]]
-
-
-def test_linked_pairs_of_large_groups():
-    a, b = np.array([1, 2, 1, 3]), np.array([7, 7, 8])
-    pairs, links = alignment.linked_pairs(a, b, np.array([0, 0, 0, 1]), np.array([0, 0, 1]))
-    told = {(p >> 20, p & (1 << 20) - 1): n for p, n in zip(pairs.tolist(), links.tolist(), strict=True)}
-    assert told == {(1, 7): 4, (2, 7): 2, (3, 8): 1}
-
+    assert [alignment.places_of(p).tolist() for p in planes] == [[5, 11], [9, 11], [11]]
+
+
+@pytest.mark.parametrize("large", [0, alignment.LARGE_GROUP])
+def test_links_of_large_groups(monkeypatch, large):
+    monkeypatch.setattr(alignment, "LARGE_GROUP", large)
+    sizes = np.array([0, 1, 2, 3, 0, 0, 0, 2, 3])
+    groups = alignment.Groups([np.array([1, 2, 1]), np.array([3])], [np.array([7, 7]), np.array([8])], sizes, sizes)
+    told = Counter()
+    for text, pair, n in zip(*(x.tolist() for x in groups.links()), strict=True):
+        told[text, pair >> 20, pair & (1 << 20) - 1] += n
+    assert told == {(0, 1, 7): 4, (0, 2, 7): 2, (1, 3, 8): 1}
+    assert groups.written(alignment.signed_names(9, 9)) == ["1,2,1|7,7", "3|8"]
