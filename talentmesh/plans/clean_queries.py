@@ -102,9 +102,33 @@ def unique_vacancies(spark: SparkSession, sf: str) -> DataFrame:
         "seq", "source", "source_id", "title", "company")
 
 
-@query("near_copies_in_order", "W03")
+def _head(row: str) -> str:
+    return (f"struct_pack(seq := {row}.seq, src := lower({row}.source), sid := lower({row}.source_id), place := {row}.place, "
+            f"toks := {row}.toks, rich := {row}.rich1 * 2147483648 + {row}.rich2)")
+
+
+IN_ORDER = f"""ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY ident ORDER BY seq) AS k FROM near_rows WHERE fit),
+walk AS (
+  SELECT ident, k, seq, 1::BIGINT AS place_of, [{_head('ordered')}] AS heads FROM ordered WHERE k = 1
+  UNION ALL
+  SELECT ident, k, own.seq, coalesce(found, len(heads) + 1),
+    CASE WHEN found IS NULL THEN list_append(heads, own) WHEN own.rich > heads[found].rich
+         THEN list_concat(heads[:found - 1], [own], heads[found + 1:]) ELSE heads END
+  FROM (SELECT w.ident, o.k, w.heads, {_head('o')} AS own, nullif(list_position(list_transform(w.heads, lambda h:
+          (h.src <> lower(o.source) OR h.sid = lower(o.source_id))
+          AND (h.place = '' OR o.place = '' OR contains(h.place, o.place) OR contains(o.place, h.place))
+          AND 5 * len(list_intersect(h.toks, o.toks)) >= 4 * least(len(h.toks), len(o.toks))), true), 0)::BIGINT AS found
+        FROM walk w JOIN ordered o ON o.ident = w.ident AND o.k = w.k + 1)),
+ended AS (SELECT ident, arg_max(heads, k) AS heads FROM walk GROUP BY ident)"""
+
+
+@query("near_copies_in_order", "W03", f"""
+WITH RECURSIVE {JOBS}, {SAME_URL}, {NEAR}, {IN_ORDER}
+SELECT walk.seq, ended.heads[place_of].seq AS leader FROM walk JOIN ended USING (ident) WHERE walk.seq <> ended.heads[place_of].seq
+""")
 def near_copies_in_order(spark: SparkSession, sf: str) -> DataFrame:
-    """The order-dependent groups; no SQL, tests compare them with a plain loop."""
+    """The order-dependent groups; the SQL walks through the rows one by one."""
     return dedupe.near_duplicates(distinct_addresses(spark, sf), in_order=True)
 
 
