@@ -9,6 +9,7 @@ from talentmesh.functions import dates
 from talentmesh.functions.identity import content_hash, fallback_source_id
 from talentmesh.functions.text import text_of
 from talentmesh.operators.ordering import numbered
+from talentmesh.operators.skew import salted_join
 
 KEY = ["source", "source_job_id"]
 FACTS = (
@@ -41,28 +42,32 @@ def from_inventory(inventory: DataFrame) -> DataFrame:
     )
 
 
-def upsert(inventory: DataFrame, batch: DataFrame, run_id: str, ttl: str = "INTERVAL 2 DAYS"
-           ) -> DataFrame:
+def upsert(
+    inventory: DataFrame, batch: DataFrame, run_id: str, ttl: str = "INTERVAL 2 DAYS", ties: tuple[str, ...] = ()
+) -> DataFrame:
     """Merge observations (rows with ``seen_at``) into the inventory.
 
-    A new key is inserted; a known one takes the latest observation, keeps the earliest
-    first sight, becomes active again and lives ``ttl`` longer. The result is a new
-    snapshot; write it partitioned by country so that reads prune.
+    A new key is inserted; a known one takes the latest observation unless it has a later one
+    (a batch that comes late changes no facts), keeps the earliest first sight, becomes active
+    again and lives ``ttl`` longer. Of observations at one time the one with the greatest
+    ``ties`` columns counts, then the one with the greatest facts. The result is a new
+    snapshot; ``inventory_store`` writes it by touched buckets.
 
     Observations are reduced to one per key before the join. The reduction aggregates, so a
     vacancy observed very often is combined on the map side.
     """
     seen = batch.groupBy(*KEY).agg(
-        F.max_by(F.struct(*FACTS), "seen_at").alias("n"), F.min("seen_at").alias("first_new"),
-        F.max("seen_at").alias("last_new"))
+        F.max(F.struct("seen_at", *ties, F.struct(*FACTS).alias("facts")))["facts"].alias("n"),
+        F.min("seen_at").alias("first_new"), F.max("seen_at").alias("last_new"))
     old = inventory.select(
         *KEY, F.struct(*FACTS).alias("o"), "first_seen_at", "last_seen_at", "expires_at",
         "is_active", "last_source_run_id")
     both = old.join(seen, KEY, "full_outer")
     new = F.col("last_new").isNotNull()
+    newer = new & (F.col("last_seen_at").isNull() | (F.col("last_new") >= F.col("last_seen_at")))
     pick = lambda fresh, kept: F.when(new, fresh).otherwise(kept)
     return both.select(
-        *KEY, *[pick(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) for c in FACTS],
+        *KEY, *[F.when(newer, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in FACTS],
         F.least("first_seen_at", "first_new").alias("first_seen_at"),
         F.greatest("last_seen_at", "last_new").alias("last_seen_at"),
         pick(F.greatest(F.col("last_seen_at"), F.col("last_new")) + F.expr(ttl), F.col("expires_at"))
@@ -78,10 +83,6 @@ def empty_inventory(spark) -> DataFrame:
     return spark.createDataFrame([], INVENTORY)
 
 
-def write_inventory(inventory: DataFrame, path: str) -> None:
-    inventory.write.mode("overwrite").partitionBy("country").parquet(path)
-
-
 def read_order() -> list[Column]:
     return [F.col("last_seen_at").desc(), F.col("source"), F.col("source_job_id")]
 
@@ -92,24 +93,26 @@ def newest(inventory: DataFrame, limit: int | None = None) -> DataFrame:
     return ordered if limit is None else ordered.limit(limit)
 
 
-def snapshot_positions(rows: DataFrame) -> DataFrame:
-    """0-based ``snapshot_order`` of the rows of every task, newest first, whole groups.
+def country_positions(open_rows: DataFrame) -> DataFrame:
+    """0-based ``snapshot_order`` of the rows of every country, newest first, whole countries.
 
-    Rows are counted per task and hour and sorted within the hour, so a task with a very
-    large inventory is ordered by many tasks.
+    A country is ranked once for all tasks that ask for it. Rows are counted per country and
+    hour and sorted within the hour, so a country with a large share of all rows is ordered by
+    many tasks.
     """
-    hourly = rows.withColumn("__hour", F.date_trunc("hour", F.col("last_seen_at").cast("timestamp")))
-    placed = numbered(hourly, ["task_id"], [("__hour", True)], "", "position", fine=read_order())
+    hourly = open_rows.withColumn("__hour", F.date_trunc("hour", F.col("last_seen_at").cast("timestamp")))
+    placed = numbered(hourly, ["country"], [("__hour", True)], "", "position", fine=read_order())
     return placed.withColumn("snapshot_order", F.col("position") - 1).drop("position", "__hour")
 
 
 def task_snapshots(tasks: DataFrame, open_rows: DataFrame, taken: DataFrame) -> DataFrame:
     """New snapshots only: a task that already has one keeps its first.
 
-    ``tasks(task_id, country)``, ``open_rows`` with ``country``; the join is on country.
+    ``tasks(task_id, country)``, ``open_rows`` with ``country``. The result has a row for every
+    task and row; positions come from one ranking a country, and the join spreads its rows.
     """
     fresh = tasks.join(taken.select("task_id").distinct(), "task_id", "left_anti")
-    return snapshot_positions(fresh.join(open_rows, "country"))
+    return salted_join(fresh, country_positions(open_rows), ["country"], ["task_id"])
 
 
 def new_runs(batches: DataFrame, finished: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talentmesh.operators import inventory_store
 from talentmesh.plans import views
 from talentmesh.plans.registry import query
 from talentmesh.session import configure, shared_folder
@@ -37,34 +38,44 @@ def _finish(stream: DataFrame, folder: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-@query("stream_inventory", "T01 J11 W01", """
-SELECT CAST(user_id AS VARCHAR) AS source_job_id, count(DISTINCT event_type) AS kinds,
-  strftime(max(first), '%Y-%m-%d %H:%M:%S') AS last_seen
-FROM (SELECT user_id, event_type, max(ts) AS first FROM events GROUP BY 1, 2) e GROUP BY 1
+LANDINGS = (
+    "event_id % 3 = 0", "event_id % 3 = 1 OR event_id % 6 = 0", "event_id % 3 = 2 OR event_id % 9 = 1",
+)
+"""Which events land when: each landing holds rows older than the one before, and two repeat some."""
+
+
+@query("stream_inventory", "T01 J11 W01", f"""
+WITH o AS (SELECT 's' || (user_id % 4) AS source, CAST(user_id AS VARCHAR) AS source_job_id, event_type, ts, event_id,
+    CASE WHEN event_id % 3 = 2 OR event_id % 9 = 1 THEN 2 WHEN event_id % 3 = 1 OR event_id % 6 = 0 THEN 1 ELSE 0 END AS landed FROM events)
+SELECT source, source_job_id, arg_max(event_type, (ts, event_id)) AS title,
+  strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen,
+  'batch-' || max(landed) AS run
+FROM o GROUP BY 1, 2
 """)
 def stream_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    """Three landings of events, each a micro-batch; the result is read from the newest version."""
     from talentmesh.plans.inventory_queries import observations
 
     folder = work_folder(spark)
-    kinds = views.table(spark, sf, "events").groupBy(
-        F.col("user_id").cast("string").alias("source_job_id")).agg(
-        F.countDistinct("event_type").alias("kinds"))
+    events = views.table(spark, sf, "events")
+    empty = observations(spark, sf).limit(0)
 
     def rows(batch: DataFrame) -> DataFrame:
-        base = observations(spark, sf).limit(0)
         made = batch.select(
             F.concat(F.lit("s"), F.col("user_id") % 4).alias("source"),
             F.col("user_id").cast("string").alias("source_job_id"),
-            F.col("event_type").alias("title"), F.col("ts").alias("seen_at"))
-        return base.unionByName(made, allowMissingColumns=True)
+            F.col("event_type").alias("title"), F.col("ts").alias("seen_at"), "event_id")
+        return empty.unionByName(made, allowMissingColumns=True)
 
-    stream = streams.deduplicated(event_stream(spark, sf), ["event_id"])
-    run = streams.keep_inventory(stream, f"{folder}/inventory", f"{folder}/ckpt", rows)
-    run.awaitTermination()
-    last = spark.read.parquet(f"{folder}/inventory")
-    newest = last.groupBy("source_job_id").agg(F.max("last_seen_at").alias("at"))
-    return newest.join(kinds, "source_job_id").select(
-        "source_job_id", "kinds", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("last_seen"))
+    for nth, landed in enumerate(LANDINGS):
+        events.where(landed).write.mode("overwrite").parquet(f"{folder}/in/landing={nth}")
+        stream = streams.observed(spark, f"{folder}/in/*", files_per_batch=1_000_000)
+        run = streams.keep_inventory(stream, f"{folder}/inventory", f"{folder}/ckpt", rows, ties=("event_id",))
+        run.awaitTermination()
+    at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return inventory_store.read_version(spark, f"{folder}/inventory").select(
+        "source", "source_job_id", "title", at("first_seen_at").alias("first_seen"),
+        at("last_seen_at").alias("last_seen"), F.col("last_source_run_id").alias("run"))
 
 
 @query("stream_run_health", "T03 A15", """
@@ -81,13 +92,35 @@ def stream_run_health(spark: SparkSession, sf: str) -> DataFrame:
                        "failures")
 
 
-@query("stream_liveness", "T02")
+TTL_DAYS, FORGET_DAYS = 2, 1
+DAY_MS = 24 * 3600 * 1000
+
+
+@query("stream_liveness", "T02", f"""
+WITH g AS (SELECT CAST(user_id AS VARCHAR) AS vacancy, seen, lag(seen) OVER w AS previous, lead(seen) OVER w AS following
+  FROM (SELECT user_id, epoch_us(ts) // 1000 AS seen FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY seen))
+SELECT vacancy, CASE WHEN previous IS NULL OR seen - previous > {(TTL_DAYS + FORGET_DAYS) * DAY_MS} THEN 'opened' ELSE 'reopened' END AS status, seen AS at_ms
+FROM g WHERE previous IS NULL OR seen - previous > {TTL_DAYS * DAY_MS}
+UNION ALL SELECT vacancy, 'expired', seen + {TTL_DAYS * DAY_MS} FROM g WHERE following IS NULL OR following - seen > {TTL_DAYS * DAY_MS}
+""")
 def stream_liveness(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten days of events a landing, every twentieth event one landing late, and a last clock tick."""
     key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
+    before, folder = spark.conf.get(key), work_folder(spark)
+    events = views.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("vacancy"), "ts", "event_id")
+    start = events.agg(F.min("ts").alias("start"), F.max("ts").alias("end"))
+    nth = F.floor(F.datediff("ts", "start") / 10) + F.when(F.col("event_id") % 20 == 0, 1).otherwise(0)
+    landed = events.join(F.broadcast(start), how="cross").select("vacancy", "ts", nth.cast("int").alias("landing"))
+    landed.write.mode("overwrite").partitionBy("landing").parquet(f"{folder}/events")
+    last = start.select(F.lit(streams.CLOCK).alias("vacancy"), (F.col("end") + F.expr(f"INTERVAL {TTL_DAYS + FORGET_DAYS + 30} DAYS")).alias("ts"))
+    last.write.mode("overwrite").parquet(f"{folder}/events/landing=1000")
+    landings = [r["landing"] for r in spark.read.schema("landing int").parquet(f"{folder}/events").distinct().orderBy("landing").collect()]
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        seen = event_stream(spark, sf).select(F.col("user_id").cast("string").alias("vacancy"), "ts")
-        return _finish(streams.liveness(seen, 2 * 24 * 3600 * 1000), work_folder(spark))
+        for landing in landings:
+            spark.read.parquet(f"{folder}/events/landing={landing}").write.mode("overwrite").parquet(f"{folder}/in/landing={landing}")
+            seen = streams.observed(spark, f"{folder}/in/*", "vacancy string, ts timestamp_ntz", files_per_batch=1_000_000)
+            done = _finish(streams.liveness(seen, TTL_DAYS * DAY_MS, "12 days", FORGET_DAYS * DAY_MS), folder)
+        return done
     finally:
         spark.conf.set(key, before)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from talentmesh.operators import inventory
+from talentmesh.operators import inventory_store
 
 OBSERVATION_SCHEMA = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -31,22 +31,18 @@ def deduplicated(stream: DataFrame, keys: list[str], delay: str = "2 days") -> D
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
-def keep_inventory(stream: DataFrame, path: str, checkpoint: str, to_rows) -> StreamingQuery:
-    """Merge every micro-batch into the inventory folder.
+def keep_inventory(
+    stream: DataFrame, path: str, checkpoint: str, to_rows, buckets: int = inventory_store.BUCKETS, ties: tuple[str, ...] = ()
+) -> StreamingQuery:
+    """Merge every micro-batch into the inventory store at ``path``.
 
-    A batch writes a new version named after its id and the version before it stays, so a
-    repeated batch writes the same rows again and a lost executor loses nothing.
-    ``to_rows`` turns raw observations into inventory rows with ``seen_at``.
+    Batch n writes version n + 1, of which only the buckets that its keys fall into are new. A
+    repeated batch writes the same rows again, and late rows only extend first sightings.
+    ``to_rows`` turns raw observations into inventory rows with ``seen_at`` and the ``ties``.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = (
-            spark.read.parquet(f"{path}/version={batch_id - 1}") if batch_id > 0
-            else inventory.empty_inventory(spark)
-        )
-        inventory.upsert(before, to_rows(batch), f"batch-{batch_id}").write.mode(
-            "overwrite").parquet(f"{path}/version={batch_id}")
+        inventory_store.merge_version(to_rows(batch), path, batch_id + 1, f"batch-{batch_id}", buckets, ties=ties)
 
     return (
         stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
@@ -86,42 +82,91 @@ def latest_windows(stream: DataFrame, folder: str, keys: list[str]) -> DataFrame
     return newest.select(*keys, *[F.col(f"last.{c}").alias(c) for c in values])
 
 
+#: A sighting of this vacancy only moves the clock of the stream on.
+CLOCK = ""
+
+
 class Liveness(StatefulProcessor):
-    """Expires a vacancy that was not seen for its lifetime; a later sighting reopens it."""
+    """Opens, expires and reopens vacancies by the gaps between their sightings, in order of time.
+
+    Sightings wait until the watermark has passed them, so that the order in which they arrive
+    does not matter. A vacancy without one for ``ttl_ms`` expires; it is remembered ``forget_ms``
+    longer, as one that can reopen, and then leaves the state. Each key has one timer, for
+    what comes first: a waiting sighting, its expiry, or the end of its memory.
+    """
 
-    def __init__(self, ttl_ms: int) -> None:
-        self.ttl_ms = ttl_ms
+    def __init__(self, ttl_ms: int, forget_ms: int) -> None:
+        self.ttl_ms, self.forget_ms = ttl_ms, forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("seen", "last_ms bigint, open boolean")
+        self.known = handle.getValueState("known", "last_ms bigint, open boolean")
+        self.waiting = handle.getListState("waiting", "at_ms bigint")
+        self.timer = handle.getValueState("timer", "at_ms bigint")
+
+    def _set_timer(self, at_ms: int | None) -> None:
+        if self.timer.exists():
+            before = self.timer.get()[0]
+            if before == at_ms:
+                return
+            self.handle.deleteTimer(before)
+            self.timer.clear()
+        if at_ms is not None:
+            self.handle.registerTimer(at_ms)
+            self.timer.update((at_ms,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        newest = max(int(f["ts"].max().timestamp() * 1000) for f in rows)
-        known = self.state.get() if self.state.exists() else None
-        last = max(newest, known[0]) if known else newest
-        status = "seen" if known and known[1] else ("reopened" if known else "opened")
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.state.update((last, True))
-        self.handle.registerTimer(last + self.ttl_ms)
-        if status != "seen":
-            yield pd.DataFrame({"vacancy": [key[0]], "status": [status], "at_ms": [newest]})
+        if key[0] == CLOCK:
+            return
+        added = [int(t.value // 1_000_000) for f in rows for t in f["ts"]]
+        self.waiting.appendList([(t,) for t in added])
+        first = min(added)
+        if not self.timer.exists() or first < self.timer.get()[0]:
+            self._set_timer(first)
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last = self.state.get()[0]
-        self.state.update((last, False))
-        yield pd.DataFrame(
-            {"vacancy": [key[0]], "status": ["expired"], "at_ms": [last + self.ttl_ms]})
+        clock = timerValues.getCurrentWatermarkInMs()
+        self.timer.clear()
+        waiting = sorted(r[0] for r in self.waiting.get()) if self.waiting.exists() else []
+        due, later = [t for t in waiting if t <= clock], [t for t in waiting if t > clock]
+        last, is_open = self.known.get() if self.known.exists() else (None, False)
+        changes: list[tuple[str, int]] = []
+        for t in due:
+            if last is not None and is_open and t > last + self.ttl_ms:
+                changes.append(("expired", last + self.ttl_ms))
+                is_open = False
+            if not is_open:
+                known = last is not None and t <= last + self.ttl_ms + self.forget_ms
+                changes.append(("reopened" if known else "opened", t))
+            last, is_open = t, True
+        if is_open and clock > last + self.ttl_ms:
+            changes.append(("expired", last + self.ttl_ms))
+            is_open = False
+        self.waiting.put([(t,) for t in later]) if later else self.waiting.clear()
+        if last is None or (not is_open and clock > last + self.ttl_ms + self.forget_ms):
+            self.known.clear()
+            last = None
+        else:
+            self.known.update((last, is_open))
+        ends = [] if last is None else [last + self.ttl_ms + (0 if is_open else self.forget_ms) + 1]
+        self._set_timer(min([*later[:1], *ends], default=None))
+        if changes:
+            yield pd.DataFrame({"vacancy": key[0], "status": [c[0] for c in changes], "at_ms": [c[1] for c in changes]})
 
     def close(self) -> None:
         pass
 
 
-def liveness(stream: DataFrame, ttl_ms: int, delay: str = "1 hour") -> DataFrame:
-    """``vacancy, status, at_ms`` changes of every vacancy (event-time timers)."""
+def liveness(stream: DataFrame, ttl_ms: int, delay: str = "1 hour", forget_ms: int = 0) -> DataFrame:
+    """``vacancy, status, at_ms`` changes of every vacancy (event-time timers).
+
+    Sightings more than ``delay`` behind the newest one may be dropped. A last sighting of
+    ``CLOCK``, later than ``ttl_ms`` + ``forget_ms`` + ``delay`` after all others, closes and
+    forgets every vacancy.
+    """
     return (
         stream.select("vacancy", "ts").withWatermark("ts", delay).groupBy("vacancy")
         .transformWithStateInPandas(
-            Liveness(ttl_ms), "vacancy string, status string, at_ms bigint", "Append", "EventTime")
+            Liveness(ttl_ms, forget_ms), "vacancy string, status string, at_ms bigint", "Append", "EventTime")
     )
