@@ -374,6 +374,7 @@ NAVIGATION_FAMILIES = (
     (("hr", "recruiter", "recruitment"),
      ("human resources", "recruitment", "administration")),
 )
+PLAIN_LINK_TITLES = ("view job", "view details", "details", "apply")
 SEARCH_FIELD_NAMES = (
     "q", "s", "query", "search", "keyword", "keywords", "search_keywords", "search_query",
     "job_title", "position",

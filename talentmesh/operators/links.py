@@ -171,36 +171,8 @@ def classified(links_df: DataFrame) -> DataFrame:
     )
 
 
-def navigation_priority(url: Column, title: Column, terms) -> Column:
-    """0 role vocabulary, 1 search, 2 pager, 3 category, 4 the rest."""
-    text = F.lower(urls.decode_part(F.concat_ws(" ", urls.path(url), urls.query(url), title)))
-    normal = F.regexp_replace(text, "[^a-z0-9+#]+", " ")
-    body = "|".join(re.escape(t) for t in sorted(terms)) or "(?!)"
-    return (
-        F.when(normal.rlike(rf"(?U)\b(?:{body})\b"), F.lit(0))
-        .when(_overlaps(urls.query_keys(url, drop_brackets=True), lex.SEARCH_KEYS), F.lit(1))
-        .when(pagination(url, title), F.lit(2))
-        .when(job_category(title), F.lit(3))
-        .otherwise(F.lit(4))
-    )
-
-
-def detail_priority(url: Column, title: Column, matches_role: Column) -> Column:
-    """Role matches first, named links before "view job" links."""
-    plain = strip(F.lower(title)).isin("view job", "view details", "details", "apply")
-    return F.struct(
-        F.when(matches_role, F.lit(0)).otherwise(F.lit(1)).alias("role"),
-        F.when(plain, F.lit(1)).otherwise(F.lit(0)).alias("generic"),
-    )
-
-
-def capped_candidates(links_df: DataFrame, priority: Column, per_origin: int) -> DataFrame:
-    """The best links of every origin host, in priority order."""
-    return top_k(
-        links_df.withColumn("priority", priority).withColumn("origin", urls.site_host(F.col("base"))),
-        ["origin"], [F.col("priority"), F.col("page_id"), F.col("ordinal")], per_origin,
-        "origin_rank",
-    )
+#: Stands for the role in an address that is filled in later.
+ROLE_MARK = "\ue000"
 
 
 def search_forms(pages_df: DataFrame, position: str, per_page: int = 3) -> DataFrame:

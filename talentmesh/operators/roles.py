@@ -170,49 +170,3 @@ def roles_of() -> Column:
         .when(F.size("likely_titles") > 0, F.col("likely_titles"))
         .otherwise(F.array(F.lit("")))
     )
-
-
-def portal_roles_of() -> Column:
-    """The portal variant: likely titles longer than three characters, as substrings."""
-    long_titles = F.filter("likely_titles", lambda t: F.length(t) > 3)
-    return F.transform(long_titles, F.lower)
-
-
-def portal_title_matches(title: Column, target_gate: Column) -> Column:
-    """Portal gate for one row: the role gate when a target is given, else substrings."""
-    subs = portal_roles_of()
-    return F.when(F.col("target_position") != "", target_gate).otherwise(
-        (F.size(subs) == 0) | F.exists(subs, lambda s: F.contains(F.lower(title), s))
-    )
-
-
-def role_matches(title: Column, target: str) -> Column:
-    """The gate for one literal target, as a row expression."""
-    normal = " ".join(
-        "".join(ch if ch.isascii() and (ch.isalnum() or ch in "+#") else " "
-                for ch in target.casefold()).split()
-    )
-    if not target.strip():
-        return F.lit(True)
-    padded = _padded(role_text(title))
-    has = lambda p: padded.contains(f" {p} ")
-    whole = has(normal) if normal else F.lit(False)
-    for markers, related in lex.ROLE_FAMILIES:
-        if any(f" {_norm_constant(m)} " in f" {normal} " for m in markers):
-            hit = whole
-            for phrase in related:
-                hit = hit | has(_norm_constant(phrase))
-            return hit
-    tokens = [t for t in normal.split() if len(t) > 1 and t not in lex.SENIORITY_TOKENS]
-    special = [t for t in tokens if t not in lex.GENERIC_ROLE_TOKENS]
-    hit = whole
-    if special:
-        for t in special:
-            hit = hit | has(t)
-        return hit
-    if not tokens:
-        return hit
-    got = F.lit(0)
-    for t in tokens:
-        got = got + F.when(has(t), F.lit(1)).otherwise(F.lit(0))
-    return hit | (got >= max(1, (len(tokens) + 1) // 2))

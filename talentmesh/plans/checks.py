@@ -15,6 +15,10 @@ def lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def str_list(terms) -> str:
+    return f"[{', '.join(lit(t) for t in terms)}]"
+
+
 def _pattern(term: str) -> str:
     return r"\s+".join(re.sub(r"([^A-Za-z0-9_])", r"\\\1", w) for w in term.split(" "))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from talentmesh import lexicons as lex
 from talentmesh.functions import geo, pages, urls
 from talentmesh.functions.text import clean_html, clean_page_text
-from talentmesh.operators import filters, links, postings
+from talentmesh.operators import filters, links, navigation, postings
 from talentmesh.plans import checks as ck
 from talentmesh.plans import views
 from talentmesh.plans.registry import query
@@ -76,8 +76,7 @@ def page_descriptions(spark: SparkSession, sf: str) -> DataFrame:
         pages.has_detail_evidence(F.col("html"), F.col("description")).alias("evidence"))
 
 
-@query("page_links", "S09 F16", f"""
-WITH {LANDED}, a AS (
+LINK_ROWS = f"""a AS (
   SELECT page_id, url AS base, {SITE} AS site, unnest(regexp_extract_all(html, '(?is)<a\\b([^>]*)>(.*?)</a>', 1)) AS attrs,
     unnest(regexp_extract_all(html, '(?is)<a\\b([^>]*)>(.*?)</a>', 2)) AS body,
     generate_subscripts(regexp_extract_all(html, '(?is)<a\\b([^>]*)>(.*?)</a>', 1), 1) - 1 AS ordinal FROM landed),
@@ -87,9 +86,13 @@ u AS (SELECT *, CASE WHEN starts_with(href, 'jobs?') THEN regexp_replace(regexp_
    WHEN starts_with(href, '//cdn') THEN regexp_extract(base, '^(https?:)', 1) || regexp_replace(href, '#.*$', '')
    WHEN contains(href, '/../') THEN site || '/vacancies/accountant'
    WHEN starts_with(href, '/apply') THEN site || regexp_replace(href, '&gclid=1', '')
-   ELSE site || href END AS url FROM h WHERE NOT starts_with(href, 'mailto:') AND title <> '')
-SELECT page_id, ordinal, title, lower(regexp_extract(url, '^(https?://[^/]+)', 1)) || CASE WHEN regexp_extract(url, '^https?://[^/]+(/[^?]*)', 1) = '/' THEN '/'
-   ELSE regexp_replace(regexp_replace(regexp_extract(url, '^https?://[^/]+([^?]*)', 1), '/+', '/', 'g'), '/$', '') END || regexp_extract(url, '(\\?.*)$', 1) AS url FROM u
+   ELSE site || href END AS url FROM h WHERE NOT starts_with(href, 'mailto:') AND title <> ''),
+link_rows AS (SELECT page_id, base, ordinal, title, lower(regexp_extract(url, '^(https?://[^/]+)', 1)) || CASE WHEN regexp_extract(url, '^https?://[^/]+(/[^?]*)', 1) = '/' THEN '/'
+   ELSE regexp_replace(regexp_replace(regexp_extract(url, '^https?://[^/]+([^?]*)', 1), '/+', '/', 'g'), '/$', '') END || regexp_extract(url, '(\\?.*)$', 1) AS url FROM u)"""
+
+
+@query("page_links", "S09 F16", f"""
+WITH {LANDED}, {LINK_ROWS} SELECT page_id, ordinal, title, url FROM link_rows
 """)
 def page_links(spark: SparkSession, sf: str) -> DataFrame:
     return links.page_links(landed_pages(spark, sf)).select(
@@ -137,22 +140,62 @@ def listing_pages(spark: SparkSession, sf: str) -> DataFrame:
     return links.listing_pages(links.page_links(landed_pages(spark, sf)), "page")
 
 
-@query("candidate_priority", "W13 F25")
+PER_ORIGIN = 2
+CATEGORY_TERMS = " ".join(
+    f"|| CASE WHEN list_has_any(words, {ck.str_list(markers)}) THEN {ck.str_list(terms)} ELSE [] END"
+    for markers, terms in lex.NAVIGATION_FAMILIES)
+SUITED = f"""{LINK_ROWS},
+listed AS (SELECT page_id, ordinal, url, regexp_replace(regexp_replace(lower(regexp_extract(base, '^(https?://[^/?#]+)', 1)), '^https?://', ''), '^www\\.', '') AS origin,
+    CASE title WHEN 'Next' THEN 'navigation' WHEN 'IT & Telecom' THEN 'navigation' ELSE 'detail' END AS link_class,
+    CASE title WHEN 'Next' THEN 2 WHEN 'IT & Telecom' THEN 3 ELSE 1 END AS turn, CASE title WHEN 'Apply' THEN 1 ELSE 0 END AS plain,
+    translate(title || ' ' || url, '-_', '  ') AS shown,
+    ' ' || regexp_replace(lower(url_decode(regexp_replace(regexp_extract(url, '^https?://[^/]+(.*)$', 1), '\\?', ' ') || ' ' || title)), '[^a-z0-9+#]+', ' ', 'g') || ' ' AS words_of
+  FROM link_rows WHERE title IN ('Next', 'Senior & Lead Engineer', 'Accountant role', 'IT & Telecom', 'Apply')),
+gates AS (SELECT DISTINCT target_position, titles_text, list_filter(string_split(titles_text, '|'), lambda t: length(t) > 3) AS subs FROM people),
+shown AS (SELECT DISTINCT shown FROM listed WHERE link_class = 'detail'),
+passed AS (SELECT target_position, titles_text, shown FROM gates CROSS JOIN shown
+  WHERE CASE WHEN target_position <> '' THEN {ck.role_gate('shown', 'target_position')}
+    ELSE len(subs) = 0 OR len(list_filter(subs, lambda s: contains(lower(shown), lower(s)))) > 0 END),
+vocabularies AS (SELECT target_position, titles_text, skills_text, words {CATEGORY_TERMS} AS terms FROM (
+  SELECT DISTINCT target_position, titles_text, skills_text, list_filter(regexp_extract_all(lower(target_position || ' ' || titles_text || ' ' || skills_text), '[a-z0-9+#]+'),
+    lambda w: length(w) > 2) AS words FROM people)),
+named AS (SELECT DISTINCT words_of FROM listed WHERE link_class = 'navigation'),
+told AS (SELECT target_position, titles_text, skills_text, words_of FROM vocabularies CROSS JOIN named
+  WHERE len(list_filter(terms, lambda t: contains(words_of, ' ' || t || ' '))) > 0),
+placed AS (SELECT v.target_position, v.titles_text, v.skills_text, l.*, p.shown IS NOT NULL OR t.words_of IS NOT NULL AS suits
+  FROM vocabularies v CROSS JOIN listed l
+  LEFT JOIN passed p ON l.link_class = 'detail' AND p.shown = l.shown AND p.target_position = v.target_position AND p.titles_text = v.titles_text
+  LEFT JOIN told t ON l.link_class = 'navigation' AND t.words_of = l.words_of AND t.target_position = v.target_position
+    AND t.titles_text = v.titles_text AND t.skills_text = v.skills_text),
+ranked AS (SELECT *, bool_or(suits) OVER (PARTITION BY target_position, titles_text, skills_text, origin) AS reached,
+  row_number() OVER (PARTITION BY target_position, titles_text, skills_text, origin
+    ORDER BY link_class, CASE WHEN suits THEN 0 ELSE turn END, plain, page_id, ordinal) AS origin_rank FROM placed)"""
+
+
+@query("candidate_priority", "W13 F25 P13", f"""
+WITH {LANDED}, {views.candidate_cte()}, {SUITED}
+SELECT candidate_id, origin, origin_rank, page_id, url, suits
+FROM people JOIN ranked USING (target_position, titles_text, skills_text) WHERE reached AND origin_rank <= {PER_ORIGIN}
+""")
 def candidate_priority(spark: SparkSession, sf: str) -> DataFrame:
-    from talentmesh.operators.roles import role_matches
-    from talentmesh.operators.search import navigation_terms
-
-    found = links.classified(links.page_links(landed_pages(spark, sf))).where("link_class <> 'other'")
-    text = urls.decode_part(F.translate(F.concat_ws(" ", "title", "url"), "-_", "  "))
-    terms = navigation_terms("Software Engineer", (), ("python",))
-    priority = F.when(F.col("link_class") == "detail", F.struct(
-        F.lit(0).alias("kind"),
-        links.detail_priority(F.col("url"), F.col("title"), role_matches(text, "Software Engineer"))
-        .alias("detail"), F.lit(0).alias("nav"))).otherwise(F.struct(
-            F.lit(1).alias("kind"), F.struct(F.lit(9).alias("role"), F.lit(9).alias("generic")).alias("detail"),
-            links.navigation_priority(F.col("url"), F.col("title"), terms).alias("nav")))
-    return links.capped_candidates(found, priority, 80).select(
-        "origin", "origin_rank", "page_id", "url", "link_class")
+    """The best links of every portal for every candidate whom one of them suits."""
+    found = links.classified(links.page_links(landed_pages(spark, sf)))
+    best = navigation.candidate_links(views.candidates(spark, sf), found, PER_ORIGIN)
+    return best.select("candidate_id", "origin", F.col("origin_rank").cast("long").alias("origin_rank"), "page_id", "url", "suits")
+
+
+@query("candidate_searches", "S14 F25 W13", f"""
+WITH {LANDED}, {views.candidate_cte()}, {SUITED},
+reached AS (SELECT DISTINCT target_position, titles_text, skills_text, origin FROM ranked WHERE suits),
+forms AS (SELECT DISTINCT regexp_replace(regexp_replace(lower({SITE}), '^https?://', ''), '^www\\.', '') AS origin, lower({SITE}) AS site FROM landed)
+SELECT candidate_id, origin, site || '/find?lang=en&q=' || replace(replace(trim(target_position), '+', '%2B'), ' ', '+') AS search_url
+FROM people JOIN reached USING (target_position, titles_text, skills_text) JOIN forms USING (origin) WHERE target_position <> ''
+""")
+def candidate_searches(spark: SparkSession, sf: str) -> DataFrame:
+    """The search forms of the portals that suit a candidate, filled in with the candidate's own target."""
+    landed = landed_pages(spark, sf)
+    found = links.classified(links.page_links(landed))
+    return navigation.candidate_searches(views.candidates(spark, sf), found, landed)
 
 
 @query("structured_postings", "S08 S20 F13", f"""

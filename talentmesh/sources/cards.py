@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from talentmesh import lexicons as lex
 from talentmesh.functions import urls
 from talentmesh.functions.text import clean_html, first_group, strip, unescape
-from talentmesh.operators import postings
+from talentmesh.operators.jsonld import structured_records
 
 # --- fixed values: card and field patterns --------------------------------------------------------
 CARD = r"(?is)<article\b(?=[^>]*class=[\"'][^\"']*\bjob-card\b)[^>]*>.*?</article>"
@@ -164,7 +164,7 @@ def structured_list(pages_df: DataFrame, source: str = "RemoteRocketship") -> Da
     """Records with an address of a board's JSON-LD list; a blank title is read from the address."""
     field = lambda key: F.coalesce(F.get_json_object("record", f"$.{key}"), F.lit(""))
     either = lambda a, b: F.when(a != "", a).otherwise(b)
-    made = postings.structured_records(pages_df).select(
+    made = structured_records(pages_df).select(
         "page_id", "ordinal", "record", field("url").alias("url"), either(field("name"), field("title")).alias("named"))
     titled = made.where(F.col("url") != "").withColumn(
         "title", either(F.col("named"), urls.title_from_slug(F.col("url"))))
