@@ -11,6 +11,7 @@ from talentmesh.functions.text import mask_to_array, skill_mask, title_mask
 from talentmesh.operators import filters, matching, roles
 from talentmesh.plans import checks as ck
 from talentmesh.plans import views
+from talentmesh.plans.clean_queries import SAME_URL
 from talentmesh.plans.registry import query
 
 JOBS, PEOPLE = views.vacancy_cte(), views.candidate_cte()
@@ -130,6 +131,37 @@ def filter_losses(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+RUN = f"""{views.vacancy_cte('raw')},
+jobs AS (SELECT * EXCLUDE (nth) FROM (SELECT *, row_number() OVER (PARTITION BY lower(source),
+  CASE WHEN source_id <> '' THEN source_id ELSE lower(split_part(url, '?', 1)) END, lower(title), lower(company) ORDER BY seq) AS nth FROM raw) WHERE nth = 1),
+{SAME_URL},
+dated AS (SELECT *, {ck.POSTED} AS published FROM unique_urls),
+stamped AS (SELECT * EXCLUDE (seq, rn, address, rich1, rich2, first_seq), first_seq AS seq,
+  {ck.strip('lower(location)')} AS spot, {ck.country('country_hint')} AS filed FROM dated),
+flagged AS (SELECT *, {ck.fresh('published', 30, views.NOW)} AS fresh_ok FROM stamped),
+open_jobs AS (SELECT * EXCLUDE (published, spot, filed, fresh_ok) FROM flagged WHERE fresh_ok),
+{PEOPLE}"""
+
+
+@query("matching_run", "A10 A04 P01 P04 W01 W02 J01 P28", f"""
+WITH {RUN}, {ck.scored_pairs('open_jobs')},
+counted AS (SELECT spot, filed, count(*) AS n, count(*) FILTER (WHERE fresh_ok) AS n_fresh FROM flagged GROUP BY 1, 2),
+zone_counts AS (SELECT wanted, allow, sum(n) FILTER (WHERE ok) AS in_country, sum(n_fresh) FILTER (WHERE ok) AS open_jobs FROM (
+  SELECT *, {ck.country_ok('spot', 'filed', 'wanted', 'allow')} AS ok FROM counted CROSS JOIN zones) GROUP BY 1, 2),
+told AS (SELECT candidate_id, CASE WHEN route = 'accepted' AND NOT (years IS NULL OR ((req IS NULL OR req <= years) AND NOT under)) THEN 'rejected'
+  ELSE route END AS route FROM routed WHERE score >= 20)
+SELECT c.candidate_id, (SELECT count(*) FROM dated) AS jobs_fetched, CAST(coalesce(any_value(in_country), 0) AS BIGINT) AS in_country,
+  CAST(coalesce(any_value(open_jobs), 0) AS BIGINT) AS open_jobs, count(t.route) AS related_jobs,
+  count(*) FILTER (WHERE route = 'accepted') AS matches_written, count(*) FILTER (WHERE route = 'rejected') AS rejected_jobs,
+  count(*) FILTER (WHERE route = 'ambiguous') AS manual_review_jobs, TRUE AS complete
+FROM flags c LEFT JOIN zone_counts z ON z.wanted = c.wanted AND z.allow = c.allow_global_remote
+LEFT JOIN told t ON t.candidate_id = c.candidate_id GROUP BY c.candidate_id
+""")
+def matching_run(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole run, from raw vacancies to the counts of its summary."""
+    return matching.run_summary(views.candidates(spark, sf), views.vacancies(spark, sf), views.NOW)
+
+
 @query("required_years", "F02 A09 P07", f"""
 WITH {JOBS}
 SELECT seq, {ck.required_years('title', 'description')} AS required_years,
