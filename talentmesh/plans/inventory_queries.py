@@ -334,13 +334,72 @@ def document_emails(spark: SparkSession, sf: str) -> DataFrame:
     ).where(F.col("email").isNotNull())
 
 
-@query("contact_links", "P30")
+@query("contact_links", "P30", f"""
+WITH b AS (SELECT page_id, regexp_replace(url, '/+$', '') AS bare, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS site,
+    regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '^www\\.', '') AS host,
+    regexp_extract_all(html || '<a href="/careers?x=1">c</a><a href="/about-us#t">a</a><a href="/careers">again</a>', '(?is)href\\s*=\\s*["'']([^"''#]+)["'']', 1) AS hrefs FROM pages),
+h AS (SELECT page_id, bare, site, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) AS ordinal FROM b
+  WHERE NOT regexp_matches(host, {ck.lit("(^|" + chr(92) + ".)(" + "|".join(a.replace(".", chr(92) + ".") for a in lex.AGGREGATOR_HOSTS) + ")$")})),
+l AS (SELECT page_id, bare, ordinal, site || regexp_replace(regexp_replace(href, '[?#].*$', ''), '/+$', '') AS link FROM h
+  WHERE starts_with(href, '/') AND {ck.contains_any("lower(regexp_replace(href, '[?#].*$', '') || ' ' || href)", lex.CONTACT_LINK_WORDS)}),
+f AS (SELECT page_id, link, min(ordinal) AS ordinal FROM l WHERE link <> bare GROUP BY ALL)
+SELECT page_id, link FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ordinal) AS n FROM f) WHERE n <= 8
+""")
 def contact_links(spark: SparkSession, sf: str) -> DataFrame:
     more = F.concat("html", F.lit('<a href="/careers?x=1">c</a><a href="/about-us#t">a</a><a href="/careers">again</a>'))
     return links.contact_links(views.pages(spark, sf).withColumn("html", more)).select("page_id", "link")
 
 
-@query("search_phrases", "F24 F25 O07 O08")
+def _once(values: str) -> str:
+    """The members of a list in order, each once."""
+    return f"list_filter({values}, lambda x, i: list_position({values}, x) = i)"
+
+
+def _family(target: str) -> str:
+    arms = " ".join(
+        "WHEN " + " OR ".join(f"contains(' ' || {ck.role(target)} || ' ', ' ' || {ck.role(ck.lit(m))} || ' ')" for m in markers)
+        + f" THEN {ck.str_list(related)}" for markers, related in lex.ROLE_FAMILIES)
+    return f"CASE {arms} ELSE [] END"
+
+
+def _variants(target: str) -> str:
+    low = ck.fold(target)
+    some = lambda test, *names: f"CASE WHEN {test} THEN {ck.str_list(names)} ELSE [] END"
+    return " || ".join((
+        _family(target), some(f"contains({low}, 'devops')", "junior devops engineer"),
+        some(f"contains({low}, 'ai') AND contains({low}, 'engineer')", "artificial intelligence engineer", "generative ai engineer", "ai/ml engineer"),
+        some(f"contains({low}, 'ml') OR contains({low}, 'machine learning')", "machine learning engineer", "ml engineer"),
+        some(f"contains({low}, 'data scientist')", "data scientist", "machine learning scientist")))
+
+
+_LISTED = "list_filter(string_split({}, '|'), lambda t: t <> '')"
+ASKED = f"""asked AS (SELECT candidate_id, target_position AS target, lower(country) AS country, {_LISTED.format('titles_text')} AS titles,
+    {_LISTED.format('skills_text')} AS skills, CASE WHEN target_position <> '' THEN target_position ELSE 'software engineer' END AS position FROM people),
+kinds AS (SELECT position, ({_variants('position')}) AS every FROM (SELECT DISTINCT position FROM asked)),
+varied AS (SELECT position, (list_filter({_once('every')}, lambda v: {ck.role('v')} <> {ck.role('position')}))[:12] AS variants FROM kinds)"""
+SKILL_ORDER = f"coalesce(nullif(list_position({ck.str_list(lex.SEARCH_SKILL_PRIORITY)}, s), 0), 999)"
+TELLING = f"NOT ({' OR '.join(f'contains(t, {ck.lit(w)})' for w in lex.SEARCH_TITLE_WORDS)})"
+
+
+@query("search_phrases", "F24 F25 O07 O08", f"""
+WITH {PEOPLE}, {ASKED},
+worded AS (SELECT *,
+    list_transform(list_sort(list_transform(list_filter(titles, lambda t: length(t) > 2),
+      lambda t: struct_pack(a := {TELLING}, b := -length(t), c := list_position(titles, t), t := t)))[:2], lambda k: k.t)
+    || list_transform(list_sort(list_transform(list_filter(skills, lambda s: s NOT IN {ck.in_list(lex.SEARCH_SKIPPED_SKILLS)}),
+      lambda s: struct_pack(a := {SKILL_ORDER}, t := s)))[:6], lambda k: k.t) AS terms,
+    (CASE WHEN target <> '' THEN [trim(target)] ELSE [] END) || titles AS phrases FROM asked JOIN varied USING (position)),
+asked_for AS (SELECT *, (CASE WHEN target <> '' THEN [target] || variants ELSE [] END)
+    || list_filter(titles, lambda t: contains(t, 'engineer') OR contains(t, 'scientist'))
+    || (CASE WHEN {ck.contains_any('lower(target)', lex.AI_POSITION_WORDS)} THEN {ck.str_list(lex.AI_QUERY_TERMS)} ELSE [] END)
+    || [CASE WHEN len(terms) > 0 THEN array_to_string(terms[:6], ' ') WHEN len(titles) > 0 THEN array_to_string(titles[:2], ' ') ELSE 'software' END] AS all_queries,
+    phrases || list_filter(list_transform(phrases, lambda p: CASE WHEN array_to_string(list_filter(regexp_extract_all(lower(p), '[a-z0-9+#]+'), lambda t: t NOT IN {ck.in_list(lex.SEARCH_MODIFIERS)}), ' ')
+        <> array_to_string(regexp_extract_all(lower(p), '[a-z0-9+#]+'), ' ')
+      THEN array_to_string(list_filter(regexp_extract_all(lower(p), '[a-z0-9+#]+'), lambda t: t NOT IN {ck.in_list(lex.SEARCH_MODIFIERS)}), ' ') ELSE '' END), lambda c: c <> '') AS all_terms FROM worded)
+SELECT candidate_id, array_to_string(terms, '|') AS terms,
+  array_to_string(list_filter({_once('all_queries')}, lambda q: q <> ''), '|') AS queries,
+  array_to_string((list_filter({_once('all_terms')}, lambda q: q <> ''))[:6], '|') AS portal_terms FROM asked_for
+""")
 def search_phrases(spark: SparkSession, sf: str) -> DataFrame:
     people = views.candidates(spark, sf)
     join = lambda c: F.array_join(c, "|")
@@ -350,6 +409,17 @@ def search_phrases(spark: SparkSession, sf: str) -> DataFrame:
         join(portal_search_terms()).alias("portal_terms"))
 
 
-@query("search_plan", "F25")
+@query("search_plan", "F25", f"""
+WITH {PEOPLE}, {ASKED},
+quoted AS (SELECT candidate_id, country, '"' || position || '"' AS p, variants, array_to_string(list_transform(variants[:3], lambda v: '"' || v || '"'), ' OR ') AS joined
+  FROM asked JOIN varied USING (position)),
+planned AS (SELECT candidate_id, [p || ' "' || country || '" apply job', p || ' "' || country || '" vacancy']
+    || list_transform(variants, lambda v: '"' || v || '" "' || country || '" job vacancy apply')
+    || CASE WHEN country = 'sri lanka' THEN flatten(list_transform({ck.str_list(lex.SEARCH_DOMAINS)}, lambda d:
+         ['site:' || d || ' ' || p || ' "Sri Lanka"'] || CASE WHEN len(variants) > 0 THEN ['site:' || d || ' (' || joined || ')'] ELSE [] END)) ELSE [] END AS every FROM quoted),
+told AS (SELECT candidate_id, {_once('every')} AS queries FROM planned)
+SELECT candidate_id, unnest(queries) AS query, generate_subscripts(queries, 1) - 1 AS ordinal FROM told
+""")
 def search_plan_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return search_plan(views.candidates(spark, sf), F.lower("country"))
+    planned = search_plan(views.candidates(spark, sf), F.lower("country"))
+    return planned.withColumn("ordinal", F.col("ordinal").cast("long"))
