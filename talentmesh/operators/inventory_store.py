@@ -12,14 +12,19 @@ a bucket.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talentmesh.operators import inventory
 from talentmesh.schemas import INVENTORY
 from talentmesh.session import durable_cut
 
 BUCKETS = 64
+#: Rows carry the country in the form it is asked for; files are sorted by it.
+STORED = T.StructType([*INVENTORY.fields, T.StructField("country_key", T.StringType())])
 
 
 def bucket_of(buckets: int) -> Column:
@@ -43,13 +48,24 @@ def _buckets(spark: SparkSession, path: str, current: dict[int, int]) -> DataFra
     if not current:
         return inventory.empty_inventory(spark)
     folders = [f"{path}/data/bucket={b}/written={v}" for b, v in sorted(current.items())]
-    return spark.read.schema(INVENTORY).parquet(*folders)
+    return spark.read.schema(STORED).parquet(*folders)
+
 
+def read_version(
+    spark: SparkSession, path: str, version: int | None = None, country: str | None = None, sources: Sequence[str] = (),
+) -> DataFrame:
+    """The inventory as ``version`` left it, the newest by default; only its own files are listed.
 
-def read_version(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """The inventory as ``version`` left it, the newest by default; only its own files are listed."""
+    ``country`` and ``sources`` are filters that reach the files: rows are stored in order of
+    both, so row groups of other countries and sources are not read.
+    """
     at = latest_version(spark, path) if version is None else version
-    return _buckets(spark, path, manifest(spark, path, at))
+    rows = _buckets(spark, path, manifest(spark, path, at))
+    if country is not None and "country_key" in rows.columns:
+        rows = rows.where(F.col("country_key") == country.strip().lower())
+    if sources:
+        rows = rows.where(F.col("source").isin(*sources))
+    return rows.drop("country_key")
 
 
 def merge_version(
@@ -65,10 +81,11 @@ def merge_version(
     touched = {r["bucket"] for r in batch.select("bucket").distinct().collect()}
     before = manifest(spark, path, version - 1)
     if touched:
-        old = _buckets(spark, path, {b: v for b, v in before.items() if b in touched})
+        old = _buckets(spark, path, {b: v for b, v in before.items() if b in touched}).drop("country_key")
         merged = inventory.upsert(old, batch.drop("bucket"), run_id, ttl, ties)
         merged = merged.withColumn("bucket", bucket_of(buckets)).withColumn("written", F.lit(version))
-        merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        merged = merged.withColumn("country_key", F.lower(F.trim("country"))).repartition("bucket")
+        merged.sortWithinPartitions("bucket", "country_key", "source").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
             "bucket", "written").parquet(f"{path}/data")
     now = before | dict.fromkeys(touched, version)
     rows = spark.createDataFrame(sorted(now.items()), "bucket int, written int")

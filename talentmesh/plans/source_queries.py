@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talentmesh.plans import checks as ck
 from talentmesh.plans import views
 from talentmesh.plans.registry import query
 from talentmesh.sources import cards, feeds, registry
@@ -447,3 +448,24 @@ def registry_fan_in(spark: SparkSession, sf: str) -> DataFrame:
         _landed(spark, sf, "Rootcode Careers", _position_item(), "results")).unionByName(
         _landed(spark, sf, "Himalayas", guid, "jobs"))
     return feeds.registry_fan_in(scope, landed).select("source", F.col("source_id").alias("sid"), "seq")
+
+
+READABLE = ", ".join(
+    f"({i}, {ck.lit(n)}, {ck.lit(registry.FULL_INVENTORY if n in registry.FULL_SCOPES else registry.BOUNDED_LISTING)}, "
+    f"{str(n in registry.FULL_SCOPES).upper()}, {ck.lit(registry.FULL_SCOPES.get(n, registry.PORTAL_SCOPE % 80))})"
+    for i, n in enumerate([n for n, *_ in registry.CONNECTORS if n in registry.FULL_SCOPES] + [n for n, _ in registry.PORTALS]))
+
+
+@query("inventory_capabilities", "2.10 S18", f"""
+WITH {JOBS}, readable(place, source, capability, complete_for_scope, scope) AS (VALUES {READABLE}),
+held AS (SELECT source, count(*) AS n, count(DISTINCT source_id) AS ids FROM jobs GROUP BY 1)
+SELECT source, capability, complete_for_scope, scope, coalesce(n, 0) AS vacancies, coalesce(ids, 0) AS ids FROM readable LEFT JOIN held USING (source)
+""")
+def inventory_capabilities(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources that can be read without a candidate, what their inventory is good for, and what is held of it."""
+    readable = registry.inventory_sources(registry.default_registry(spark))
+    held = views.vacancies(spark, sf).groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("source_id").alias("distinct_ids"))
+    return readable.join(held, "source", "left").select(
+        "source", "capability", "complete_for_scope", "scope", F.coalesce("n", F.lit(0)).alias("vacancies"),
+        F.coalesce("distinct_ids", F.lit(0)).alias("ids"))

@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentmesh.operators import inventory_store
+from talentmesh.operators import inventory, inventory_store, snapshots
 from talentmesh.plans import views
+from talentmesh.plans.inventory_queries import CUT, STOCK
 from talentmesh.plans.registry import query
 from talentmesh.session import configure, shared_folder
 from talentmesh.streaming import inventory_stream as streams
@@ -78,6 +79,55 @@ def stream_inventory(spark: SparkSession, sf: str) -> DataFrame:
         at("last_seen_at").alias("last_seen"), F.col("last_source_run_id").alias("run"))
 
 
+@query("stored_inventory", "P31 J11 2.10", f"""
+WITH {STOCK} SELECT source, source_job_id, title, run FROM stock WHERE country = 'Sri Lanka' AND source IN ('s0', 's3')
+""")
+def stored_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs merged into the store; one country and two sources read back, by filters that reach the files."""
+    from talentmesh.plans.inventory_queries import observations
+
+    path, seen = f"{work_folder(spark)}/inventory", observations(spark, sf)
+    for version, part in enumerate((F.col("seen_at") < CUT, F.col("seen_at") >= CUT), 1):
+        inventory_store.merge_version(seen.where(part), path, version, f"r{version}")
+    rows = inventory_store.read_version(spark, path, country="Sri Lanka", sources=("s0", "s3"))
+    return rows.select("source", "source_job_id", "title", F.col("last_source_run_id").alias("run"))
+
+
+@query("frozen_snapshots", "T04 F39 W10", f"""
+WITH {STOCK},
+first AS (SELECT source, source_job_id, country, arg_max(event_type, ts) AS title, max(ts) AS last_seen, arg_max(props, ts) AS props FROM (
+  SELECT o.*, props FROM (SELECT *, 's' || (user_id % 4) AS source, CAST(user_id AS VARCHAR) AS source_job_id,
+    CASE WHEN user_id % 3 = 0 THEN 'Sri Lanka' ELSE 'Germany' END AS country FROM events) o) WHERE ts < TIMESTAMP '{CUT}' GROUP BY 1, 2, 3),
+every AS (SELECT source, source_job_id, country, arg_max(event_type, ts) AS title, max(ts) AS last_seen, arg_max(props, ts) AS props FROM (
+  SELECT *, 's' || (user_id % 4) AS source, CAST(user_id AS VARCHAR) AS source_job_id,
+    CASE WHEN user_id % 3 = 0 THEN 'Sri Lanka' ELSE 'Germany' END AS country FROM events) GROUP BY 1, 2, 3),
+states AS (SELECT 'first' AS state, * FROM first UNION ALL SELECT 'second', * FROM every),
+frozen AS (SELECT state, country, row_number() OVER (PARTITION BY state, country ORDER BY last_seen DESC, source, source_job_id) - 1 AS n,
+  sha256('{{"source":"' || source || '","source_job_id":"' || source_job_id || '","title":"' || title || '","company":"c","location":"","country":"' || country
+    || '","url":"","description":"","salary":"","job_type":"","detail_page_verified":false,"content_hash":"' || sha256(title)
+    || '","raw_payload":"' || replace(props, '"', '\\"') || '"}}') AS sha FROM states),
+blocks AS (SELECT state, country, n // 1024 AS block, count(*) AS n, sha256(string_agg(sha, '' ORDER BY n)) AS digest FROM frozen GROUP BY ALL),
+lists AS (SELECT state, country, CAST(sum(n) AS BIGINT) AS n_rows, sha256(string_agg(digest, '' ORDER BY block)) AS list_sha256 FROM blocks GROUP BY ALL),
+t AS (SELECT CAST(c_custkey AS VARCHAR) AS task_id, CASE WHEN c_nationkey % 2 = 0 THEN 'Sri Lanka' ELSE 'Germany' END AS country,
+  CASE WHEN c_mktsegment = 'BUILDING' THEN 'first' ELSE 'second' END AS state FROM customer)
+SELECT task_id, state, coalesce(n_rows, 0) AS n_rows, list_sha256 FROM t LEFT JOIN lists USING (state, country)
+""")
+def frozen_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """Some tasks ask before the last run, all ask after it: the first keep what they got."""
+    from talentmesh.plans.inventory_queries import observations
+
+    folder, seen = f"{work_folder(spark)}/snapshots", observations(spark, sf)
+    tasks = views.table(spark, sf, "customer").select(
+        F.col("c_custkey").cast("string").alias("task_id"), "c_mktsegment",
+        F.when(F.col("c_nationkey") % 2 == 0, "Sri Lanka").otherwise(F.lit("Germany")).alias("country"))
+    empty = inventory.empty_inventory(spark)
+    before = inventory.upsert(empty, seen.where(F.col("seen_at") < CUT), "r1")
+    early = tasks.where("c_mktsegment = 'BUILDING'").drop("c_mktsegment")
+    snapshots.freeze(early, before, folder, "first")
+    snapshots.freeze(tasks.drop("c_mktsegment"), inventory.upsert(empty, seen, "r2"), folder, "second")
+    return snapshots.task_lists(spark, folder)
+
+
 @query("stream_run_health", "T03 A15", """
 WITH w AS (SELECT date_trunc('hour', ts) AS start, 's' || (user_id % 4) AS source, count(*) AS rows,
   count(*) FILTER (WHERE event_type = 'error') AS failures FROM events GROUP BY 1, 2)

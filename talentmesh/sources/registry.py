@@ -37,6 +37,16 @@ PORTALS = (
     ("Government Jobs", "https://www.gov.lk/"),
 )
 
+# --- fixed values: what a source's inventory is good for, and of what it is the whole --------------
+FULL_INVENTORY, BOUNDED_LISTING, SEARCH_DISCOVERY = "full_inventory", "bounded_listing", "search_discovery"
+FULL_SCOPES = {
+    "ITPro.lk": "all currently listed Sri Lankan vacancies",
+    "topjobs.lk": "all currently open Sri Lankan vacancies",
+    "XpressJobs": "all active non-foreign vacancies returned by the public API",
+}
+PORTAL_SCOPE = "up to %d details found within the connector's bounded public-page traversal"
+SEED_SCOPE = "up to %d details from configured rendered seed pages"
+
 REGISTRY_SCHEMA = (
     "source_order int, source string, kind string, seed_url string, remote_global boolean, "
     "search_discovery boolean, disabled_reason string, it_only boolean"
@@ -83,6 +93,21 @@ def sources_in_scope(registry: DataFrame, target_position: str, web_discovery: b
     ).withColumn("skip_reason", reason)
 
 
+def inventory_sources(registry: DataFrame, bounded_limit: int = 80, seeds: bool = False) -> DataFrame:
+    """``source, capability, complete_for_scope, scope`` of every source that can be read without a candidate.
+
+    Only a source that is complete for its scope says that what it no longer lists is gone.
+    """
+    full = F.create_map(*[F.lit(x) for pair in FULL_SCOPES.items() for x in pair])
+    scope = F.coalesce(
+        full[F.col("source")], F.when(F.col("kind") == "portal", F.lit(PORTAL_SCOPE % bounded_limit)),
+        F.when((F.col("source") == "Crawl4AI Seeds") & F.lit(seeds), F.lit(SEED_SCOPE % bounded_limit)))
+    whole = F.col("source").isin(*FULL_SCOPES)
+    return registry.where("disabled_reason = ''").withColumn("scope", scope).where("scope IS NOT NULL").select(
+        "source_order", "source", F.when(whole, FULL_INVENTORY).otherwise(F.lit(BOUNDED_LISTING)).alias("capability"),
+        whole.alias("complete_for_scope"), "scope")
+
+
 def read_vacancy_csv(spark: SparkSession, path: str) -> DataFrame:
     """Vacancy list of an e-mail scan (header, quoted line breaks)."""
     schema = "company string, title string, apply_url string, match_score string"
