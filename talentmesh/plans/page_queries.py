@@ -248,26 +248,7 @@ def structured_postings(spark: SparkSession, sf: str) -> DataFrame:
     return postings.posting_links(found, 50).select("page_id", "title", F.col("url").alias("item_url"))
 
 
-@query("page_vacancies", "S15 P08 P09 F13", f"""
-WITH {LANDED}, p AS (SELECT page_id, url, {SITE} AS site, CAST(page_id AS VARCHAR) AS id, html FROM landed),
-k AS (SELECT *, page_id % 4 AS kind, page_id % 10 = 0 AS original FROM p
-  WHERE NOT (regexp_matches(url, '[?&]page=') )
-    AND NOT regexp_matches(url, '^https?://[^/?#]+/?(#.*)?$')),
-v AS (
-  SELECT page_id, {views.pick(views.TITLES, "page_id")} AS title, 'Acorn Labs' AS company, 'Colombo, LK' AS location,
-    '2024-01-15' AS published_raw FROM k WHERE kind = 0 AND page_id % 8 <> 0
-  UNION ALL SELECT page_id, 'Data Engineer', NULL, 'Remote', '' FROM k WHERE kind = 1
-)
-SELECT v.page_id, v.title, coalesce(v.company, replace(lower(regexp_extract(k.url, '^https?://([^/?#]+)', 1)), 'www.', '')) AS company,
-  v.location, v.published_raw FROM v JOIN k USING (page_id)
-""")
-def page_vacancies(spark: SparkSession, sf: str) -> DataFrame:
-    rows = postings.page_vacancies(landed_pages(spark, sf), "Portal", "sri lanka", views.NOW)
-    return rows.where(F.col("item_location").isNotNull()).select(
-        "page_id", "title", "company", "location", "published_raw")
-
-
-@query("page_vacancies_whole", "S15 P08 P09 F13", f"""
+PAGE_VACANCIES_SQL = f"""
 WITH {LANDED}, p AS (SELECT page_id, url, html, page_id % 4 AS kind FROM landed
   WHERE NOT regexp_matches(url, '[?&]page=') AND NOT regexp_matches(url, '^https?://[^/?#]+/?(#.*)?$')),
 h AS (SELECT *, {clean_sql("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS heading,
@@ -277,7 +258,11 @@ SELECT page_id, {views.pick(views.TITLES, "page_id")} AS title, 'Acorn Labs' AS
 UNION ALL SELECT page_id, 'Data Engineer', host, 'Remote', '', true FROM h WHERE kind = 1
 UNION ALL SELECT page_id, heading, CASE WHEN contains(lower(heading), ' at ') THEN trim(string_split(heading, ' at ')[-1]) ELSE host END,
   'Sri Lanka', '', false FROM h WHERE kind = 3 AND heading <> ''
-""")
+"""
+
+
+@query("page_vacancies", "S15 P08 P09 F13", PAGE_VACANCIES_SQL)
+@query("page_vacancies_whole", "S15 P08 P09 F13", PAGE_VACANCIES_SQL)
 def page_vacancies_whole(spark: SparkSession, sf: str) -> DataFrame:
     """All that the operator returns, pages without structured data by heading and evidence included."""
     rows = postings.page_vacancies(landed_pages(spark, sf), "Portal", "sri lanka", views.NOW)

@@ -25,22 +25,15 @@ def _landed(spark: SparkSession, sf: str, source: str, item: F.Column, wrap: str
                          payload.alias("payload"))
 
 
-@query("json_board_remote", "S02 P14", f"""
-WITH {JOBS} SELECT source_id AS sid, title, company, CASE WHEN location = '' THEN 'Remote' ELSE location END AS location,
-  url, md5(trim(regexp_replace(description, '[\\s\\x{{a0}}]+', ' ', 'g'))) AS body, published_raw, salary FROM jobs
-WHERE source_id <> ''
-""")
-def json_board_remote(spark: SparkSession, sf: str) -> DataFrame:
-    own = _remote_rows(spark, sf).where("source_id <> '' and not source_id like '%://%'")
-    return own.select(F.col("source_id").alias("sid"), "title", "company", "location", "url",
-                      F.md5("description").alias("body"), "published_raw", "salary")
-
-
-@query("json_board_remote_whole", "S02 P14", f"""
+BOARD_SQL = f"""
 WITH {JOBS} SELECT CASE WHEN source_id = '' THEN url ELSE source_id END AS sid, title, company,
   CASE WHEN location = '' THEN 'Remote' ELSE location END AS location, url,
   md5(trim(regexp_replace(description, '[\\s\\x{{a0}}]+', ' ', 'g'))) AS body, published_raw, salary FROM jobs
-""")
+"""
+
+
+@query("json_board_remote", "S02 P14", BOARD_SQL)
+@query("json_board_remote_whole", "S02 P14", BOARD_SQL)
 def json_board_remote_whole(spark: SparkSession, sf: str) -> DataFrame:
     """All postings; one without an id of its own goes by its address."""
     return _remote_rows(spark, sf).select(
@@ -348,25 +341,15 @@ def search_result_jobs(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("source_id").alias("sid"), "title", "company", "description", "location")
 
 
-@query("detail_enrichment", "S16", f"""
-WITH {JOBS} SELECT source_id AS sid, CASE WHEN seq % 3 = 0 THEN 'Detail of the role. ' || title ELSE title END AS description,
-  CASE WHEN seq % 3 = 0 THEN '2024-01-30' ELSE published_raw END AS published_raw FROM jobs WHERE source_id <> ''
-""")
-def detail_enrichment(spark: SparkSession, sf: str) -> DataFrame:
-    jobs = views.vacancies(spark, sf).where("source_id <> ''").select(
-        "seq", "source_id", F.col("title").alias("description"), "published_raw")
-    details = jobs.where("seq % 3 = 0").select(
-        "source_id", F.lit("Detail of the role.").alias("detail"),
-        F.lit("2024-01-30").alias("published"))
-    return feeds.enriched(jobs, details).select(
-        F.col("source_id").alias("sid"), "description", "published_raw")
-
-
-@query("detail_enrichment_whole", "S16", f"""
+ENRICHED_SQL = f"""
 WITH {JOBS} SELECT seq, source_id AS sid,
   CASE WHEN seq % 3 = 0 AND source_id <> '' THEN 'Detail of the role. ' || title ELSE title END AS description,
   CASE WHEN seq % 3 = 0 AND source_id <> '' THEN '2024-01-30' ELSE published_raw END AS published_raw FROM jobs
-""")
+"""
+
+
+@query("detail_enrichment", "S16", ENRICHED_SQL)
+@query("detail_enrichment_whole", "S16", ENRICHED_SQL)
 def detail_enrichment_whole(spark: SparkSession, sf: str) -> DataFrame:
     """All postings; one without an id of its own cannot be matched and keeps its card."""
     jobs = views.vacancies(spark, sf).select(
