@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -154,10 +160,37 @@ def load_reviews(spark, path: str, contexts: list[str]) -> DataFrame:
     return spark.read.parquet(path).where(F.col("context_hash").isin(*contexts))
 
 
-def file_manifest(df: DataFrame, run_key: str, known: DataFrame | None = None) -> DataFrame:
+#: Bytes of a file that are read at a time.
+READ_BYTES = 8 << 20
+
+
+def file_digests(files: DataFrame) -> DataFrame:
+    """``path, length, sha256`` of files listed as ``path, length``.
+
+    A file is read in pieces of READ_BYTES by the task that has its row, so its size is bounded
+    by nothing; any address that Arrow's file systems know will do.
+    """
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = []
+            for address in batch.column("path").to_pylist():
+                # Spark writes file:/folder where the scheme's own form is file:///folder.
+                system, path = pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", address))
+                sha = hashlib.sha256()
+                with system.open_input_stream(path) as stream:
+                    while piece := stream.read(READ_BYTES):
+                        sha.update(piece)
+                sums.append(sha.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.string())], ["path", "length", "sha256"])
+
+    return files.select("path", "length").mapInArrow(digest, "path string, length bigint, sha256 string")
+
+
+def file_manifest(files: DataFrame, run_key: str, known: DataFrame | None = None) -> DataFrame:
     """Kind, size and digest of result files, without those already recorded.
 
-    ``df`` has the columns of the binary file reader (``path, length, content``).
+    ``files`` has the columns ``path, length`` of the binary file reader; contents are read in pieces.
     """
     name = F.substring_index("path", "/", -1)
     suffix = F.lower(F.substring_index(name, ".", -1))
@@ -167,9 +200,8 @@ def file_manifest(df: DataFrame, run_key: str, known: DataFrame | None = None) -
         .when(suffix == "json", F.lit("application/json"))
         .otherwise(F.lit("text/plain"))
     )
-    rows = df.select(
-        name.alias("file_name"), kind.alias("kind"), F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
+    rows = file_digests(files).select(
+        name.alias("file_name"), kind.alias("kind"), F.col("length").alias("bytes"), "sha256",
     ).withColumn("idempotency_key", F.concat_ws(":", F.lit(run_key), "file_name", "sha256"))
     return rows if known is None else rows.join(
         known.select("idempotency_key"), "idempotency_key", "left_anti")
@@ -177,4 +209,5 @@ def file_manifest(df: DataFrame, run_key: str, known: DataFrame | None = None) -
 
 def manifest_of_folder(spark, path: str, run_key: str, known: DataFrame | None = None
                        ) -> DataFrame:
-    return file_manifest(spark.read.format("binaryFile").load(path), run_key, known)
+    """The manifest of a folder; the listing reads names and sizes only."""
+    return file_manifest(spark.read.format("binaryFile").load(path).select("path", "length"), run_key, known)

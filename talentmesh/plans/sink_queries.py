@@ -102,13 +102,12 @@ def stored_reviews(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("result_files", "K10", f"""
-WITH {JOBS} SELECT 'text/plain' AS kind, count(*) AS n FROM (SELECT DISTINCT source FROM jobs)
+WITH {JOBS} SELECT 'text/plain' AS kind, CAST(strlen(source) + 1 AS BIGINT) AS bytes, sha256(source || chr(10)) AS sha256 FROM (SELECT DISTINCT source FROM jobs)
 """)
 def result_files(spark: SparkSession, sf: str) -> DataFrame:
-    """One written file a source, listed with its digest; files recorded before are left out."""
+    """One written file a source, listed with its size and digest; files recorded before are left out."""
     path = _folder(spark, "files")
     names = views.vacancies(spark, sf).select("source").distinct()
     names.select(F.xxhash64("source").alias("part"), "source").repartition("part").write.partitionBy("part").text(path)
     known = spark.createDataFrame([("other",)], "idempotency_key string")
-    files = reports.manifest_of_folder(spark, f"{path}/*", "run-1", known)
-    return files.where("sha256 <> ''").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return reports.manifest_of_folder(spark, f"{path}/*", "run-1", known).select("kind", "bytes", "sha256")
