@@ -232,10 +232,10 @@ def search_forms(pages_df: DataFrame, position: str, per_page: int = 3) -> DataF
         "page_id", "search_url")
 
 
-def listing_roots(links_df: DataFrame, host: str, path_pattern: str) -> DataFrame:
-    """Distinct inventory roots of a board: host and path shape match."""
+def listing_roots(links_df: DataFrame, path_pattern: str, host: str | None = None) -> DataFrame:
+    """Distinct inventory roots of a board: host (by default the page's own) and path shape match."""
     url = F.col("url")
-    keep = (urls.site_host(url) == host) & urls.path(url).rlike(path_pattern)
+    keep = (urls.site_host(url) == (F.lit(host) if host else urls.site_host(F.col("base")))) & urls.path(url).rlike(path_pattern)
     return links_df.where(keep).select("page_id", "url").distinct()
 
 

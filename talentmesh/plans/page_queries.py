@@ -169,11 +169,26 @@ def search_forms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("listing_pages", "S13", f"""
-WITH {LANDED}, p AS (SELECT page_id, url, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path FROM landed)
-SELECT page_id, lower({SITE}) || '/jobs?page=2' AS url FROM p WHERE regexp_replace(path, '/+$', '') = '/jobs'
+WITH p AS (SELECT page_id, lower({SITE}) AS site FROM pages)
+SELECT page_id, site || '/jobs?page=' || n AS url FROM p, range(2, 5) r(n) WHERE page_id % 3 > 0
 """)
 def listing_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return links.listing_pages(links.page_links(landed_pages(spark, sf)), "page")
+    """Pages that are listings, with a pager: own and other paths, the first page and words for a number."""
+    pager = "".join(f'<a href="{h}">{t}</a>' for h, t in (
+        ("jobs?page=1", "1"), ("jobs?page=2", "2"), ("/jobs/?page=3", "3"), ("/jobs?page=4&utm_source=x", "4"), ("/jobs?page=two", "two"),
+        ("/jobs/senior?page=5", "5"), ("https://other.test/jobs?page=6", "6")))
+    site = F.regexp_extract("url", "^(https?://[^/?#]+)", 1)
+    listings = views.pages(spark, sf).select(
+        "page_id", F.concat(site, F.when(F.col("page_id") % 3 == 0, "/careers").otherwise(F.lit("/jobs"))).alias("url"),
+        F.concat(F.lit(pager), "html").alias("html"))
+    return links.listing_pages(links.page_links(listings), "page")
+
+
+@query("listing_roots", "S13", f"""
+WITH {LANDED} SELECT page_id, lower({SITE}) || '/category/it' AS url FROM landed
+""")
+def listing_roots(spark: SparkSession, sf: str) -> DataFrame:
+    return links.listing_roots(links.page_links(landed_pages(spark, sf)), "^/category/[^/]+$")
 
 
 PER_ORIGIN = 2
