@@ -11,6 +11,7 @@ from talentmesh import lexicons as lex
 from talentmesh.functions import urls
 from talentmesh.functions.text import any_of, clean_page_text, computed, strip, text_of, unescape
 from talentmesh.operators.ordering import first_by
+from talentmesh.operators.skew import salted_join
 
 PEOPLE_WORDS = '("Recruiter" OR "Talent Acquisition" OR "Human Resources" OR HR)'
 PEOPLE_URL = "https://www.linkedin.com/search/results/people/?keywords="
@@ -94,13 +95,18 @@ def allowed_emails(text: Column, include_personal: bool = False) -> Column:
         kept, lambda e: email_type(e) == "generic_recruiting")
 
 
-def result_leads(results: DataFrame, country: str, include_personal: bool = False) -> DataFrame:
+def result_leads(
+    results: DataFrame, country: str, include_personal: bool = False, landed: DataFrame | None = None,
+) -> DataFrame:
     """Leads of landed search results ``(company, seq, title, snippet, link, thumbnail, query)``.
 
-    Two projections of one scan: profile results with an HR role, and addresses in the text.
+    Two projections of one scan: profile results with an HR role, and addresses in the text. A
+    result without an address that leads elsewhere than to a profile falls back to its page, if
+    ``landed(url, html)`` has it; the page is then the evidence where it speaks of recruiting.
     """
     shaped = computed(
-        results, title=clean_page_text(F.col("title")), snippet=clean_page_text(F.col("snippet")))
+        results, title=clean_page_text(F.col("title")), snippet=clean_page_text(F.col("snippet")),
+        link=strip(text_of("link")))
     common = dict(
         company_linkedin_search_url=F.concat(
             F.lit(COMPANY_URL), urls.encode_part(_quoted(F.col("company")))),
@@ -115,18 +121,39 @@ def result_leads(results: DataFrame, country: str, include_personal: bool = Fals
         F.lit("").alias("email"), F.lit("").alias("email_type"), F.col("link").alias("profile_url"),
         *[c.alias(n) for n, c in common.items()], F.col("snippet").alias("evidence"),
         F.lit("public_linkedin_result").alias("confidence"), F.col("seq"))
-    text = F.concat_ws("\n", "title", "snippet")
-    mails = shaped.select(
-        "*", F.posexplode_outer(allowed_emails(text, include_personal)).alias("n", "mail")
-    ).where(F.col("mail").isNotNull()).select(
+    told = computed(shaped, evidence=F.concat_ws("\n", "title", "snippet"))
+    told = computed(told, mails=allowed_emails(F.col("evidence"), include_personal))
+    if landed is not None:
+        told = _with_page_text(told, landed, include_personal)
+    mails = told.select("*", F.posexplode_outer("mails").alias("n", "mail")).where(F.col("mail").isNotNull()).select(
         "company", F.lit("").alias("contact_name"), F.lit(EMAIL_TITLE).alias("title"),
         F.col("mail").alias("email"), email_type(F.col("mail")).alias("email_type"),
         F.lit("").alias("profile_url"), *[c.alias(n) for n, c in common.items()],
-        text.alias("evidence"), F.lit("public_email").alias("confidence"),
+        "evidence", F.lit("public_email").alias("confidence"),
         (F.col("seq") + F.col("n") + 1).alias("seq"))
     return profiles.unionByName(mails)
 
 
+def _with_page_text(told: DataFrame, landed: DataFrame, include_personal: bool) -> DataFrame:
+    """Results without an address of their own with the addresses and text of their landed page.
+
+    Only pages that are asked for are cleaned, each once however many results lead to it.
+    """
+    open_link = (F.size("mails") == 0) & (F.col("link") != "") & ~F.lower("link").contains("linkedin.com/")
+    asked = told.where(open_link).select("link").distinct()
+    first = landed.join(asked, landed["url"] == asked["link"], "left_semi").groupBy("url").agg(F.min("html").alias("html"))
+    page = computed(first, page_text=clean_page_text(F.col("html")))
+    page = computed(page, page_mails=allowed_emails(F.col("page_text"), include_personal)).select(
+        F.col("url").alias("link"), "page_text", "page_mails")
+    plain = told.where(~open_link)
+    found = salted_join(told.where(open_link), page, ["link"], ["seq"], "left")
+    speaks = hr_contact(F.col("title"), F.coalesce("page_text", F.lit(""))) & (F.coalesce("page_text", F.lit("")) != "")
+    none = F.array().cast("array<string>")
+    fallen = found.withColumn("evidence", F.when(speaks, F.col("page_text")).otherwise(F.col("evidence"))).withColumn(
+        "mails", F.coalesce("page_mails", none))
+    return plain.unionByName(fallen.select(plain.columns))
+
+
 def unique_leads(leads: DataFrame) -> DataFrame:
     """First lead per (company, name, address, profile or search link)."""
     low = lambda c: strip(F.lower(text_of(c)))

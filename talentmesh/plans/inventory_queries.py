@@ -229,31 +229,70 @@ def unique_companies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _leads(spark: SparkSession, sf: str) -> DataFrame:
-    """Manual leads of every company plus leads of landed results built from the texts."""
+    """Manual leads of every company plus leads of landed results built from the texts.
+
+    Every fifth result leads to a site instead of a profile; two thirds of those sites have landed.
+    """
     jobs = views.vacancies(spark, sf)
     companies = contacts.unique_companies(jobs)
+    seq = F.col("seq")
+    site = F.concat(F.lit("https://firm"), seq % 7, F.lit(".test/about/"), seq % 3)
+    either = lambda here, else_: F.when(seq % 5 == 0, here).otherwise(else_)
     results = jobs.where("trim(company) <> ''").select(
-        F.trim("company").alias("company"), (F.col("seq") * 100 + 50).alias("seq"),
-        F.concat(F.lit("Ann "), "seq", F.lit(" - Senior Recruiter | LinkedIn")).alias("title"),
-        F.concat(F.lit("mail HR@firm"), F.col("seq") % 7, F.lit(".test or bob@firm.test")).alias("snippet"),
-        F.concat(F.lit("https://www.linkedin.com/in/ann"), "seq").alias("link"),
+        F.trim("company").alias("company"), (seq * 100 + 50).alias("seq"),
+        either(F.lit("About us"), F.concat(F.lit("Ann "), "seq", F.lit(" - Senior Recruiter | LinkedIn"))).alias("title"),
+        either(F.lit("Who we are"), F.concat(F.lit("mail HR@firm"), seq % 7, F.lit(".test or bob@firm.test"))).alias("snippet"),
+        either(site, F.concat(F.lit("https://www.linkedin.com/in/ann"), "seq")).alias("link"),
         F.lit("").alias("thumbnail"), F.lit("q").alias("query"))
+    landed = jobs.where("seq % 5 = 0 AND seq % 3 < 2").select(site.alias("url"), F.concat(
+        F.lit("<p>Our recruitment team</p><p>careers@firm"), seq % 7, F.lit(".test</p>")).alias("html"))
     return contacts.unique_leads(contacts.manual_leads(companies, "Sri Lanka").unionByName(
-        contacts.result_leads(results, "Sri Lanka")))
+        contacts.result_leads(results, "Sri Lanka", landed=landed)))
+
+
+def _encoded(text: str) -> str:
+    return f"replace(url_encode({text}), '%20', '+')"
 
 
-LEADS = f"""named AS (SELECT seq, trim(company) AS company FROM jobs WHERE trim(company) <> ''),
-leads AS (
-  SELECT company, '' AS name, '' AS email, 'manual_review' AS confidence, seq * 100 AS seq FROM firsts
-  UNION ALL SELECT company, 'Ann ' || seq, '', 'public_linkedin_result', seq * 100 + 50 FROM named
-  UNION ALL SELECT arg_min(company, seq), '', 'hr@firm' || (seq % 7) || '.test', 'public_email', min(seq * 100 + 51) FROM named GROUP BY lower(company), seq % 7)"""
+PEOPLE_QUERY = f"""'"' || company || '" ' || {ck.lit(contacts.PEOPLE_WORDS)} || ' "Sri Lanka"'"""
+LEADS = f"""named AS (SELECT seq, trim(company) AS company, seq % 5 = 0 AS site FROM jobs WHERE trim(company) <> ''),
+mails AS (SELECT *, CASE WHEN site THEN 'careers@firm' ELSE 'hr@firm' END || (seq % 7) || '.test' AS email FROM named WHERE NOT site OR seq % 3 < 2),
+found AS (
+  SELECT company, '' AS contact_name, {ck.lit(contacts.MANUAL_TITLE)} AS title, '' AS email, '' AS email_type, 'manual_review' AS confidence, '' AS profile_url,
+    '' AS source_url, {PEOPLE_QUERY} AS search_query, {ck.lit(contacts.MANUAL_EVIDENCE)} AS evidence, seq * 100 AS seq FROM firsts
+  UNION ALL SELECT company, 'Ann ' || seq, 'Senior Recruiter', '', '', 'public_linkedin_result', 'https://www.linkedin.com/in/ann' || seq,
+    'https://www.linkedin.com/in/ann' || seq, 'q', 'mail HR@firm' || (seq % 7) || '.test or bob@firm.test', seq * 100 + 50 FROM named WHERE NOT site
+  UNION ALL SELECT arg_min(company, seq), '', {ck.lit(contacts.EMAIL_TITLE)}, email, 'generic_recruiting', 'public_email', '',
+    arg_min(CASE WHEN site THEN 'https://firm' || (seq % 7) || '.test/about/' || (seq % 3) ELSE 'https://www.linkedin.com/in/ann' || seq END, seq), 'q',
+    arg_min(CASE WHEN site THEN 'Our recruitment team careers@firm' || (seq % 7) || '.test'
+      ELSE 'Ann ' || seq || ' - Senior Recruiter | LinkedIn' || chr(10) || 'mail HR@firm' || (seq % 7) || '.test or bob@firm.test' END, seq), min(seq * 100 + 51)
+    FROM mails GROUP BY lower(company), email),
+leads AS (SELECT *, contact_name AS name, {ck.lit(contacts.COMPANY_URL)} || {_encoded("'" + '"' + "' || company || '" + '"' + "'")} AS company_linkedin_search_url,
+  {ck.lit(contacts.PEOPLE_URL)} || {_encoded(PEOPLE_QUERY)} AS linkedin_search_url, '' AS profile_image_url FROM found)"""
+LEAD_COLUMNS = (
+    "company", "contact_name", "title", "email", "email_type", "confidence", "company_linkedin_search_url", "linkedin_search_url",
+    "profile_url", "profile_image_url", "source_url", "search_query", "evidence")
 
 
 @query("contact_leads", "J16 F32 W08 P29 K06", f"""
-WITH {JOBS}, {COMPANIES}, {LEADS} SELECT company, name AS contact_name, email, confidence, seq FROM leads
+WITH {JOBS}, {COMPANIES}, {LEADS} SELECT {', '.join(LEAD_COLUMNS)}, seq FROM leads
 """)
 def contact_leads(spark: SparkSession, sf: str) -> DataFrame:
-    return _leads(spark, sf).select("company", "contact_name", "email", "confidence", "seq")
+    return _leads(spark, sf).select(*LEAD_COLUMNS, "seq")
+
+
+@query("contact_searches", "F32 J16", f"""
+WITH {JOBS}, {COMPANIES}, q AS (SELECT company, [
+    'site:linkedin.com/in ' || {PEOPLE_QUERY}, 'site:linkedin.com/company "' || company || '" "Sri Lanka"',
+    '"' || company || '" ("careers" OR "jobs" OR "recruitment" OR "human resources" OR HR) email "Sri Lanka"',
+    '"' || company || '" ("talent acquisition" OR recruiter OR recruitment) email'] AS queries FROM firsts)
+SELECT company, unnest(queries) AS query, generate_subscripts(queries, 1) - 1 AS ordinal FROM q
+""")
+def contact_searches(spark: SparkSession, sf: str) -> DataFrame:
+    """The searches that are made for every company."""
+    companies = contacts.unique_companies(views.vacancies(spark, sf))
+    asked = companies.select("company", F.posexplode(contacts.contact_queries(F.col("company"), F.lit("Sri Lanka"))).alias("ordinal", "query"))
+    return asked.withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
 @query("best_contacts", "W05", f"""
@@ -269,13 +308,13 @@ def best_contacts(spark: SparkSession, sf: str) -> DataFrame:
 WITH {JOBS}, {COMPANIES}, {LEADS}, b AS (SELECT *, lower(regexp_replace(company, '\\s+', ' ', 'g')) AS k, row_number() OVER (PARTITION BY lower(regexp_replace(company, '\\s+', ' ', 'g'))
   ORDER BY CASE confidence WHEN 'public_email' THEN 0 WHEN 'public_linkedin_result' THEN 1 ELSE 2 END, seq) AS rn FROM leads),
 f AS (SELECT *, row_number() OVER (PARTITION BY lower(trim(company)), lower(trim(title)), lower(trim(url)) ORDER BY seq) AS r FROM jobs)
-SELECT f.company, f.title, f.url AS apply_url, f.location, coalesce(b.email, '') AS hr_email, coalesce(b.confidence, '') AS hr_contact_confidence
+SELECT f.company, f.title, CAST(1.0 AS DOUBLE) AS score, f.location, f.source, f.published_raw AS published_at,
+  {', '.join(f"coalesce(b.{ours}, '') AS {theirs}" for ours, theirs in reports.CONTACT_COLUMNS)}, f.url AS apply_url
 FROM f LEFT JOIN b ON b.rn = 1 AND b.k = lower(regexp_replace(trim(f.company), '\\s+', ' ', 'g')) WHERE f.r = 1
 """)
 def companies_hiring(spark: SparkSession, sf: str) -> DataFrame:
     matches = views.vacancies(spark, sf).withColumn("score", F.lit(1.0))
-    return reports.companies_hiring(matches, _leads(spark, sf)).select(
-        "company", "title", "apply_url", "location", "hr_email", "hr_contact_confidence")
+    return reports.companies_hiring(matches, _leads(spark, sf))
 
 
 def _visited(spark: SparkSession, sf: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from talentmesh.functions import dates
 from talentmesh.operators import reports
 from talentmesh.plans import views
-from talentmesh.plans.inventory_queries import COMPANIES, LEADS, _leads
+from talentmesh.plans.inventory_queries import COMPANIES, LEADS, _leads, LEAD_COLUMNS
 from talentmesh.plans.registry import query
 from talentmesh.session import shared_folder
 
@@ -52,27 +52,27 @@ BEST = f"""best AS (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY CAS
   WHEN 'public_email' THEN 0 WHEN 'public_linkedin_result' THEN 1 ELSE 2 END, seq) AS rn, {KEY} AS company_key FROM leads)"""
 
 
+CONTACT_SQL = ", ".join(f"coalesce(best.{ours}, '') AS {theirs}" for ours, theirs in reports.CONTACT_COLUMNS)
+
+
 @query("review_report", "K03 J06", f"""
 WITH {JOBS}, {COMPANIES}, {LEADS}, {REVIEWED}, {BEST}, keyed AS (SELECT *, {KEY} AS company_key FROM m)
 SELECT {', '.join('keyed.' + c.strip() if c.strip().isidentifier() else c for c in CORE.replace('title, company, location, source', 'keyed.title, keyed.company, keyed.location, keyed.source').split(','))
         }, decision AS llm_decision, reason AS llm_reason, 'rules' AS llm_provider, 'm1' AS llm_model,
-  coalesce(best.name, '') AS hr_contact_name, coalesce(best.email, '') AS hr_email,
-  coalesce(best.confidence, '') AS hr_contact_confidence, keyed.url AS apply_url
+  {CONTACT_SQL}, keyed.url AS apply_url
 FROM keyed LEFT JOIN best ON best.rn = 1 AND best.company_key = keyed.company_key
 """.replace("score AS", "keyed.score AS"))
 def review_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Rejected and manual rows with the company's contact; link columns follow the contact queries."""
-    rows = reports.review_report(reviewed(spark, sf), _leads(spark, sf))
-    return rows.drop("hr_title", "hr_email_type", "company_linkedin_search_url", "hr_linkedin_search_url",
-                     "hr_profile_url", "hr_profile_image_url", "hr_source_url", "hr_search_query")
+    """Rejected and manual rows with the company's contact."""
+    return reports.review_report(reviewed(spark, sf), _leads(spark, sf))
 
 
 @query("contacts_report", "K06", f"""
 WITH {JOBS}, {COMPANIES}, {LEADS}
-SELECT company, name AS contact_name, email, confidence FROM leads
+SELECT {', '.join(LEAD_COLUMNS)} FROM leads
 """)
 def contacts_report(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.contacts_report(_leads(spark, sf)).select("company", "contact_name", "email", "confidence")
+    return reports.contacts_report(_leads(spark, sf))
 
 
 @query("written_report", "K01 K07 K08", f"""
