@@ -44,13 +44,6 @@ def entry_level(title: Column) -> Column:
     return F.lower(text_of(title)).rlike("(?U)" + lex.UNDERLEVEL_PATTERN)
 
 
-def underlevel(years: Column, target: Column, title_is_entry: Column) -> Column:
-    """An internship for a candidate of three or more years who did not ask for one."""
-    return F.coalesce(
-        (years >= 3) & ~entry_level(target) & title_is_entry, F.lit(False)
-    )
-
-
 def experience_fits(required: Column, years: Column, under: Column) -> Column:
     return years.isNull() | ((required.isNull() | (required <= years)) & ~under)
 

@@ -1,7 +1,7 @@
 """Text expressions: normal forms, term masks, HTML to text, bounded evidence.
 
 Everything here is a ``Column -> Column`` expression that stays inside whole-stage
-code generation; nothing touches Python per row except :func:`unescape_exact`.
+code generation; nothing touches Python.
 """
 
 from __future__ import annotations
@@ -10,10 +10,8 @@ import re
 from collections.abc import Iterable, Sequence
 from html.entities import name2codepoint
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from talentmesh import lexicons as lex
 
@@ -238,7 +236,7 @@ def unescape(c: Column) -> Column:
 
     Every distinct entity of a text is replaced in one pass, those that stand for an
     ampersand last, so that ``&amp;lt;`` becomes ``&lt;`` and not ``<``. Names that only
-    HTML 5 has, or that lack the semicolon, need :func:`unescape_exact`.
+    HTML 5 has, or that lack the semicolon, stay as they are.
     """
 
     def decoded(text: Column) -> Column:
@@ -252,14 +250,6 @@ def unescape(c: Column) -> Column:
     return let(c, lambda text: F.when(text.contains("&"), decoded(text)).otherwise(text))
 
 
-@F.pandas_udf(T.StringType())
-def unescape_exact(values: pd.Series) -> pd.Series:
-    """All HTML 5 entities, with or without semicolon (Arrow batches)."""
-    import html
-
-    return values.map(html.unescape, na_action="ignore")
-
-
 def clean_html(c: Column, decode=unescape) -> Column:
     """Readable text of a fragment: breaks, tags dropped, entities decoded, one line."""
     broken = F.regexp_replace(c, r"(?i)<br\s*/?>|</p>|</li>", "\n")

@@ -261,8 +261,4 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(fold(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-def contains_word(text: Column, word: str) -> Column:
-    return text.rlike(rf"\b{re.escape(word)}\b")
-
-
 __all__ = [n for n in dir() if not n.startswith("_")]

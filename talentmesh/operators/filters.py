@@ -47,13 +47,6 @@ def fresh(jobs: DataFrame, now: datetime | str, max_age_days: int = 7) -> DataFr
     return with_fresh_flag(jobs, now, max_age_days).where("fresh_ok").drop("fresh_ok")
 
 
-def kept_and_dropped(df: DataFrame, flag: str, *group: str) -> DataFrame:
-    """How many rows a filter keeps and drops, per group or overall."""
-    return df.groupBy(*group).agg(
-        F.count_if(F.col(flag)).alias("kept"), F.count_if(~F.col(flag)).alias("dropped")
-    )
-
-
 def page_closed(html: Column) -> Column:
     """A page says its posting is closed, scripts and styles left out."""
     visible = F.regexp_replace(

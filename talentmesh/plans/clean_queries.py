@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from talentmesh import lexicons as lex
 from talentmesh.functions import dates
 from talentmesh.functions.identity import content_hash, fallback_source_id, review_id
-from talentmesh.functions.text import collapse
 from talentmesh.operators import audit, dedupe, reports
 from talentmesh.plans import checks as ck
 from talentmesh.plans import views

@@ -144,6 +144,35 @@ def due_deletions(spark: SparkSession, sf: str) -> DataFrame:
     return inventory.due_for_deletion(docs, tasks, views.NOW).select("cv_id")
 
 
+@query("deletion_outcomes", "J13", """
+SELECT c_custkey AS cv_id, c_custkey % 3 = 0 AS deleted, CAST(c_custkey % 2 + CASE WHEN c_custkey % 3 < 2 THEN 1 ELSE 0 END AS BIGINT) AS attempts,
+  CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'locked' END AS error FROM customer
+""")
+def deletion_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """A third of the stored CVs is deleted, a third fails, a third is not tried."""
+    key = F.col("c_custkey")
+    docs = views.table(spark, sf, "customer").select(
+        key.alias("cv_id"), F.lit(None).cast("timestamp").alias("deleted_at"), (key % 2).alias("deletion_attempts"),
+        F.lit(None).cast("string").alias("deletion_error"))
+    tried = docs.where("cv_id % 3 < 2").select("cv_id", F.when(F.col("cv_id") % 3 == 0, "").otherwise(F.lit("locked")).alias("error"))
+    done = inventory.deletion_outcomes(docs, tried, views.NOW)
+    return done.select(
+        "cv_id", F.col("deleted_at").isNotNull().alias("deleted"), F.col("deletion_attempts").cast("long").alias("attempts"),
+        F.col("deletion_error").alias("error"))
+
+
+@query("inventory_round_trip", "F39", f"""
+WITH {JOBS}, d AS (SELECT *, {ck.POSTED} AS published FROM jobs)
+SELECT source, CASE WHEN source_id <> '' THEN source_id ELSE substr(sha256(url), 1, 16) END AS source_id, title, company, location,
+  CASE WHEN country_hint <> '' THEN country_hint ELSE 'sri lanka' END AS country_hint, url, md5(description) AS body,
+  coalesce(strftime(published, '%Y-%m-%dT%H:%M:%S') || '+00:00', '') AS published_raw, salary, job_type, detail_page_verified FROM d
+""")
+def inventory_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Vacancies as inventory rows and back."""
+    back = inventory.from_inventory(inventory.to_inventory(views.vacancies(spark, sf)))
+    return back.withColumn("description", F.md5("description")).withColumnRenamed("description", "body")
+
+
 def _subscriptions(spark: SparkSession, sf: str) -> DataFrame:
     return views.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("subscription_id"), F.col("o_custkey").alias("user_id"),

@@ -12,6 +12,7 @@ from talentmesh.operators import filters, links, navigation, postings
 from talentmesh.plans import checks as ck
 from talentmesh.plans import views
 from talentmesh.plans.registry import query
+from talentmesh.sources import cards
 
 # A landed vacancy page is a page with a board navigation, a search form and, for most
 # pages, a structured posting; everything is derived from the page row itself.
@@ -357,3 +358,14 @@ def url_helpers(spark: SparkSession, sf: str) -> DataFrame:
         urls.result_target(wrapped).alias("unwrapped"),
         urls.title_from_slug(F.concat(F.lit("https://x.test/senior-cook-"), pid, F.lit("/")))
         .alias("slug_title"))
+
+
+@query("hosted_board", "S07", f"""
+SELECT page_id, {SITE} || '/jobs/cook-' || page_id || '/' AS url, 'Cook & Co' AS title FROM pages
+UNION ALL SELECT page_id, 'https://board.test/jobs/clerk/', 'Clerk' FROM pages
+""")
+def hosted_board(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages with links of a hosted board in front of what they hold; an address keeps its first title."""
+    own = F.concat(F.lit('<a href="/jobs/cook-'), "page_id", F.lit('/"><b>Cook &amp; Co</b></a><a href="/jobs/cook-'), "page_id", F.lit(
+        '/">Apply</a><a class="x" href="https://board.test/jobs/clerk/" id="1">Clerk</a><a href="/jobs/">All</a>'))
+    return cards.board_links(views.pages(spark, sf).withColumn("html", F.concat(own, "html")))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from talentmesh.functions.identity import evidence_hash, review_context, review_id
 from talentmesh.operators import audit, filters, review
-from talentmesh.plans import checks as ck
 from talentmesh.plans import views
 from talentmesh.plans.clean_queries import DECIDED, decided_rows
 from talentmesh.plans.registry import query

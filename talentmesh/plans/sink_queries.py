@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentmesh.functions import dates
+from talentmesh.functions import cv, dates
 from talentmesh.operators import reports
 from talentmesh.plans import views
 from talentmesh.plans.inventory_queries import COMPANIES, LEADS, _leads, LEAD_COLUMNS
@@ -111,3 +111,14 @@ def result_files(spark: SparkSession, sf: str) -> DataFrame:
     names.select(F.xxhash64("source").alias("part"), "source").repartition("part").write.partitionBy("part").text(path)
     known = spark.createDataFrame([("other",)], "idempotency_key string")
     return reports.manifest_of_folder(spark, f"{path}/*", "run-1", known).select("kind", "bytes", "sha256")
+
+
+@query("cv_files", "S01", """
+SELECT n_name || chr(10) || 'Key ' || n_nationkey || chr(10) AS raw_text FROM nation
+""")
+def cv_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts written one to a file and read back whole, file by file."""
+    path = _folder(spark, "cvs")
+    text = F.concat("n_name", F.lit("\n"), F.concat(F.lit("Key "), "n_nationkey"))
+    views.table(spark, sf, "nation").select(F.col("n_nationkey").alias("cv"), text.alias("value")).repartition("cv").write.partitionBy("cv").text(path)
+    return cv.read_cvs(spark, f"{path}/*").select("raw_text")

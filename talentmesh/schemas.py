@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _TYPES = {
@@ -78,16 +76,3 @@ JOB_TEXT_COLUMNS = (
     "source", "source_id", "title", "company", "location", "country_hint", "url", "description",
     "published_raw", "salary", "job_type",
 )
-
-
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Select the schema's columns in order, null text to '', absent columns added."""
-    present = set(df.columns)
-    out = []
-    for field in schema.fields:
-        c = F.col(field.name) if field.name in present else F.lit(None)
-        c = c.cast(field.dataType)
-        if isinstance(field.dataType, T.StringType):
-            c = F.coalesce(c, F.lit(""))
-        out.append(c.alias(field.name))
-    return df.select(*out)

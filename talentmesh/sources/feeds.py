@@ -384,12 +384,6 @@ def still_offered(jobs: DataFrame, now: str) -> DataFrame:
     return jobs.where(~gone)
 
 
-def remote_for(jobs: DataFrame, country: str) -> DataFrame:
-    """Rows of a worldwide board that suit a country."""
-    target = F.lit(country)
-    return jobs.where(geo.remote_suits(F.col("location"), target))
-
-
 def enriched(jobs: DataFrame, details: DataFrame, replace: bool = False,
              minimum: int = 0) -> DataFrame:
     """Attach detail text: put in front of the card's text, or in place of it if longer.
@@ -466,14 +460,4 @@ def _or_other(first: str, second: str) -> Column:
     return F.when(F.col(first) != "", F.col(first)).otherwise(F.col(second))
 
 
-def split_at(title: Column) -> Column:
-    """``struct<company, role>`` of a "role at company" title."""
-    found = title.contains(" at ")
-    return F.struct(
-        F.when(found, strip(F.substring_index(title, " at ", -1))).otherwise(F.lit(""))
-        .alias("company"),
-        F.when(found, strip(F.regexp_replace(title, r"(?s)^(.*) at .*$", "$1"))).otherwise(
-            strip(title)).alias("role"))
-
-
 __all__ = [n for n in dir() if not n.startswith("_")]

@@ -4,7 +4,6 @@ import random
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from talentmesh.operators import audit, dedupe, matching, ordering, review
 from talentmesh.plans import views
