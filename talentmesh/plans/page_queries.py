@@ -287,10 +287,10 @@ def page_vacancies_whole(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("validated_hits", "S17 J15 F14 P23", f"""
-WITH {LANDED}, u AS (SELECT page_id, html, page_id % 4 AS kind, page_id % 9 = 0 AS shut, regexp_replace(regexp_replace(url, '[?&]utm_[a-z]+=[^&]*', '', 'g'), '/$', '') AS address FROM landed),
+WITH {LANDED}, u AS (SELECT page_id, html, page_id % 4 AS kind, page_id % 9 = 0 AS shut, regexp_matches(url, '[?#]') AS asked, regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '[?&]utm_[a-z]+=[^&]*', '', 'g'), '/$', '') AS address FROM landed),
 p AS (SELECT * FROM u WHERE NOT regexp_matches(address, '[?&]page=') AND NOT regexp_matches(address, '^https?://[^/?#]+/?$')),
 h AS (SELECT *, {clean_sql("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS heading FROM p),
-first_hit AS (SELECT min(page_id) AS seq, address FROM h GROUP BY 2),
+first_hit AS (SELECT min(page_id) AS seq, address FROM h WHERE asked GROUP BY 2),
 first_page AS (SELECT min(page_id) AS page_id, address FROM h WHERE NOT shut GROUP BY 2),
 v AS (SELECT h.page_id, h.address, CASE WHEN kind = 0 THEN {views.pick(views.TITLES, "h.page_id")} ELSE heading END AS title,
     CASE WHEN kind = 0 THEN 'Colombo, LK' ELSE 'Colombo, Sri Lanka' END AS location,
@@ -299,6 +299,7 @@ v AS (SELECT h.page_id, h.address, CASE WHEN kind = 0 THEN {views.pick(views.TIT
 SELECT page_id, 'Google Custom Search' AS source, lower(address) AS source_id, title, location, published_raw FROM v JOIN first_hit USING (address)
 """)
 def validated_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages found by search under an address with a tracking key; one without a query becomes another address."""
     landed = landed_pages(spark, sf)
     hits = landed.select(
         F.lit("Google Custom Search").alias("source"), F.col("page_id").alias("seq"),
