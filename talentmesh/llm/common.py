@@ -65,7 +65,7 @@ def fold_of(doc_id: str = "doc_id") -> Column:
 FILTER_BITS = 1 << 22
 
 
-def maybe_among(ids: DataFrame, column: str) -> Column:
+def maybe_among(ids: DataFrame, column: str | Column) -> Column:
     """A test that is true for every value of the one column of ``ids``, and rarely for others.
 
     For thinning out a large table before a join on ``column``: the bit map is a scalar
@@ -81,24 +81,48 @@ def maybe_among(ids: DataFrame, column: str) -> Column:
     every = ids.sparkSession.range(FILTER_BITS // 64).join(F.broadcast(words), F.col("id") == F.col("at"), "left")
     pairs = F.sort_array(F.collect_list(F.struct("id", F.coalesce("word", F.lit(0)).cast("long").alias("word"))))
     bitmap = every.agg(F.transform(pairs, lambda x: x.word).alias("bits")).scalar()
-    own = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(FILTER_BITS))
+    value = F.col(column) if isinstance(column, str) else column
+    own = F.pmod(F.xxhash64(value.cast("long")), F.lit(FILTER_BITS))
     word = F.element_at(bitmap, (F.floor(own / 64) + 1).cast("int"))
-    return F.coalesce(F.getbit(word, (own % 64).cast("int")) == 1, F.lit(False)) & F.col(column).isNotNull()
+    return F.coalesce(F.getbit(word, (own % 64).cast("int")) == 1, F.lit(False)) & value.isNotNull()
 
 
-def without(docs: DataFrame, dropped: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
-    """``docs`` less the documents whose doc_id is in ``dropped``, columns as they came.
+def row_mark() -> Column:
+    """A hash that, with the doc_id, names a row of a document table: rows that share both are equal texts."""
+    return F.xxhash64("doc_id", body())
 
-    Of the documents in ``repeated`` one row stays. Both tables have the one column doc_id,
-    without nulls. Only rows that may be meant are moved.
+
+def row_ids(docs: DataFrame) -> Column:
+    """A long for each different (doc_id, text): the doc_id itself where only one text has it.
+
+    Texts that share a doc_id or have none are named by a negative hash.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_mark().alias("mark")).where("doc_id IS NOT NULL")
+    shared = ids.groupBy("doc_id").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high")
+    unclear = F.col("doc_id").isNull() | maybe_among(stable(shared.select("doc_id"), "shared-ids"), "doc_id")
+    return F.when(unclear, F.lit(-1) - F.pmod(row_mark(), F.lit(1 << 62))).otherwise(F.col("doc_id").cast("long"))
+
+
+def without(docs: DataFrame, dropped: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``docs`` less the rows that ``dropped`` names, columns as they came.
+
+    Both tables have the columns doc_id (null for rows without one) and mark (``row_mark``), so
+    rows that share a doc_id are decided one by one. Of rows that ``repeated`` names and that
+    share both, one stays: that with the smallest hash of all columns. Only rows that may be
+    meant are moved.
     """
-    dropped = dropped.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    gone = maybe_among(dropped, "doc_id")
-    stay = docs.where(~gone).unionByName(docs.where(gone).join(dropped, "doc_id", "left_anti").select(docs.columns))
-    if repeated is None:
-        return stay
-    again = maybe_among(repeated, "doc_id")
-    return stay.where(~again).unionByName(stay.where(again).dropDuplicates(["doc_id"]))
+    own, text = docs["doc_id"].cast("long"), F.xxhash64(docs["doc_id"], body(docs["text"]))
+    named = lambda rows: stable(
+        rows.select(F.col("doc_id").cast("long").alias("__named_id"), F.col("mark").alias("__named_mark")).distinct(), "named-rows")
+    meant = lambda rows: (text == rows["__named_mark"]) & own.eqNullSafe(rows["__named_id"])
+    out, twice = named(dropped), named(repeated)
+    maybe_out = maybe_among(out.select("__named_mark"), row_mark())
+    stay = docs.where(~maybe_out).unionByName(docs.where(maybe_out).join(out, meant(out), "left_anti").select(docs.columns))
+    maybe_twice = maybe_among(twice.select("__named_mark"), row_mark())
+    # Rows that the filter lets through by chance are groups of their own.
+    again = stay.where(maybe_twice).groupBy(F.col("doc_id").alias("__id"), row_mark().alias("__mark")).agg(
+        F.min_by(F.struct(*docs.columns), F.xxhash64(F.to_json(F.struct(*docs.columns)))).alias("__row"))
+    return stay.where(~maybe_twice).unionByName(again.select("__row.*"))
 
 
 def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talentmesh.llm.common import WHITE_SPACE, body, shuffle_partitions, stable, without
+from talentmesh.llm.common import WHITE_SPACE, body, row_mark, shuffle_partitions, stable, without
 
 #: Tasks over which the copies of one text are spread before their bytes meet.
 SALTS = 16
@@ -77,7 +77,14 @@ def exact_groups(docs: DataFrame, hash_of: Callable[[Column], Column] = content_
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of equal texts, columns as they came; a doc_id stays once."""
-    decided = stable(exact_groups(docs).select("doc_id", "kept").where("doc_id IS NOT NULL"), "exact-decisions")
-    again = decided.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    return without(docs, decided.where("NOT kept").select("doc_id"), stable(again, "repeated-rows"))
+    """``docs`` with one document of each group of equal texts, columns as they came.
+
+    The row with the smallest doc_id stays; a row without one stays only if no row of its group
+    has one. Rows that share a doc_id are decided one by one, by text; of rows that share doc_id
+    and text one stays. Null text is empty text. An empty table gives an empty result.
+    """
+    row = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").cast("long").alias("doc_id"), row_mark().alias("mark"))
+    groups = same_content(docs.select(row.alias("id"), normalised().alias("content")))
+    decided = stable(groups.select("id.doc_id", "id.mark", (F.col("id") == F.col("keep_id")).alias("kept")), "exact-decisions")
+    again = decided.where("kept").groupBy("doc_id", "mark").count().where("count > 1")
+    return without(docs, decided.where("NOT kept"), again)

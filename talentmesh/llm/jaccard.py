@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talentmesh.llm.common import body, maybe_among, shuffle_partitions, stable, tidy, without
+from talentmesh.llm.common import body, maybe_among, row_ids, row_mark, shuffle_partitions, stable, tidy, without
 from talentmesh.llm.components import components
 
 WORDS = 5
@@ -368,6 +368,19 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with the smallest doc_id of each component, columns as they came."""
-    others = similar_documents(docs).where("doc_id <> component_id").select("doc_id")
-    return without(docs, stable(others, "near-copies"))
+    """``docs`` with the smallest doc_id of each component, columns as they came.
+
+    Rows that share a doc_id, or have none, are linked one by one, by text; a row without a
+    doc_id stays only if no row of its component has one. Of rows that share doc_id and text one
+    stays. Texts without words, null ones included, are linked with nothing, so all of those
+    stay. An empty table gives an empty result.
+    """
+    row = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").cast("long").alias("doc_id"), row_mark().alias("mark"))
+    ids = row_ids(docs)
+    rows = stable(docs.select(ids.alias("row_id"), row.alias("row")), "row-names")
+    linked_rows = similar_documents(docs.select(ids.alias("doc_id"), "text")).select(F.col("doc_id").alias("row_id"), "component_id").distinct()
+    placed = stable(rows.join(linked_rows, "row_id"), "placed-rows")
+    first = placed.groupBy("component_id").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1")
+    decided = stable(placed.join(first, "component_id").select("row.doc_id", "row.mark", (F.col("row") == F.col("first")).alias("kept")), "near-copies")
+    again = decided.where("kept").groupBy("doc_id", "mark").count().where("count > 1")
+    return without(docs, decided.where("NOT kept"), again)

@@ -8,15 +8,16 @@ the training length and per symbol, estimates the cross entropy; the smallest wi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from talentmesh.llm.common import body, fold_of, stable, tidy, without
+from talentmesh.llm.common import body, fold_of, stable, tidy
 
 #: Training text: rows a language, and characters a language, at most.
 TRAIN_ROWS = 64
@@ -172,25 +173,15 @@ def training_texts(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_C
     return {lang: parts[:rows] for lang, parts in out.items()}
 
 
-def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The language of every whole text: doc_id, held_out, lang_pred, score.
+def fitted(docs: DataFrame) -> Model | None:
+    """The model of the labelled documents outside fold 1; none if there are none."""
+    texts = training_texts(docs)
+    return fit(texts) if texts else None
 
-    ``score`` is the share of phrases that the best language needs less than the next (1 if only
-    one language was learned). A text that is null or holds no letter is ``und`` with score 0,
-    as is every text if nothing could be learned. Equal phrase counts go to the language first
-    in the alphabet. Only doc_id, text and, for learning, lang are read. Repeated rows get
-    equal answers; a null doc_id is not held out. The model, unless given, is fitted on the
-    bounded sample of ``training_texts``.
-    """
-    spark = docs.sparkSession
-    if model is None:
-        texts = training_texts(docs)
-        model = fit(texts) if texts else None
-    shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(
-        "doc_id", F.coalesce(fold_of() == 1, F.lit(False)).alias("held_out"),
-        F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("text"),
-    )
+
+def _predicted(rows: DataFrame, model: Model | None) -> DataFrame:
+    """``rows`` (text, null where nothing is to be told, and row) as row, lang_pred, score."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def answer(texts: list[str]) -> tuple[list[str], list[float]]:
         cost = phrases(shared.value, texts)
@@ -223,15 +214,44 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
                         held, texts, size = [], [], 0
             flush()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(langs), pa.array(scores, pa.float64())],
-                ["doc_id", "held_out", "lang_pred", "score"],
-            )
+                [batch.column("row"), pa.array(langs), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(tidy(predict), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL("lang_pred string, score double")])
+    return rows.mapInArrow(tidy(predict), schema)
 
 
-def with_language(docs: DataFrame) -> DataFrame:
-    """``docs`` without the texts in which no language can be told, columns as they came."""
-    decided = identify(docs).where((F.col("lang_pred") == NO_LANGUAGE) & F.col("doc_id").isNotNull())
-    return without(docs, stable(decided.select("doc_id"), "no-language"))
+def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """The language of every whole text: doc_id, held_out, lang_pred, score.
+
+    ``score`` is the share of phrases that the best language needs less than the next (1 if only
+    one language was learned). A text that is null or holds no letter is ``und`` with score 0,
+    as is every text if nothing could be learned. Equal phrase counts go to the language first
+    in the alphabet. Only doc_id, text and, for learning, lang are read. Repeated rows get
+    equal answers; a null doc_id is not held out. The model, unless given, is fitted on the
+    bounded sample of ``training_texts``.
+    """
+    model = fitted(docs) if model is None else model
+    row = F.struct("doc_id", F.coalesce(fold_of() == 1, F.lit(False)).alias("held_out")).alias("row")
+    return _predicted(docs.select(row, told_text().alias("text")), model).select("row.*", "lang_pred", "score")
+
+
+def told_text() -> Column:
+    """The text, if it holds a letter."""
+    return F.when(F.col("text").rlike(r"\p{L}"), F.col("text"))
+
+
+def with_language(docs: DataFrame, languages: Sequence[str] | None = None) -> DataFrame:
+    """``docs`` in a language, columns as they came; an absent ``lang`` becomes the predicted one.
+
+    A text that is null or holds no letter goes. With ``languages``, so does a text predicted to
+    be in none of them. If nothing can be learned, no text is known to be in another language:
+    all with a letter stay, and ``lang`` as it is. Rows are decided one by one, whatever their
+    doc_id; an empty table gives an empty result.
+    """
+    model = fitted(docs)
+    told = _predicted(docs.select(F.struct(*docs.columns).alias("row"), told_text().alias("text")).where("text IS NOT NULL"), model)
+    if model is None:
+        return told.select("row.*")
+    wanted = F.lit(True) if languages is None else F.col("lang_pred").isin(*languages)
+    named = lambda c: F.coalesce(F.col("row.lang"), F.col("lang_pred")).alias(c) if c == "lang" else F.col(f"row.`{c}`").alias(c)
+    return told.where(wanted).select(*[named(c) for c in docs.columns])
