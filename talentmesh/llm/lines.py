@@ -24,17 +24,21 @@ def _line_hash(line: Column) -> Column:
 def line_chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
     """doc_id, text_hash, lines, and chunks: array of (chunk_no, n_lines, chunk).
 
-    A line ends a chunk when the rolling hash of it and the lines of the window before it is 0
-    modulo ``divisor``, so boundaries move with the content. The last line always ends one.
+    A line is a cut when the rolling hash of it and the lines of the window before it is 0 modulo
+    ``divisor``, so boundaries move with the content. A cut ends a chunk unless the line before it
+    is one too or it is the first line; so all chunks but the last have two lines or more. The
+    last line always ends one.
     """
     texts = docs.select("doc_id", F.xxhash64(body()).alias("text_hash"), body().alias("text"))
     lined = computed(texts, lines=F.split("text", "\n", -1)).drop("text")
     hashed = computed(lined, hashes=F.transform("lines", _line_hash))
 
+    def is_cut(i: Column) -> Column:
+        rolled = sum((F.coalesce(F.get("hashes", i - j), F.lit(0)) * pow(BASE, j, MODULUS) for j in range(1, window)), F.get("hashes", i))
+        return F.pmod(rolled, F.lit(MODULUS)) % divisor == 0
+
     def ends(h: Column, i: Column) -> Column:
-        earlier = (F.coalesce(F.get("hashes", i - j), F.lit(0)) * pow(BASE, j, MODULUS) for j in range(1, window))
-        rolled = F.pmod(sum(earlier, h), F.lit(MODULUS))
-        return F.when((rolled % divisor == 0) | (i == F.size("hashes") - 1), i + 1)
+        return F.when(((i > 0) & is_cut(i) & ~is_cut(i - 1)) | (i == F.size("hashes") - 1), i + 1)
 
     ended = computed(hashed, ends=F.filter(F.transform("hashes", ends), lambda e: e.isNotNull()))
 

@@ -52,8 +52,10 @@ h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS h FROM l),
 r AS (SELECT *, (h + coalesce(lag(h, 1) OVER w, 0) * {lines.BASE}
                    + coalesce(lag(h, 2) OVER w, 0) * {pow(lines.BASE, 2, lines.MODULUS)}) % {lines.MODULUS} AS r
       FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-c AS (SELECT *, coalesce(sum(CASE WHEN r % {lines.DIVISOR} = 0 OR i = n THEN 1 ELSE 0 END)
-                 OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM r),
+e AS (SELECT *, i = n OR (i > 1 AND r % {lines.DIVISOR} = 0 AND lag(r) OVER w % {lines.DIVISOR} <> 0) AS ends FROM r
+      WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT *, coalesce(sum(CASE WHEN ends THEN 1 ELSE 0 END)
+                 OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM e),
 k AS (SELECT doc_id, no, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS n_lines FROM c GROUP BY ALL),
 f AS (SELECT *, n_lines > 1 AND row_number() OVER (PARTITION BY chunk, n_lines > 1 ORDER BY doc_id, no) > 1 AS gone FROM k)
 SELECT doc_id, CAST(sum(n_lines) AS BIGINT) AS n_lines,

@@ -44,12 +44,14 @@ def test_exact_copies_go_and_rows_stay_once(spark):
 def chunks_by_hand(text):
     own = (text or "").split("\n")
     h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in own]
+    rolled = [sum(h[i - j] * pow(lines.BASE, j, lines.MODULUS) for j in range(lines.WINDOW) if i >= j) % lines.MODULUS for i in range(len(own))]
+    cut = [r % lines.DIVISOR == 0 for r in rolled]
     out, start = [], 0
     for i in range(len(own)):
-        r = sum(h[i - j] * pow(lines.BASE, j, lines.MODULUS) for j in range(lines.WINDOW) if i >= j) % lines.MODULUS
-        if r % lines.DIVISOR == 0 or i == len(own) - 1:
+        if (i and cut[i] and not cut[i - 1]) or i == len(own) - 1:
             out.append(own[start : i + 1])
             start = i + 1
+    assert all(len(c) > 1 for c in out[:-1])
     return out
 
 
