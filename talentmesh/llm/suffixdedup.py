@@ -13,16 +13,22 @@ down, by content only, to what can still be in doubt:
 
 No step looks at more than one anchor's distinct contexts together, and where one core has
 more than CROWD different slices they are split further, start by start.
+
+All of this works on symbols, which are the bytes of a text or hashes of its words: ``BYTES``
+finds repeated strings of 400 bytes, ``WORDS`` repeated passages of 50 words.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +38,14 @@ from talentmesh.llm.suffixsort import suffix_array
 
 LENGTH = 400
 GRAM = 64
+#: Words of a passage, and of the grams that anchor it.
+PASSAGE_WORDS = 50
+PASSAGE_GRAM = 8
+#: Starts of a slice; at most as many as an integer has bits, and fewer than the length.
 SLICE = 32
+PASSAGE_SLICE = 32
+#: Rows that a task gathers before it hands them on.
+HANDED_ON = 1 << 14
 #: Different slices of one core that are sorted together, and symbols sorted at a time.
 CROWD = 20_000
 BATCH_SYMBOLS = 1 << 17
@@ -41,6 +54,33 @@ STRETCH = 1 << 22
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def text_bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
+def word_hashes(text: str) -> bytes:
+    """A 64-bit hash of every word ``[^\\x20\\x09-\\x0D]+``, in order."""
+    words = text_bytes(text).split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype="<u8", count=len(words)).tobytes()
+
+
+@dataclass(frozen=True)
+class Measure:
+    """What counts as a repeat: ``length`` symbols of ``width`` bytes, anchored by grams of ``gram``, sorted by ``slice`` starts."""
+
+    length: int
+    gram: int
+    slice: int
+    width: int
+    symbols: Callable[[str], bytes]
+
+
+BYTES = Measure(LENGTH, GRAM, SLICE, 1, text_bytes)
+WORDS = Measure(PASSAGE_WORDS, PASSAGE_GRAM, PASSAGE_SLICE, 8, word_hashes)
+
 
 @functools.lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,61 +113,90 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchor_runs(text: bytes, length: int = LENGTH, k: int = GRAM) -> Iterator[tuple[int, int, int, int]]:
-    """(hash, anchor position, first start, last start) of every run of starts with one anchor."""
-    data = np.frombuffer(text, dtype=np.uint8)
-    for base in range(0, len(data) - length + 1, STRETCH):
-        part = data[base : base + STRETCH + length - 1]
-        h = gram_hashes(part, k)
+def anchor_arrays(text: bytes, of: Measure = BYTES) -> Iterator[tuple[np.ndarray, ...]]:
+    """Hash, anchor position, first start and last start of the runs of starts with one anchor, stretch by stretch."""
+    data = np.frombuffer(text, dtype=f"<u{of.width}")
+    for base in range(0, len(data) - of.length + 1, STRETCH):
+        part = data[base : base + STRETCH + of.length - 1]
+        h = gram_hashes(part, of.gram)
         # Of equal heads the first counts: in equal strings that is the same place.
         key = h & ~np.uint64((1 << 24) - 1) | np.arange(len(h), dtype=np.uint64)
-        anchor = (sliding_least(key, length - k + 1) & np.uint64((1 << 24) - 1)).astype(np.int64)
+        anchor = (sliding_least(key, of.length - of.gram + 1) & np.uint64((1 << 24) - 1)).astype(np.int64)
         edges = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         ends = np.concatenate([edges[1:], [len(anchor)]]) - 1
         at = anchor[edges]
-        yield from zip(
-            h[at].view(np.int64).tolist(), (at + base).tolist(), (edges + base).tolist(), (ends + base).tolist(), strict=True
-        )
+        yield h[at].view(np.int64), at + base, edges + base, ends + base
+
+
+def anchor_runs(text: bytes, of: Measure = BYTES) -> Iterator[tuple[int, int, int, int]]:
+    """(hash, anchor position, first start, last start) of every run of starts with one anchor."""
+    for arrays in anchor_arrays(text, of):
+        yield from zip(*(a.tolist() for a in arrays), strict=True)
+
+
+def _contexts(raw: bytes, p: np.ndarray, lo: np.ndarray, hi: np.ndarray, of: Measure) -> list[bytes]:
+    """A 128-bit hash of each run's symbols and of where its anchor lies in them."""
+    spans = zip((lo * of.width).tolist(), ((hi + of.length) * of.width).tolist(), (p - lo).tolist(), strict=True)
+    return [hashlib.md5(raw[a:b] + at.to_bytes(4, "little")).digest() for a, b, at in spans]
 
 
-def _runs(docs: DataFrame) -> DataFrame:
+def _runs(docs: DataFrame, of: Measure) -> DataFrame:
+    names = ["anchor", "context", "doc_id", "mark", "p", "lo", "hi"]
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: tuple[list, ...] = ([], [], [], [], [], [], [])
-            for doc_id, mark, text in zip(*(batch.column(i) for i in range(3)), strict=True):
-                raw = text.as_py().encode("utf-8", "surrogatepass")
-                doc_id, mark = doc_id.as_py(), mark.as_py()
-                for h, p, lo, hi in anchor_runs(raw):
-                    digest = hashlib.md5(raw[lo : hi + LENGTH])
-                    digest.update((p - lo).to_bytes(4, "little"))
-                    for c, v in zip(columns, (h, digest.digest(), doc_id, mark, p, lo, hi), strict=True):
-                        c.append(v)
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["anchor", "context", "doc_id", "mark", "p", "lo", "hi"]
-            )
+            ids, marks = batch.column(0), batch.column(1)
+            rows: list[int] = []
+            parts: list[tuple[np.ndarray, ...]] = []
+            contexts: list[bytes] = []
+
+            def taken() -> pa.RecordBatch:
+                none = np.zeros(0, dtype=np.int64)
+                sizes = [len(part[0]) for part in parts]  # noqa: B023
+                row = pa.array(np.repeat(np.array(rows, dtype=np.int64), sizes))  # noqa: B023
+                h, p, lo, hi = (pa.array(np.concatenate([none, *x])) for x in (zip(*parts, strict=True) if parts else [()] * 4))  # noqa: B023
+                return pa.RecordBatch.from_arrays([h, pa.array(contexts, pa.binary()), ids.take(row), marks.take(row), p, lo, hi], names)  # noqa: B023
+
+            for i, text in enumerate(batch.column(2)):
+                raw = of.symbols(text.as_py())
+                for part in anchor_arrays(raw, of):
+                    rows.append(i)
+                    parts.append(part)
+                    contexts.extend(_contexts(raw, *part[1:], of))
+                if len(contexts) >= HANDED_ON:
+                    yield taken()
+                    rows, parts, contexts = [], [], []
+            yield taken()
 
     return docs.mapInArrow(tidy(read), "anchor long, context binary, doc_id long, mark long, p long, lo long, hi long")
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(of: Measure) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Cut contexts (spots of a document) into slices: key, left and right of the core, where, how many."""
-    for batch in batches:
-        out: list[tuple] = []
-        for doc_id, mark, text, spots in zip(*(batch.column(n) for n in ("doc_id", "mark", "text", "spots")), strict=True):
-            raw = text.as_py().encode("utf-8", "surrogatepass")
-            doc_id, mark = doc_id.as_py(), mark.as_py()
-            for spot in spots.as_py():
-                p, lo, hi = spot["p"], spot["lo"], spot["hi"]
-                for s in range((p - hi) // SLICE, (p - lo) // SLICE + 1):
-                    at = p - SLICE * s
-                    first, last = max(lo, at - SLICE + 1), min(hi, at)
-                    core = raw[at : at + LENGTH - SLICE + 1]
-                    key = hashlib.md5(core)
-                    key.update(spot["anchor"].to_bytes(8, "little", signed=True) + s.to_bytes(4, "little"))
-                    left, right = raw[first:at], raw[at + LENGTH - SLICE + 1 : last + LENGTH]
-                    out.append((key.digest(), left, right, doc_id, mark, at, spot["n"]))
-        yield _slice_batch(out)
+    core_length = of.length - of.slice + 1
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for doc_id, mark, text, spots in zip(*(batch.column(n) for n in ("doc_id", "mark", "text", "spots")), strict=True):
+                raw = of.symbols(text.as_py())
+                part = lambda lo, hi: raw[lo * of.width : hi * of.width]  # noqa: E731, B023
+                doc_id, mark = doc_id.as_py(), mark.as_py()
+                for spot in spots.as_py():
+                    p, lo, hi = spot["p"], spot["lo"], spot["hi"]
+                    for s in range((p - hi) // of.slice, (p - lo) // of.slice + 1):
+                        at = p - of.slice * s
+                        first, last = max(lo, at - of.slice + 1), min(hi, at)
+                        key = hashlib.md5(part(at, at + core_length))
+                        key.update(spot["anchor"].to_bytes(8, "little", signed=True) + s.to_bytes(4, "little"))
+                        left, right = part(first, at), part(at + core_length, last + of.length)
+                        out.append((key.digest(), left, right, doc_id, mark, at, spot["n"]))
+                    if len(out) >= HANDED_ON:
+                        yield _slice_batch(out)
+                        out = []
+            yield _slice_batch(out)
+
+    return cut
 
 
 SLICE_FIELDS = pa.schema([
@@ -142,30 +211,32 @@ def _slice_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SLICE_FIELDS, strict=True)], schema=SLICE_FIELDS)
 
 
-def starts_of(before: bytes, after: bytes) -> range:
-    """Starts of a slice, as bytes before its core, whose whole string the slice holds."""
-    return range(SLICE - 1 - len(after), len(before) + 1)
+def starts_of(before: bytes, after: bytes, of: Measure = BYTES) -> range:
+    """Starts of a slice, as symbols before its core, whose whole string the slice holds."""
+    return range(of.slice - 1 - len(after) // of.width, len(before) // of.width + 1)
 
 
-def repeats_among(strings: list[tuple[bytes, bytes]], groups: list[int]) -> list[int]:
+def repeats_among(strings: list[tuple[bytes, bytes]], groups: list[int], of: Measure = BYTES) -> list[int]:
     """For each slice the bits of the starts whose string also starts in another of its group."""
-    flat: list[int] = []
-    core_at = []
-    top = 257
-    for (before, after), g in zip(strings, groups, strict=True):
-        flat.extend(b + 1 for b in before)
-        core_at.append(len(flat))
-        flat.append(top + g)
-        flat.extend(b + 1 for b in after)
-        flat.append(0)
+    parts = [np.frombuffer(b"".join(s), dtype=f"<u{of.width}") for s in strings]
+    seen, symbols = np.unique(np.concatenate(parts), return_inverse=True)
+    # 0 ends a slice, and each group's core is one symbol above all others.
+    left = np.array([len(before) // of.width for before, _ in strings])
+    size = np.array([len(p) for p in parts])
+    starts = np.cumsum(size + 2) - (size + 2)
+    flat = np.zeros(int((size + 2).sum()), dtype=np.int64)
+    core_at = starts + left
+    inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    flat[np.repeat(starts, size) + inside + (inside >= np.repeat(left, size))] = symbols + 1
+    flat[core_at] = len(seen) + 1 + np.array(groups)
     rank = np.empty(len(flat), dtype=np.int64)
-    rank[suffix_array(flat)] = np.arange(len(flat))
-    owner = np.concatenate([np.full(len(starts_of(*s)), i) for i, s in enumerate(strings)])
-    bit = np.concatenate([np.array(starts_of(*s), dtype=np.int64) for s in strings])
-    place = np.array(core_at)[owner] - bit
+    rank[suffix_array(flat.tolist())] = np.arange(len(flat))
+    owner = np.concatenate([np.full(len(starts_of(*s, of)), i) for i, s in enumerate(strings)])
+    bit = np.concatenate([np.array(starts_of(*s, of), dtype=np.int64) for s in strings])
+    place = core_at[owner] - bit
     order = np.argsort(rank[place])
     place, owner, bit = place[order], owner[order], bit[order]
-    window = np.array(flat)[place[:, None] + np.arange(SLICE)]
+    window = flat[place[:, None] + np.arange(of.slice)]
     same = np.concatenate([[False], (window[1:] == window[:-1]).all(axis=1), [False]])
     hit = same[1:] | same[:-1]
     masks = np.zeros(len(strings), dtype=np.int64)
@@ -173,46 +244,55 @@ def repeats_among(strings: list[tuple[bytes, bytes]], groups: list[int]) -> list
     return masks.tolist()
 
 
-def _sorted_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sorted_repeats(of: Measure) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (key, before, after) sorted by key -> the same with ``bits``, keys kept whole."""
-    keys: list[bytes] = []
-    strings: list[tuple[bytes, bytes]] = []
-    size = 0
-
-    def solved() -> pa.RecordBatch:
-        groups = np.cumsum([0, *(a != b for a, b in zip(keys, keys[1:], strict=False))]).tolist()
-        bits = repeats_among(strings, groups)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.binary()), pa.array([s[0] for s in strings], pa.binary()),
-             pa.array([s[1] for s in strings], pa.binary()), pa.array(bits, pa.int64())],
-            ["key", "before", "after", "bits"],
-        )
-
-    for batch in batches:
-        for key, before, after in zip(*(batch.column(n).to_pylist() for n in ("key", "before", "after")), strict=True):
-            if size > BATCH_SYMBOLS and key != keys[-1]:
-                yield solved()
-                keys, strings, size = [], [], 0
-            keys.append(key)
-            strings.append((before, after))
-            size += len(before) + len(after) + 2
-    if keys:
-        yield solved()
-
-
-def _single_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[bytes] = []
+        strings: list[tuple[bytes, bytes]] = []
+        size = 0
+
+        def solved() -> pa.RecordBatch:
+            groups = np.cumsum([0, *(a != b for a, b in zip(keys, keys[1:], strict=False))]).tolist()
+            bits = repeats_among(strings, groups, of)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.binary()), pa.array([s[0] for s in strings], pa.binary()),
+                 pa.array([s[1] for s in strings], pa.binary()), pa.array(bits, pa.int64())],
+                ["key", "before", "after", "bits"],
+            )
+
+        for batch in batches:
+            for key, before, after in zip(*(batch.column(n).to_pylist() for n in ("key", "before", "after")), strict=True):
+                if size > BATCH_SYMBOLS and key != keys[-1]:
+                    yield solved()
+                    keys, strings, size = [], [], 0
+                keys.append(key)
+                strings.append((before, after))
+                size += (len(before) + len(after)) // of.width + 2
+        if keys:
+            yield solved()
+
+    return search
+
+
+def _single_starts(of: Measure) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Slices of a crowded core, one row a start: the whole string is in the key."""
-    for batch in batches:
-        out = []
-        for row in batch.to_pylist():
-            for b in starts_of(row["before"], row["after"]):
-                before, after = row["before"][len(row["before"]) - b :], row["after"][: SLICE - 1 - b]
-                key = hashlib.md5(row["key"] + bytes([b]) + before + after).digest()
-                out.append((key, before, after, row["doc_id"], row["mark"], row["at"], row["n"]))
-        yield _slice_batch(out)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                for b in starts_of(row["before"], row["after"], of):
+                    before = row["before"][len(row["before"]) - b * of.width :]
+                    after = row["after"][: (of.slice - 1 - b) * of.width]
+                    key = hashlib.md5(row["key"] + bytes([b]) + before + after).digest()
+                    out.append((key, before, after, row["doc_id"], row["mark"], row["at"], row["n"]))
+            yield _slice_batch(out)
+
+    return split
 
 
-def _with_bits(slices: DataFrame, crowded: bool) -> DataFrame:
+def _with_bits(slices: DataFrame, crowded: bool, of: Measure) -> DataFrame:
     """Slices whose document is the only one with its context, with bits for repeated starts."""
     kinds = stable(
         slices.groupBy("key", "before", "after").agg(F.sum("n").alias("copies"))
@@ -222,19 +302,19 @@ def _with_bits(slices: DataFrame, crowded: bool) -> DataFrame:
     settled = kinds.where("copies > 1").select("key", "before", "after", F.lit(-1).cast("long").alias("bits"))
     open_kinds = kinds.where("kinds > 1").select("key", "before", "after")
     open_kinds = open_kinds.repartition(shuffle_partitions(slices.sparkSession), "key").sortWithinPartitions("key")
-    found = open_kinds.mapInArrow(tidy(_sorted_repeats), "key binary, before binary, after binary, bits long").where("bits <> 0")
+    found = open_kinds.mapInArrow(tidy(_sorted_repeats(of)), "key binary, before binary, after binary, bits long").where("bits <> 0")
     bits = settled if crowded else settled.union(found)
     bits = bits.groupBy("key", "before", "after").agg(F.bit_or("bits").alias("bits"))
     return slices.where("n = 1").join(bits, ["key", "before", "after"]).select("doc_id", "mark", "at", "before", "after", "bits")
 
 
-def repeated_ranges(docs: DataFrame) -> DataFrame:
+def repeated_ranges(docs: DataFrame, of: Measure = BYTES) -> DataFrame:
     """(doc_id, mark, spans): where repeated strings start. ``docs`` holds doc_id, mark and text, no nulls in text.
 
     ``spans`` are (lo, hi, bits): all starts from lo to hi if bits is null, else lo - b for each
     set bit b, where hi - 32 + 1 <= lo - b <= hi is what the slice held.
     """
-    runs = stable(_runs(docs.select("doc_id", "mark", "text")), "runs")
+    runs = stable(_runs(docs.select("doc_id", "mark", "text"), of), "runs")
     spot = F.struct("doc_id", "mark", "p", "lo", "hi")
     kinds = runs.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(spot).alias("spot"))
     by_anchor = Window.partitionBy("anchor")
@@ -249,24 +329,25 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     texts = docs.where(maybe_among(spots.select("mark"), "mark"))
     cut = texts.join(spots, texts["doc_id"].eqNullSafe(spots["doc_id"]) & (texts["mark"] == spots["mark"]))
     cut = cut.select(texts["doc_id"], texts["mark"], "text", "spots").dropDuplicates(["doc_id", "mark"])
-    slices = stable(cut.mapInArrow(tidy(_slices), SLICE_SCHEMA), "slices")
+    slices = stable(cut.mapInArrow(tidy(_slices(of)), SLICE_SCHEMA), "slices")
 
     crowds = slices.select("key", "before", "after").distinct().groupBy("key").count().where(F.col("count") > CROWD).select("key")
     crowds = stable(crowds, "crowds")
     if crowds.isEmpty():
-        partly = _with_bits(slices, crowded=False)
+        partly = _with_bits(slices, False, of)
     else:
         sparse = slices.join(crowds, "key", "left_anti")
-        dense = slices.join(crowds, "key", "left_semi").mapInArrow(tidy(_single_starts), SLICE_SCHEMA)
-        partly = _with_bits(sparse, crowded=False).union(_with_bits(dense, crowded=True))
-    held = (F.col("at") - F.octet_length("before")).alias("lo"), (F.col("at") + F.octet_length("after") - SLICE + 1).alias("hi")
+        dense = slices.join(crowds, "key", "left_semi").mapInArrow(tidy(_single_starts(of)), SLICE_SCHEMA)
+        partly = _with_bits(sparse, False, of).union(_with_bits(dense, True, of))
+    wide = lambda c: F.octet_length(c) / of.width
+    held = (F.col("at") - wide("before")).cast("long").alias("lo"), (F.col("at") + wide("after") - of.slice + 1).cast("long").alias("hi")
     partly = partly.select("doc_id", "mark", F.when(F.col("bits") == -1, F.struct(*held, F.lit(None).cast("long").alias("bits"))).otherwise(
         F.struct(F.col("at").alias("lo"), F.col("at").alias("hi"), "bits")).alias("span"))
     return whole.union(partly).groupBy("doc_id", "mark").agg(F.collect_list("span").alias("spans"))
 
 
 def removed_runs(spans: list[dict], length: int = LENGTH) -> list[tuple[int, int]]:
-    """Maximal runs of covered bytes, as (from, to)."""
+    """Maximal runs of covered symbols, as (from, to)."""
     starts = []
     for s in spans:
         if s["bits"] is None:
@@ -294,55 +375,118 @@ def whole_characters(data: bytes, runs: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
-def without_repeats(docs: DataFrame, characters: bool = False) -> DataFrame:
-    """Every document less the bytes that a repeated string of LENGTH bytes covers.
-
-    Returns one row per input row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs),
-    kept (the remaining bytes), rest (the other columns, whatever their names). With
-    ``characters`` a character goes only if all its bytes do, so that ``kept`` is text. Null
-    text is empty. Rows that repeat doc_id and text repeat each other's strings, so all of both
-    goes, if long enough; rows that share a doc_id with other text are kept apart by a hash of
-    the text. An empty table gives an empty result. Contexts are compared by 128-bit hash,
-    slices byte by byte.
-    """
+def _marked_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, mark (a hash of the text), text and rest (the other columns, whatever their names)."""
     others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
     rest = F.struct(*others) if others else F.lit(None).cast("string")
-    texts = docs.select(
+    return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body()).alias("mark"), body().alias("text"), rest.alias("rest")
     )
-    ranges = stable(repeated_ranges(texts), "ranges")
+
+
+def _with_spans(texts: DataFrame, ranges: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Texts that may have repeats, with what ``ranges`` says of them, and the others."""
     hit = maybe_among(ranges.select("mark"), "mark")
-    schema = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept binary").add(texts.schema["rest"])
+    maybe = texts.where(hit)
+    joined = maybe.join(ranges, maybe["doc_id"].eqNullSafe(ranges["doc_id"]) & (maybe["mark"] == ranges["mark"]), "left")
+    return joined.select(maybe["doc_id"], "text", *columns, "rest"), texts.where(~hit)
+
+
+def without_repeats(docs: DataFrame, characters: bool = False, passages: bool = False) -> DataFrame:
+    """Every document less the bytes that a repeated string of LENGTH bytes covers.
+
+    Returns one row per input row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs),
+    kept (the remaining bytes), n_passage_words, rest (the other columns, whatever their names).
+    With ``characters`` a character goes only if all its bytes do, so that ``kept`` is text.
+    With ``passages``, n_passage_words counts the words that lie in a passage of PASSAGE_WORDS
+    words which also starts elsewhere, however few bytes it has; else it is null. Null text is
+    empty. Rows that repeat doc_id and text repeat each other's strings, so all of both goes, if
+    long enough; rows that share a doc_id with other text are kept apart by a hash of the text.
+    An empty table gives an empty result. Contexts are compared by 128-bit hash, slices symbol
+    by symbol.
+    """
+    texts = _marked_texts(docs)
+    ranges = stable(repeated_ranges(texts), "ranges").withColumn("words", F.lit(None).cast("array<struct<lo: long, hi: long, bits: long>>"))
+    if passages:
+        words = stable(repeated_ranges(texts, WORDS), "passages").withColumnRenamed("spans", "words")
+        both = ranges.drop("words").unionByName(words, allowMissingColumns=True)
+        ranges = stable(both.groupBy("doc_id", "mark").agg(F.first("spans", True).alias("spans"), F.first("words", True).alias("words")), "all-ranges")
+    schema = T.StructType.fromDDL(
+        "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, n_passage_words long").add(texts.schema["rest"])
     raw, zero = F.col("text").cast("binary"), F.lit(0).cast("long")
-    untouched = texts.where(~hit).select("doc_id", F.octet_length(raw).cast("long"), zero, zero, raw, "rest")
+    joined, others = _with_spans(texts, ranges, ["spans", "words"])
+    none = zero if passages else F.lit(None).cast("long")
+    untouched = others.select("doc_id", F.octet_length(raw).cast("long"), zero, zero, raw, none, "rest")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
-                data, at, kept = text.as_py().encode("utf-8", "surrogatepass"), 0, []
+            for text, spans, words in zip(*(batch.column(c) for c in ("text", "spans", "words")), strict=True):
+                data, at, kept = text_bytes(text.as_py()), 0, []
                 gone = removed_runs(spans.as_py() or [])
                 gone = whole_characters(data, gone) if characters else gone
                 for lo, hi in gone:
                     kept.append(data[at:lo])
                     at = hi
                 kept.append(data[at:])
-                out.append((len(data), sum(hi - lo for lo, hi in gone), len(gone), b"".join(kept)))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            columns = list(zip(*out, strict=True)) if out else [[]] * 4
+                in_passages = sum(hi - lo for lo, hi in removed_runs(words.as_py() or [], WORDS.length)) if passages else None
+                out.append((len(data), sum(hi - lo for lo, hi in gone), len(gone), b"".join(kept), in_passages))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+            columns = list(zip(*out, strict=True)) if out else [[]] * 5
             made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made, batch.column("rest")], schema.names)
 
-    maybe = texts.where(hit)
-    joined = maybe.join(ranges, maybe["doc_id"].eqNullSafe(ranges["doc_id"]) & (maybe["mark"] == ranges["mark"]), "left")
-    touched = joined.select(maybe["doc_id"], "text", "spans", "rest").mapInArrow(tidy(remove), schema)
-    return touched.union(untouched)
+    return joined.mapInArrow(tidy(remove), schema).union(untouched)
 
 
-def remaining_texts(docs: DataFrame) -> DataFrame:
-    """``docs`` with what is left of each text, columns as they came; n_chars, if there, counts what is left."""
-    done = without_repeats(docs, characters=True).withColumn("text", F.col("kept").cast("string"))
-    made = {"doc_id": F.col("doc_id"), "text": F.col("text")}
+def _renamed(done: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, text and rest as the columns of ``docs``; n_chars, if there, counts what is left."""
+    made = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("text")}
     if "n_chars" in docs.columns:
         made["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
     return done.select(*[made.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
+
+
+def remaining_texts(docs: DataFrame) -> DataFrame:
+    """``docs`` less repeated strings of LENGTH bytes, whole characters only, columns as they came.
+
+    A document stays, with what is left of its text, even if that is nothing; null text becomes
+    empty. Rows that share a doc_id are told apart by their text. An empty table gives an empty result.
+    """
+    return _renamed(without_repeats(docs, characters=True).withColumn("text", F.col("kept").cast("string")), docs)
+
+
+def without_words(text: str, runs: list[tuple[int, int]]) -> str:
+    """``text`` less the words of ``runs`` (from, to), each run up to the next word that stays."""
+    data = text_bytes(text)
+    starts = [m.start() for m in WORD.finditer(data)] + [len(data)]
+    at, kept = 0, []
+    for lo, hi in runs:
+        kept.append(data[at : starts[lo]])
+        at = starts[hi]
+    return b"".join([*kept, data[at:]]).decode("utf-8", "surrogatepass")
+
+
+def without_passages(docs: DataFrame) -> DataFrame:
+    """``docs`` less repeated passages of PASSAGE_WORDS words, columns as they came.
+
+    A word ``[^\\x20\\x09-\\x0D]+`` goes if it lies in a passage of that many words which also
+    starts anywhere else, same document included, with the blanks after it. Words are compared
+    by 64-bit hashes, fifty at a time. A document stays, with what is left of its text, even if
+    that is nothing; null text becomes empty. Rows that share a doc_id are told apart by their
+    text. An empty table gives an empty result.
+    """
+    texts = _marked_texts(docs)
+    ranges = stable(repeated_ranges(texts, WORDS), "passages")
+    joined, untouched = _with_spans(texts, ranges, ["spans"])
+    schema = T.StructType.fromDDL("doc_id long, text string").add(texts.schema["rest"])
+
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left = [
+                without_words(text.as_py(), removed_runs(spans.as_py() or [], WORDS.length))
+                for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(left, pa.string()), batch.column("rest")], schema.names)
+
+    return _renamed(joined.mapInArrow(tidy(remove), schema).union(untouched.select("doc_id", "text", "rest")), docs)
