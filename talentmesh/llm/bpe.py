@@ -15,7 +15,6 @@ import hashlib
 import heapq
 import json
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +27,9 @@ from pyspark.sql import functions as F
 from talentmesh.functions.text import let
 from talentmesh.llm.common import body, shared_dir, shuffle_partitions, tidy
 
-#: Slots of the rank map: a power of two, chosen so that a slot holds one piece or none.
-SLOTS = 1 << 16
+#: Ids lie below IDS; a prime number of slots holds the rank map.
+IDS = 1 << 16
+SLOTS = 99_991
 #: Words with more bytes are merged by a heap, since folding takes the square of the length.
 FOLD_BYTES = 256
 #: Uses from which on a word is numbered by its count.
@@ -44,55 +44,86 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankMap:
-    """The ranks as a literal: ``SLOTS`` small maps by checksum, since a lookup in one map is a search."""
+    """The ranks as literals: for two neighbouring pieces, named by their ids, the id of both together.
+
+    A pair's rank is the rank of its bytes, so each way to cut a piece into two is an entry. The
+    entries lie in ``SLOTS`` short lists of keys and ids, since a lookup in one map is a search;
+    a key is larger than any id. Words that are pieces but that no order of merges leads to are
+    listed one by one.
+    """
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        slots: list[dict[str, int]] = [{} for _ in range(SLOTS)]
+        slots: list[list[int]] = [[] for _ in range(SLOTS)]
         for piece, rank in ranks.items():
-            name = piece.hex().upper()
-            slots[zlib.crc32(name.encode()) % SLOTS][name] = rank
-        self.slots = F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), "array<map<string,int>>")
+            for cut in range(1, len(piece)):
+                left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+                if left is not None and right is not None:
+                    key = left * IDS + right + IDS
+                    slots[key % SLOTS] += [key, rank]
+        self.slots = F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), "array<array<bigint>>")
+        self.bytes = F.array(*[F.lit(ranks.get(bytes([b]))).cast("bigint") for b in range(256)])
+        self.alone = {piece.hex().upper(): rank for piece, rank in ranks.items() if merge_long(piece, ranks, whole=False) != [rank]}
 
     @staticmethod
-    def rank(slots: Column, piece: Column) -> Column:
-        """Rank of a piece written in hexadecimal; null if it is none."""
-        slot = F.pmod(F.crc32(piece.cast("binary")), F.lit(SLOTS)).cast("int")
-        return F.try_element_at(F.get(slots, slot), piece)
+    def rank(slots: Column, left: Column, right: Column) -> Column:
+        """Id of two pieces together; null if they are none."""
+
+        def found(key: Column) -> Column:
+            slot = F.get(slots, F.pmod(key, F.lit(SLOTS)).cast("int"))
+            return let(slot, lambda s: F.get(s, F.nullif(F.array_position(s, key), F.lit(0).cast("bigint")).cast("int")))
+
+        return let(left * IDS + right + IDS, found)
+
+
+#: Stands before the first and after the last piece; no pair has a rank with it.
+EDGE = -1
+EVERY = 1 << 30
 
 
 def _merge_lowest(slots: Column, state: Column) -> Column:
-    """Join the leftmost pair of lowest rank, or note that no pair has one."""
-    pieces = state.pieces
-    ranks = F.transform(pieces, lambda p, i: RankMap.rank(slots, F.concat(p, F.get(pieces, i + 1))))
+    """Join the leftmost pair of lowest rank, if any pair has one.
 
-    def join(found: Column) -> Column:
-        best = F.array_min(found)
+    The state holds the ids of the pieces between two edges and the ranks of neighbouring pairs.
+    A merge changes two pairs; only those are looked up, and the new piece's id is the pair's rank.
+    """
+    ids, pairs = state.ids, state.pairs
 
+    def join(best: Column) -> Column:
         def at(i: Column) -> Column:
-            new = F.array(F.concat(F.get(pieces, i - 1), F.get(pieces, i)))
-            rest = F.slice(pieces, i + 2, F.greatest(F.size(pieces) - i - 1, F.lit(0)))
-            return F.struct(F.concat(F.slice(pieces, 1, i - 1), new, rest).alias("pieces"), F.lit(False).alias("done"))
+            near = F.array(RankMap.rank(slots, F.get(ids, i - 2), best), RankMap.rank(slots, best, F.get(ids, i + 1)))
+            return F.struct(
+                F.concat(F.slice(ids, F.lit(1), i - 1), F.array(best), F.slice(ids, i + 2, F.lit(EVERY))).alias("ids"),
+                F.concat(F.slice(pairs, F.lit(1), i - 2), near, F.slice(pairs, i + 2, F.lit(EVERY))).alias("pairs"),
+            )
 
-        done = F.struct(pieces.alias("pieces"), F.lit(True).alias("done"))
-        return F.when(best.isNull(), done).otherwise(let(F.array_position(found, best).cast("int"), at))
+        return F.when(best.isNull(), state).otherwise(let(F.array_position(pairs, best).cast("int"), at))
 
-    return F.when(state.done, state).otherwise(let(ranks, join))
+    return let(F.array_min(pairs), join)
 
 
 def encoded(word: Column, table: RankMap) -> Column:
     """Array of ids of a word, by folding ranked merges over its bytes; a word that is a piece is one id."""
 
-    def ids(slots: Column, name: Column) -> Column:
-        size = F.length(name) / 2
-        bytes_of = F.transform(F.sequence(F.lit(0), (size - 1).cast("int")), lambda i: F.substring(name, i * 2 + 1, F.lit(2)))
-        start = F.struct(bytes_of.alias("pieces"), F.lit(False).alias("done"))
-        folded = F.aggregate(F.sequence(F.lit(1), size.cast("int")), start, lambda state, _: _merge_lowest(slots, state))
-        whole = RankMap.rank(slots, name)
-        return F.when(whole.isNotNull(), F.array(whole)).otherwise(
-            F.transform(folded.pieces, lambda p: RankMap.rank(slots, p))
-        )
+    def ids(slots: Column, bytes_: Column, name: Column) -> Column:
+        size = (F.length(name) / 2).cast("int")
+        byte = lambda i: F.conv(F.substring(name, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+        edge = F.array(F.lit(EDGE).cast("bigint"))
+
+        def folded(first: Column) -> Column:
+            pairs = F.transform(first, lambda left, i: RankMap.rank(slots, left, F.get(first, i + 1)))
+            start = F.struct(first.alias("ids"), pairs.alias("pairs"))
+            last = F.aggregate(F.sequence(F.lit(1), size), start, lambda state, _: _merge_lowest(slots, state)).ids
+            return F.filter(last, lambda i: i >= 0)
 
-    return let(table.slots, lambda slots: let(F.hex(word.cast("binary")), lambda name: ids(slots, name)))
+        merged = let(F.concat(edge, F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.get(bytes_, byte(i))), edge), folded)
+        if not table.alone:
+            return merged
+        alone = F.create_map(*[F.lit(x) for pair in table.alone.items() for x in pair])
+        return let(F.try_element_at(alone, name), lambda whole: F.when(
+            whole.isNotNull(), F.array(whole.cast("bigint"))).otherwise(merged))
+
+    return let(table.slots, lambda slots: let(table.bytes, lambda bytes_: let(
+        F.hex(word.cast("binary")), lambda name: ids(slots, bytes_, name))))
 
 
 def short_integers(ids: Column) -> Column:
@@ -101,9 +132,12 @@ def short_integers(ids: Column) -> Column:
     return F.unhex(F.array_join(two, ""))
 
 
-def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of a long word: the same merges, lowest rank and leftmost first, kept in a heap."""
-    if word in ranks:
+def merge_long(word: bytes, ranks: dict[bytes, int], whole: bool = True) -> list[int]:
+    """Ids of a long word: the same merges, lowest rank and leftmost first, kept in a heap.
+
+    A word that is a piece is one id, unless ``whole`` says to merge it all the same.
+    """
+    if whole and word in ranks:
         return [ranks[word]]
     pieces: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
     after, ahead = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
