@@ -141,9 +141,30 @@ def places_of(data: bytes) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(np.frombuffer(data, dtype=np.uint8)[1:], bitorder="little"))
 
 
-def planes_of(places: np.ndarray, links: np.ndarray) -> list[bytes]:
-    """One bit map for each binary digit of the links beyond the first."""
-    return [bitmap(places[links - 1 >> d & 1 == 1]) for d in range(int(links.max() - 1).bit_length())]
+def bitmaps(places: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """A bit map of each stretch of ``places``."""
+    listed = places.astype("<u2").tobytes()
+    return [
+        listed[2 * i : 2 * j] if j - i < _FULL else bitmap(places[i:j]) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)
+    ]
+
+
+def planes_of(rows: np.ndarray, places: np.ndarray, links: np.ndarray, n_rows: int) -> list[list[bytes]]:
+    """For each row one bit map for each binary digit of its links beyond the first.
+
+    ``rows`` ascend, and so do the places of a row; a row has as many maps as its longest number has digits.
+    """
+    more = np.flatnonzero(links > 1)
+    rows, places, extra = rows[more], places[more], links[more] - 1
+    planes: list[list[bytes]] = [[] for _ in range(n_rows)]
+    for digit in range(int(extra.max(initial=0)).bit_length()):
+        longer = np.unique(rows[extra >> digit > 0])
+        set_ = np.flatnonzero(extra >> digit & 1)
+        owners, starts = np.unique(rows[set_], return_index=True)
+        maps = dict(zip(owners.tolist(), bitmaps(places[set_], starts, np.append(starts[1:], len(set_))[: len(starts)]), strict=True))
+        for row in longer.tolist():
+            planes[row].append(maps.get(row, b""))
+    return planes
 
 
 #: A document (place set) or an id pair's postings in a block (docs set).
@@ -194,11 +215,8 @@ class _Block:
         pairs, places = pairs[fresh], places[fresh]
         starts = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])[: len(pairs)])
         ends = np.append(starts[1:], len(pairs))[: len(starts)]
-        listed = places.astype("<u2").tobytes()
-        spans = list(zip(starts.tolist(), ends.tolist(), strict=True))
-        docs = [listed[2 * i : 2 * j] if j - i < _FULL else bitmap(places[i:j]) for i, j in spans]
-        most = np.maximum.reduceat(links, starts) if len(starts) else links
-        planes = [planes_of(places[i:j], links[i:j]) if m > 1 else [] for (i, j), m in zip(spans, most.tolist(), strict=True)]
+        docs = bitmaps(places, starts, ends)
+        planes = planes_of(np.repeat(np.arange(len(starts)), ends - starts), places, links, len(starts))
         own = pairs[starts]
         return _filled(block=[self.number] * len(own), a=own // _SIDE, b=own % _SIDE, n_docs=ends - starts, docs=docs, planes=planes)
 
@@ -222,7 +240,7 @@ def _aligned(texts: DataFrame, byte_level: str, pieces: str) -> DataFrame:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 text, own_a, own_b = text.as_py(), none, none
                 if text:
-                    own_a, own_b, raw = left.encode_ordinary(" " + text).tolist(), right.encode(text), (" " + text).encode()
+                    own_a, own_b, raw = left.encode_ordinary(" " + text), right.encode(text), (" " + text).encode()
                     if any(b"".join(map(of.__getitem__, own)) != raw for of, own in ((bytes_a, own_a), (bytes_b, own_b))):
                         own_a = own_b = none
                 ids.append(doc_id.as_py())
@@ -253,17 +271,22 @@ def _totals(key: tuple, table: pa.Table) -> pa.Table:
     postings = table.filter(pc.is_valid(table["count"]))
     counts, tops = postings["count"].to_numpy(), postings["best"].to_numpy(zero_copy_only=False).astype(np.int64)
 
-    def spread(rows: list[int], maps: list[bytes], weight: int) -> None:
+    def spread(rows: np.ndarray, maps: list[bytes], weight: int) -> None:
         """Add a row's count, and its links if it is a best one, to the documents of its map."""
-        at = [places_of(m) for m in maps]
-        places, row = np.concatenate([np.zeros(0, dtype=np.int64), *at]), np.repeat(np.array(rows, dtype=np.int64), [len(x) for x in at])
+        sizes = np.array([len(m) for m in maps], dtype=np.int64)
+        listed, full = np.flatnonzero(sizes % 2 == 0), np.flatnonzero(sizes % 2 == 1)
+        joined = np.frombuffer(b"".join([maps[i] for i in listed.tolist()]), dtype="<u2")
+        at = [joined.astype(np.int64), *(places_of(maps[i]) for i in full.tolist())]
+        of = np.concatenate([np.repeat(listed, sizes[listed] // 2), *(np.full(len(p), i) for i, p in zip(full.tolist(), at[1:], strict=True))])
+        row, places = rows[of.astype(np.int64)], np.concatenate(at)
         np.add.at(total, places, counts[row] * weight)
         np.add.at(best, places, tops[row] * weight)
 
-    spread(list(range(len(postings))), postings["docs"].to_pylist(), 1)
-    for i, planes in enumerate(postings["planes"].to_pylist()):
-        for digit, plane in enumerate(planes):
-            spread([i], [plane], 1 << digit)
+    spread(np.arange(len(postings)), postings["docs"].to_pylist(), 1)
+    planes = postings["planes"].to_pylist()
+    for digit in range(max(map(len, planes), default=0)):
+        rows = [i for i, own in enumerate(planes) if len(own) > digit]
+        spread(np.array(rows, dtype=np.int64), [planes[i][digit] for i in rows], 1 << digit)
     columns = [documents[c] for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
     return pa.table([*columns, pa.array(best), pa.array(total), documents["groups"]], names=names)

@@ -54,10 +54,10 @@ class ByteLevelIds:
             self._slow = Tokenizer.from_file(self._path)
         return np.array(self._slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def encode_ordinary(self, text: str) -> np.ndarray:
+    def encode_ordinary(self, text: str) -> list[int]:
         """Ids of ``text``, in which special tokens written out are text like any other."""
         try:
-            return np.array(self._fast.encode_ordinary(text), dtype="<u4")
+            return self._fast.encode_ordinary(text)
         except BaseException as refused:  # a panic of the extension is no Exception
             if isinstance(refused, (KeyboardInterrupt, SystemExit, MemoryError)):
                 raise
@@ -66,7 +66,7 @@ class ByteLevelIds:
 
             self._plain = Tokenizer.from_file(self._path)
             self._plain.encode_special_tokens = True
-        return np.array(self._plain.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return self._plain.encode(text, add_special_tokens=False).ids
 
     def bytes_of(self) -> list[bytes]:
         """The bytes that each id stands for; ids that are no merges or bytes stand for none."""

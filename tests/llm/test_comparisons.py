@@ -281,9 +281,9 @@ def test_bitmaps():
         places = np.sort(rng.permutation(alignment.BLOCK_DOCUMENTS)[:n])
         data = alignment.bitmap(places)
         assert (alignment.places_of(data) == places).all() and len(data) <= alignment.BLOCK_DOCUMENTS // 8 + 1
-    links = np.array([1, 2, 3, 8])
-    planes = alignment.planes_of(np.array([3, 5, 9, 11]), links)
-    assert [alignment.places_of(p).tolist() for p in planes] == [[5, 11], [9, 11], [11]]
+    rows, places, links = np.array([0, 0, 0, 0, 1, 2]), np.array([3, 5, 9, 11, 4, 6]), np.array([1, 2, 3, 8, 1, 3])
+    planes = alignment.planes_of(rows, places, links, 4)
+    assert [[alignment.places_of(p).tolist() for p in own] for own in planes] == [[[5, 11], [9, 11], [11]], [], [[], [6]], []]
 
 
 @pytest.mark.parametrize("large", [0, alignment.LARGE_GROUP])
