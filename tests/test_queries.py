@@ -14,7 +14,7 @@ PICKED = (
     "one_per_address", "source_coverage", "audit_invariant", "cv_names", "page_links",
     "structured_postings", "paged_feed", "ats_sections", "parsed_decisions", "review_upsert",
     "inventory_upsert", "current_subscriptions", "email_findings", "near_copies_in_order", "stream_inventory",
-    "stream_liveness", "stored_inventory", "frozen_snapshots", "candidate_priority", "candidate_searches", "matching_run",
+    "stored_inventory", "frozen_snapshots", "candidate_priority", "matching_run",
     "link_classes", "merged_links", "validated_hits", "contact_links", "search_phrases", "search_plan", "inventory_capabilities",
 )
 
