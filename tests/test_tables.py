@@ -180,3 +180,22 @@ def test_reports_and_files(spark, tmp_path):
     assert (row.source_id, row.title, row.location, row.country_hint) == ("7", "Cook", "Remote", "germany")
     (tmp_path / "f.xml").write_text("<rss><channel><item><title>A: B</title><link>l</link></item></channel></rss>")
     assert feeds.read_rss(spark, str(tmp_path / "f.xml")).first().title == "A: B"
+
+
+def test_near_copies_meet_across_blocks_and_only_links_leave_a_task(spark, monkeypatch):
+    monkeypatch.setattr(dedupe, "BLOCK_NODES", 9)
+    rng, vocab = random.Random(3), [f"tok{i}" for i in range(80)]
+    rows = []
+    for seq in range(70):
+        base = random.Random(seq % 9).sample(vocab, 30)[:30 - seq % 4]
+        rows.append({"seq": seq, "t": "Role", "s": f"s{seq % 23}", "d": " ".join(
+            w if rng.random() > 0.08 else rng.choice(vocab) for w in base)})
+    df = spark.createDataFrame([job(r["seq"], title=r["t"], description=r["d"], source=r["s"]) for r in rows], JOB)
+    got = {r.seq: r.leader for r in dedupe.near_duplicates(df).collect()}
+    assert got == _components(rows)
+    nodes = dedupe._distinct_texts(dedupe._comparable(df))[1]
+    links = dedupe.similar_texts(nodes)
+    made = [(r.a, r.b) for r in links.collect()]
+    assert len(made) == len(set(made)) and {frozenset(p) for p in made} == {
+        frozenset((a["seq"], b["seq"])) for a in rows for b in rows if a is not b and _alike(a, b)}
+    assert "explode(toks" not in links._jdf.queryExecution().optimizedPlan().toString()
