@@ -199,3 +199,10 @@ def test_near_copies_meet_across_blocks_and_only_links_leave_a_task(spark, monke
     assert len(made) == len(set(made)) and {frozenset(p) for p in made} == {
         frozenset((a["seq"], b["seq"])) for a in rows for b in rows if a is not b and _alike(a, b)}
     assert "explode(toks" not in links._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_vacancies_that_share_an_id_stay_in_review_until_their_own_evidence_is_decided(spark):
+    rows = spark.createDataFrame([(1, "a", "c", "e1"), (2, "a", "c", "e2"), (3, "b", "c", "e3")],
+                                 "seq int, review_id string, context_hash string, evidence_hash string")
+    left = review.unreviewed_as_manual(rows, rows.where("seq = 1"), "stopped")
+    assert sorted(r.seq for r in left.collect()) == [2, 3]
