@@ -218,3 +218,17 @@ def test_search_queries_are_worked_out_once_for_a_position_and_country(spark):
     assert "job vacancy apply" not in plan._jdf.queryExecution().optimizedPlan().toString()
     alone = people.select("candidate_id", F.posexplode(search.discovery_queries(F.lower("country"))).alias("ordinal", "query"))
     assert sorted(map(tuple, plan.collect())) == sorted(map(tuple, alone.collect()))
+
+
+def test_vacancies_that_a_profile_cannot_tell_apart_meet_it_once(spark):
+    from pyspark.sql import functions as F
+
+    people, features = matching._people(views.candidates(spark, SF)), matching._stored_features(views.vacancies(spark, SF))
+    units = features.groupBy("sig_id", *matching.SIGNATURE).agg(F.count(F.lit(1)).alias("n_jobs"))
+    offers = lambda pool: matching._offers(
+        people, units, features, ("sig_id", "n_jobs"), None, False, pool).select("profile_id", "score", "shared", "n_jobs").collect()
+    pooled, apart, rows = Counter(), Counter(), (offers(matching._counted), offers(None))
+    for made, found in zip((pooled, apart), rows):
+        for r in found:
+            made[r.profile_id, r.score, r.shared] += r.n_jobs
+    assert pooled == apart and len(rows[0]) < len(rows[1])
