@@ -12,6 +12,7 @@ from talentmesh.operators import drafts, matching
 from talentmesh.plans import checks as ck
 from talentmesh.plans import views
 from talentmesh.plans.registry import query
+from talentmesh.session import durable_cut
 
 # A CV is a document with a heading, a role line and a bullet added by arithmetic on its id.
 CV_SQL = f"""
@@ -137,11 +138,14 @@ def masked_contacts(spark: SparkSession, sf: str) -> DataFrame:
         guard_formula(F.concat(F.lit("="), F.col("c_name"))).alias("guarded"))
 
 
-def _best(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _best(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidates, their profiles, and the best matches of every profile, named in ``candidate_id``."""
     jobs = views.vacancies(spark, sf)
     people = views.candidates(spark, sf)
-    best = matching.top_matches(people, jobs, k=25, minimum_score=20.0)
-    return people, best.join(jobs.select("seq", "title"), "seq")
+    members, best = matching.top_of_profiles(people, jobs, k=25, minimum_score=20.0)
+    titled = best.select(F.col("profile_id").alias("candidate_id"), "seq", "rank", "matched_skills").join(
+        jobs.select("seq", "title"), "seq")
+    return people, members, durable_cut(titled)
 
 
 _BEST_SQL = f"""WITH {views.vacancy_cte()}, {views.candidate_cte()}, {ck.scored_pairs()},
@@ -171,8 +175,8 @@ top_t AS (SELECT candidate_id, list(title ORDER BY n DESC, f) AS ts FROM title_c
 SELECT candidate_id, array_to_string(ss, '|') AS top_skills FROM top_s
 """)
 def top_matched_skills(spark: SparkSession, sf: str) -> DataFrame:
-    _, best = _best(spark, sf)
-    return drafts.top_skills(best).select(
+    _, members, best = _best(spark, sf)
+    return drafts.of_members(members, drafts.top_skills(best)).select(
         "candidate_id", F.array_join("top_skills", "|").alias("top_skills"))
 
 
@@ -180,8 +184,8 @@ def top_matched_skills(spark: SparkSession, sf: str) -> DataFrame:
 SELECT candidate_id, array_to_string(ts, '|') AS top_titles FROM top_t
 """)
 def top_matched_titles(spark: SparkSession, sf: str) -> DataFrame:
-    _, best = _best(spark, sf)
-    return drafts.top_titles(best).select(
+    _, members, best = _best(spark, sf)
+    return drafts.of_members(members, drafts.top_titles(best)).select(
         "candidate_id", F.array_join("top_titles", "|").alias("top_titles"))
 
 
@@ -205,8 +209,8 @@ SELECT candidate_id, '# ' || name || chr(10) || email || chr(10) || chr(10) || '
 FROM d
 """)
 def tailored_drafts(spark: SparkSession, sf: str) -> DataFrame:
-    people, best = _best(spark, sf)
+    people, members, best = _best(spark, sf)
     full = people.withColumn("phone", F.lit("")).withColumn(
         "links", F.array().cast("array<string>")
     ).withColumn("experience_lines", F.array("raw_text"))
-    return drafts.drafts(full, best)
+    return drafts.drafts(full, best, members)
