@@ -86,13 +86,19 @@ def latest_windows(stream: DataFrame, folder: str, keys: list[str]) -> DataFrame
 CLOCK = ""
 
 
+#: Groups that vacancies are dealt to; the state of a group is read and written as a whole.
+LIVENESS_GROUPS = 256
+
+
 class Liveness(StatefulProcessor):
     """Opens, expires and reopens vacancies by the gaps between their sightings, in order of time.
 
     Sightings wait until the watermark has passed them, so that the order in which they arrive
     does not matter. A vacancy without one for ``ttl_ms`` expires; it is remembered ``forget_ms``
-    longer, as one that can reopen, and then leaves the state. Each key has one timer, for
-    what comes first: a waiting sighting, its expiry, or the end of its memory.
+    longer, as one that can reopen, and then leaves the state. Keys are groups of vacancies, worked
+    through as columns, since every call for a key and every access to its state costs far more
+    than a sighting. Each key has one timer, for what comes first: a waiting sighting, an
+    expiry, or the end of a vacancy's memory.
     """
 
     def __init__(self, ttl_ms: int, forget_ms: int) -> None:
@@ -100,73 +106,89 @@ class Liveness(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.known = handle.getValueState("known", "last_ms bigint, open boolean")
-        self.waiting = handle.getListState("waiting", "at_ms bigint")
+        self.known = handle.getValueState("known", "vacancy array<string>, last_ms array<bigint>, open array<boolean>")
+        self.waiting = handle.getListState("waiting", "vacancy array<string>, at_ms array<bigint>")
         self.timer = handle.getValueState("timer", "at_ms bigint")
 
-    def _set_timer(self, at_ms: int | None) -> None:
-        if self.timer.exists():
-            before = self.timer.get()[0]
-            if before == at_ms:
-                return
+    def _set_timer(self, before: int | None, at_ms: int | None) -> None:
+        if at_ms == before:
+            return
+        if before is not None:
             self.handle.deleteTimer(before)
+        if at_ms is None:
             self.timer.clear()
-        if at_ms is not None:
+        else:
             self.handle.registerTimer(at_ms)
             self.timer.update((at_ms,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if key[0] == CLOCK:
-            return
-        added = [int(t.value // 1_000_000) for f in rows for t in f["ts"]]
-        self.waiting.appendList([(t,) for t in added])
-        first = min(added)
-        if not self.timer.exists() or first < self.timer.get()[0]:
-            self._set_timer(first)
+        seen = pd.concat([f[["vacancy", "ts"]] for f in rows])
+        seen = seen[seen["vacancy"] != CLOCK]
+        if len(seen):
+            at = seen["ts"].to_numpy().astype("datetime64[ms]").astype("int64")
+            self.waiting.appendList([(seen["vacancy"].tolist(), at.tolist())])
+            timer = self.timer.get()
+            before, first = timer[0] if timer else None, int(at.min())
+            if before is None or first < before:
+                self._set_timer(before, first)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         clock = timerValues.getCurrentWatermarkInMs()
         self.timer.clear()
-        waiting = sorted(r[0] for r in self.waiting.get()) if self.waiting.exists() else []
-        due, later = [t for t in waiting if t <= clock], [t for t in waiting if t > clock]
-        last, is_open = self.known.get() if self.known.exists() else (None, False)
-        changes: list[tuple[str, int]] = []
-        for t in due:
-            if last is not None and is_open and t > last + self.ttl_ms:
-                changes.append(("expired", last + self.ttl_ms))
-                is_open = False
-            if not is_open:
-                known = last is not None and t <= last + self.ttl_ms + self.forget_ms
-                changes.append(("reopened" if known else "opened", t))
-            last, is_open = t, True
-        if is_open and clock > last + self.ttl_ms:
-            changes.append(("expired", last + self.ttl_ms))
-            is_open = False
-        self.waiting.put([(t,) for t in later]) if later else self.waiting.clear()
-        if last is None or (not is_open and clock > last + self.ttl_ms + self.forget_ms):
+        pages = list(self.waiting.get())
+        waiting = pd.DataFrame({
+            "vacancy": pd.Series([v for p in pages for v in p[0]], dtype=object), "at_ms": pd.Series([t for p in pages for t in p[1]], dtype="int64")})
+        kept = self.known.get() or ([], [], [])
+        known = pd.DataFrame({
+            "vacancy": pd.Series(kept[0], dtype=object), "at_ms": pd.Series(kept[1], dtype="int64"), "open": pd.Series(kept[2], dtype=bool)})
+        is_due = waiting["at_ms"] <= clock
+        due, later = waiting[is_due].sort_values("at_ms"), waiting[~is_due]
+
+        # What is known of a vacancy stands before its sightings; every other row has just been open.
+        line = pd.concat([known, due.assign(open=True)], ignore_index=True).sort_values("vacancy", kind="stable")
+        of = line.groupby("vacancy", sort=False)
+        line = line.assign(before=of["at_ms"].shift(fill_value=0), was_open=of["open"].shift(fill_value=False), nth=of.cumcount())
+        line = line[line.index >= len(known)]
+        gap = line["was_open"] & (line["at_ms"] > line["before"] + self.ttl_ms)
+        starts = line[gap | ~line["was_open"]]
+        back = (starts["nth"] > 0) & (starts["at_ms"] <= starts["before"] + self.ttl_ms + self.forget_ms)
+        last = pd.concat([known, due.assign(open=True)]).drop_duplicates("vacancy", keep="last")
+        out = last["open"] & (clock > last["at_ms"] + self.ttl_ms)
+        changes = pd.concat([
+            pd.DataFrame({"vacancy": starts["vacancy"], "status": back.map({True: "reopened", False: "opened"}), "at_ms": starts["at_ms"]}),
+            *[pd.DataFrame({"vacancy": v, "status": "expired", "at_ms": t + self.ttl_ms}) for v, t in (
+                (line["vacancy"][gap], line["before"][gap]), (last["vacancy"][out], last["at_ms"][out]))]])
+
+        last = last.assign(open=last["open"] & ~out)
+        last = last[last["open"] | (clock <= last["at_ms"] + self.ttl_ms + self.forget_ms)]
+        if len(last):
+            self.known.update((last["vacancy"].tolist(), last["at_ms"].tolist(), last["open"].tolist()))
+        else:
             self.known.clear()
-            last = None
+        if len(later):
+            self.waiting.put([(later["vacancy"].tolist(), later["at_ms"].tolist())])
         else:
-            self.known.update((last, is_open))
-        ends = [] if last is None else [last + self.ttl_ms + (0 if is_open else self.forget_ms) + 1]
-        self._set_timer(min([*later[:1], *ends], default=None))
-        if changes:
-            yield pd.DataFrame({"vacancy": key[0], "status": [c[0] for c in changes], "at_ms": [c[1] for c in changes]})
+            self.waiting.clear()
+        ends = last["at_ms"] + self.ttl_ms + 1 + (~last["open"]) * self.forget_ms
+        self._set_timer(None, min([*later["at_ms"].nsmallest(1).tolist(), *ends.nsmallest(1).tolist()], default=None))
+        if len(changes):
+            yield changes
 
     def close(self) -> None:
         pass
 
 
-def liveness(stream: DataFrame, ttl_ms: int, delay: str = "1 hour", forget_ms: int = 0) -> DataFrame:
+def liveness(stream: DataFrame, ttl_ms: int, delay: str = "1 hour", forget_ms: int = 0, groups: int = LIVENESS_GROUPS) -> DataFrame:
     """``vacancy, status, at_ms`` changes of every vacancy (event-time timers).
 
     Sightings more than ``delay`` behind the newest one may be dropped. A last sighting of
     ``CLOCK``, later than ``ttl_ms`` + ``forget_ms`` + ``delay`` after all others, closes and
-    forgets every vacancy.
+    forgets every vacancy. The state of one of the ``groups`` has to fit into a Python worker.
     """
+    group = F.pmod(F.xxhash64("vacancy"), F.lit(groups)).cast("int")
     return (
-        stream.select("vacancy", "ts").withWatermark("ts", delay).groupBy("vacancy")
+        stream.select("vacancy", "ts", group.alias("group")).withWatermark("ts", delay).groupBy("group")
         .transformWithStateInPandas(
             Liveness(ttl_ms, forget_ms), "vacancy string, status string, at_ms bigint", "Append", "EventTime")
     )

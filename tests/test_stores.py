@@ -229,3 +229,35 @@ def test_written_report_counts_the_vacancy_text_not_the_guarded_cell(spark, tmp_
                           "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     want = {str(r.seq): len(r.description) for r in sink_queries.views.vacancies(spark, str(tmp_path)).collect()}
     assert {r.seq: r.chars for r in sink_queries.written_report(spark, str(tmp_path)).collect()} == want
+
+
+def test_liveness_works_through_vacancies_in_groups(spark, tmp_path):
+    rng, day, ttl, forget = random.Random(5), 86_400_000, 2, 1
+    start = int(dt.datetime(2024, 1, 1, tzinfo=dt.UTC).timestamp() * 1000)
+    seen = {f"v{i}": sorted({rng.randrange(30 * day) for _ in range(rng.randrange(1, 12))}) for i in range(40)}
+    rows = [(v, dt.datetime(2024, 1, 1) + dt.timedelta(milliseconds=t), t // (10 * day) + rng.randrange(2)) for v, at in seen.items() for t in at]
+    rows.append((streams.CLOCK, dt.datetime(2024, 3, 1), 9))
+    key, groups, out = "spark.sql.streaming.stateStore.providerClass", [], f"file://{tmp_path}/out"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for nth in sorted({r[2] for r in rows}):
+            landed = [r[:2] for r in rows if r[2] == nth]
+            spark.createDataFrame(landed, "vacancy string, ts timestamp_ntz").write.parquet(f"file://{tmp_path}/in/landing={nth}")
+            stream = streams.observed(spark, f"file://{tmp_path}/in/*", "vacancy string, ts timestamp_ntz")
+            streams.liveness(stream, ttl * day, "21 days", forget * day, groups=3).writeStream.format("parquet").option("path", out).option(
+                "checkpointLocation", f"file://{tmp_path}/ckpt").trigger(availableNow=True).start().awaitTermination()
+            groups.append(spark.read.format("statestore").option("stateVarName", "timer").load(f"file://{tmp_path}/ckpt").count())
+    finally:
+        spark.conf.set(key, before)
+    assert max(groups) == 3 and groups[-1] == 0
+    want = []
+    for v, at in seen.items():
+        for previous, t in zip([None, *at], [*at, None]):
+            gap = t is None or previous is None or t - previous > ttl * day
+            if previous is not None and gap:
+                want.append((v, "expired", start + previous + ttl * day))
+            if t is not None and gap:
+                known = previous is not None and t - previous <= (ttl + forget) * day
+                want.append((v, "reopened" if known else "opened", start + t))
+    assert sorted(map(tuple, spark.read.parquet(out).collect())) == sorted(want)
