@@ -261,3 +261,26 @@ def test_liveness_works_through_vacancies_in_groups(spark, tmp_path):
                 known = previous is not None and t - previous <= (ttl + forget) * day
                 want.append((v, "reopened" if known else "opened", start + t))
     assert sorted(map(tuple, spark.read.parquet(out).collect())) == sorted(want)
+
+
+def test_pairs_are_ranked_where_they_meet_and_never_moved(spark, monkeypatch):
+    from talentmesh.operators import matching, review
+    from talentmesh.plans import matching_queries, views
+
+    monkeypatch.setattr(matching, "PARTY", 2, raising=False)
+    monkeypatch.setattr(matching, "CELL", 1, raising=False)
+    people, jobs = views.candidates(spark, SF).withColumn("candidate_id", F.concat("candidate_id", F.lit("x"))), views.vacancies(spark, SF)
+    people = people.union(people.withColumn("candidate_id", F.concat("candidate_id", F.lit("y")))).union(views.candidates(spark, SF))
+    for floor, gate in ((None, False), (20.0, True)):
+        told = review.ranked(matching.match_pairs(people, jobs, floor, gate).select("candidate_id", "seq", "score"))
+        columns = ["candidate_id", "seq", "score", "position"]
+        got = matching.ranked_pairs(people, jobs, floor, gate).select(columns).collect()
+        assert len(got) > 100 and sorted(map(tuple, got)) == sorted(map(tuple, told.select(columns).collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for query in (matching_queries.related_matches, matching_queries.full_ranking):
+            plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning(profile_id" not in plan and "hashpartitioning(candidate_id" not in plan
+            assert "hashpartitioning(cell" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
