@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talentmesh import lexicons as lex
 from talentmesh.functions.text import (
-    any_of, cv_text, mask_to_array, skill_mask, strip, text_of, title_mask, words,
+    any_of, cv_skill_mask, cv_title_mask, mask_to_array, strip, text_of, words,
 )
 
 # --- fixed values: patterns of CV fields ----------------------------------------------------------
@@ -92,7 +92,7 @@ def likely_titles(lines: Column, title_lines: int | None = TITLE_LINES) -> Colum
         & any_of(F.lower(s), lex.TITLE_CONTEXT_TERMS),
     )
     text = F.array_join(F.concat(_first(lines, title_lines), titled), "\n")
-    return mask_to_array(title_mask(cv_text(text)), lex.TITLE_TERMS)
+    return mask_to_array(cv_title_mask(text), lex.TITLE_TERMS)
 
 
 def experience_lines(lines: Column, limit: int | None = EXPERIENCE_LINES) -> Column:
@@ -105,7 +105,7 @@ def experience_lines(lines: Column, limit: int | None = EXPERIENCE_LINES) -> Col
 
 
 def cv_skills(c: Column) -> Column:
-    return mask_to_array(skill_mask(cv_text(c)), lex.SKILLS)
+    return mask_to_array(cv_skill_mask(c), lex.SKILLS)
 
 
 def repair_spacing(c: Column) -> Column:

@@ -7,7 +7,7 @@ code generation; nothing touches Python.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
@@ -99,12 +99,16 @@ def any_of(c: Column, phrases: Iterable[str]) -> Column:
     return F.coalesce(c.rlike("|".join(re.escape(p) for p in phrases)), F.lit(False))
 
 
-def java_quote(term: str) -> str:
-    """A literal for a Java pattern, blanks matching any run of white space."""
-    return r"(?U:\s+)".join(re.sub(r"([^A-Za-z0-9_ ])", r"\\\1", w) for w in term.split(" "))
+#: What stands between the words of a term: white space, or in CVs whatever no term is made of.
+BLANK, CV_GAP = r"(?U:\s+)", "[^a-z0-9+#/]+"
 
 
-def _grouped_alternation(terms: Sequence[str]) -> str:
+def java_quote(term: str, gap: str = BLANK) -> str:
+    """A literal for a Java pattern, blanks matching any ``gap``."""
+    return gap.join(re.sub(r"([^A-Za-z0-9_ ])", r"\\\1", w) for w in term.split(" "))
+
+
+def _grouped_alternation(terms: Sequence[str], gap: str = BLANK) -> str:
     """``(?:a(?:b|c)|d...)``: one branch per first character, so that a position that
     cannot start any term is refused after one comparison."""
     by_head: dict[str, list[str]] = {}
@@ -112,12 +116,19 @@ def _grouped_alternation(terms: Sequence[str]) -> str:
         by_head.setdefault(term[0], []).append(term)
     branches = []
     for head, group in sorted(by_head.items()):
-        tails = "|".join(java_quote(t)[len(java_quote(head)):] for t in group)
+        tails = "|".join(java_quote(t, gap)[len(java_quote(head)):] for t in group)
         branches.append(f"{java_quote(head)}(?:{tails})")
     return "(?:" + "|".join(branches) + ")"
 
 
+def _cv_pattern(terms: Sequence[str]) -> str:
+    """Finds in lower-cased text what stands in it as :func:`cv_text`; a term with other signs never does."""
+    held = [t for t in terms if not re.search(CV_GAP, t.replace(" ", ""))]
+    return rf"(?<![a-z0-9+#]){_grouped_alternation(held, CV_GAP)}(?![a-z0-9+#])"
+
+
 SKILL_PATTERN = rf"(?<![a-z0-9+#]){_grouped_alternation(lex.SKILLS)}(?![a-z0-9+#])"
+CV_SKILL_PATTERN = _cv_pattern(lex.SKILLS)
 
 
 def constant_array(terms: Sequence[str]) -> Column:
@@ -130,14 +141,18 @@ def _bit_of(terms: Sequence[str], term: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), (position - 1).cast("int"))
 
 
-def skill_mask(lowered: Column) -> Column:
+def _one_blank(gap: str) -> Callable[[Column], Column]:
+    return collapse if gap == BLANK else lambda hit: F.regexp_replace(hit, gap, " ")
+
+
+def skill_mask(lowered: Column, pattern: str = SKILL_PATTERN, gap: str = BLANK) -> Column:
     """Skills present in lower-cased text as a 60-bit mask (bit = place in the lexicon).
 
     No skill is part of another at a word boundary, so one alternation finds them all.
     """
     hits = F.array_distinct(
         F.transform(
-            F.regexp_extract_all(lowered, F.lit(SKILL_PATTERN), F.lit(0)), collapse
+            F.regexp_extract_all(lowered, F.lit(pattern), F.lit(0)), _one_blank(gap)
         )
     )
     return F.aggregate(
@@ -155,17 +170,18 @@ def _implied_titles() -> dict[str, int]:
 
 
 TITLE_PATTERN = rf"(?<![a-z0-9+#]){_grouped_alternation(lex.TITLE_TERMS)}(?![a-z0-9+#])"
+CV_TITLE_PATTERN = _cv_pattern(lex.TITLE_TERMS)
 _IMPLIED = _implied_titles()
 
 
-def title_mask(lowered: Column) -> Column:
+def title_mask(lowered: Column, pattern: str = TITLE_PATTERN, gap: str = BLANK) -> Column:
     """Title terms present as a 22-bit mask.
 
     Terms nest but never overlap otherwise, so the longest hits are found by one pattern
     and each adds the terms inside it.
     """
     hits = F.array_distinct(
-        F.transform(F.regexp_extract_all(lowered, F.lit(TITLE_PATTERN), F.lit(0)), collapse)
+        F.transform(F.regexp_extract_all(lowered, F.lit(pattern), F.lit(0)), _one_blank(gap))
     )
     masks = F.split(F.lit(",".join(str(_IMPLIED[t]) for t in lex.TITLE_TERMS)), ",")
     return F.aggregate(
@@ -202,7 +218,17 @@ def mask_to_array(mask: Column, terms: Sequence[str]) -> Column:
 
 def cv_text(c: Column) -> Column:
     """The form CV terms are matched on: lower case, ``+ # /`` kept."""
-    return F.regexp_replace(F.lower(c), "[^a-z0-9+#/]+", " ")
+    return F.regexp_replace(F.lower(c), CV_GAP, " ")
+
+
+def cv_skill_mask(c: Column) -> Column:
+    """``skill_mask(cv_text(c))`` without writing that text."""
+    return skill_mask(F.lower(c), CV_SKILL_PATTERN, CV_GAP)
+
+
+def cv_title_mask(c: Column) -> Column:
+    """``title_mask(cv_text(c))`` without writing that text."""
+    return title_mask(F.lower(c), CV_TITLE_PATTERN, CV_GAP)
 
 
 # --- HTML ----------------------------------------------------------------------------------------

@@ -166,3 +166,18 @@ def test_years_after_a_no_break_space(spark):
     values = ["At least 5 years", "minimum 3 years", "nothing"]
     got = column(spark, lambda v: required_years(F.lit(""), v), values)
     assert got == [5.0, 3.0, None]
+
+
+def test_cv_terms_are_found_without_writing_the_text_anew(spark):
+    from talentmesh.functions import text as tx
+
+    signs = ["", " ", "\n", " ", ".", ",", "-", "/", "+", "#", "é", "_", "\U0001f600", "x", "--  ", "1"]
+    terms = [*lex.SKILLS, *lex.TITLE_TERMS]
+    rows = [(a + t.upper().replace(" ", b or " ") + c,) for t in terms for a in signs for b, c in zip(signs, signs[3:] + signs[:3])]
+    rows += [(f"{t}{s}{u}",) for t, u in zip(terms, terms[7:]) for s in signs] + [("",), (None,)]
+    raw = F.col("raw")
+    got = spark.createDataFrame(rows, "raw string").select(
+        "raw", tx.cv_skill_mask(raw).alias("s"), tx.skill_mask(tx.cv_text(raw)).alias("s_want"),
+        tx.cv_title_mask(raw).alias("t"), tx.title_mask(tx.cv_text(raw)).alias("t_want")).collect()
+    assert sum(bool(r.s) for r in got) > 1000
+    assert [r.raw for r in got if (r.s, r.t) != (r.s_want, r.t_want)] == []
