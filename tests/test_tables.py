@@ -4,7 +4,9 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from talentmesh.functions import scoring
 from talentmesh.operators import audit, dedupe, matching, ordering, review
 from talentmesh.plans import views
 from tests.test_rules import JOB, job
@@ -232,3 +234,20 @@ def test_vacancies_that_a_profile_cannot_tell_apart_meet_it_once(spark):
         for r in found:
             made[r.profile_id, r.score, r.shared] += r.n_jobs
     assert pooled == apart and len(rows[0]) < len(rows[1])
+
+
+def test_a_run_moves_features_and_no_texts(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(matching, "durable_cut", lambda df, cut=matching.durable_cut: (stored.append(set(df.columns)), cut(df))[1])
+    sf = "/root/testdata/sf0.001"
+    told = matching.run_summary(views.candidates(spark, sf), views.vacancies(spark, sf), views.NOW).collect()
+    assert all(r.complete for r in told) and any(r.related_jobs for r in told)
+    assert stored and not any(columns & {"title", "description", "text"} for columns in stored)
+
+
+def test_terms_of_a_kind_are_told_apart_by_number_only(spark):
+    masks = [0, 1, 0b1011, (1 << 60) - 1, scoring.HIGH_MASK, scoring.LOW_MASK, 1 << 59 | 1 << 30 | 1 << 7]
+    got = spark.createDataFrame([(m,) for m in masks], "m bigint").select("m", matching._as_many(F.col("m"), scoring.SKILL_KINDS).alias("n")).collect()
+    for m, n in got:
+        assert [bin(m & k).count("1") for k in scoring.SKILL_KINDS] == [bin(n & k).count("1") for k in scoring.SKILL_KINDS]
+        assert bin(m & (1 << 60) - 1).count("1") == bin(n).count("1")
