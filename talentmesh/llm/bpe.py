@@ -32,12 +32,15 @@ IDS = 1 << 16
 SLOTS = 99_991
 #: Words with more bytes are merged by a heap, since folding takes the square of the length.
 FOLD_BYTES = 256
+#: Tasks of short words to one of long ones.
+LONG_SHARE = 4
 #: Uses from which on a word is numbered by its count.
 COMMON = 8
 #: Characters of text whose words are numbered together.
 BLOCK_CHARS = 48 << 20
 
 
+@functools.lru_cache(maxsize=2)
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, filter(bytes.strip, f))}
@@ -206,12 +209,12 @@ def _blocks(docs: DataFrame, pattern: str) -> DataFrame:
             )
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = find(text.as_py())
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = find(text)
                 ids.append(doc_id)
                 sizes.append(len(words))
                 numbers.append(np.fromiter(map(known.__getitem__, words), dtype=np.uint32, count=len(words)))
-                chars += sum(map(len, words))
+                chars += len(text)
                 if chars > BLOCK_CHARS:
                     yield full()
                     ids, sizes, numbers, known, chars = [], [], [], _Numbers(), 0
@@ -248,16 +251,18 @@ def _with_ids(uses: DataFrame, ranks_path: str) -> DataFrame:
     of_word = Window.partitionBy("word").orderBy("block")
     first = uses.where(short).withColumn("nth", F.row_number().over(of_word))
     coded = first.withColumn("coded", F.when(F.col("nth") == 1, short_integers(encoded(F.col("word"), table))))
-    upto = Window.partitionBy("word").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = of_word.rowsBetween(Window.unboundedPreceding, Window.currentRow)  # the same order: nothing is sorted again
     folded = coded.select("block", "n", F.first("coded").over(upto).alias("ids"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = read_ranks(ranks_path)
         for batch in batches:
+            known = read_ranks(ranks_path)
             ids = [np.array(merge_long(w.encode(), known), dtype="<u2").tobytes() for w in batch.column("word").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("n"), pa.array(ids, pa.binary())], ["block", "n", "ids"])
 
-    return folded.union(uses.where(~short).mapInArrow(tidy(merge), "block long, n int, ids binary"))
+    # Every task of the stage is sent the ranks, so the rare long words share a few.
+    long = uses.where(~short).coalesce(max(1, shuffle_partitions(uses.sparkSession) // LONG_SHARE))
+    return folded.union(long.mapInArrow(tidy(merge), "block long, n int, ids binary"))
 
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -289,7 +294,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             for doc_id, size in zip(row["docs"], row["sizes"], strict=True):
                 words = numbers[first : first + size].tolist()
                 first += size
-                coded = np.frombuffer(b"".join([ids[n] for n in words]), dtype="<u2").astype("<u4")
+                coded = np.frombuffer(b"".join(map(ids.__getitem__, words)), dtype="<u2").astype("<u4")
                 text = decoded(coded, pieces)
                 out.append((doc_id, len(coded), hashlib.sha256(coded.tobytes()).hexdigest(), hashlib.sha256(text).hexdigest()))
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())

@@ -294,3 +294,14 @@ def test_written_shards(spark, tmp_path):
     sharding.write_shards(cases.documents(spark, ROWS).select("doc_id", "text"), f"{tmp_path}/out", rows_per_file=5)
     back = spark.read.parquet(f"{tmp_path}/out")
     assert back.count() == len(ROWS) and set(back.columns) == {"doc_id", "text", "slot", "shard"}
+
+
+def test_words_are_sorted_once_and_long_ones_come_along(spark):
+    import tiktoken
+
+    words = spark.createDataFrame([(b, n, w) for b in (7, 3, 5) for n, w in enumerate(["tree", "ab" * 200, "Baum", "x" * 999])], "block long, n int, word string")
+    done = bpe._with_ids(words, RANKS)
+    assert done._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    got = {(r.block, r.n): np.frombuffer(r.ids, dtype="<u2").tolist() for r in done.collect()}
+    assert got == {(r.block, r.n): coder.encode_ordinary(r.word) for r in words.collect()}
