@@ -304,3 +304,21 @@ def test_pairs_are_ranked_where_they_meet_and_never_moved(spark, monkeypatch):
             assert "hashpartitioning(cell" in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_snapshots_of_many_tasks_are_dealt_over_partitions(spark, monkeypatch):
+    monkeypatch.setattr(inventory, "TASKS_TOGETHER", 3)
+    monkeypatch.setattr(inventory, "ROWS_TOGETHER", 4)
+    tasks = spark.createDataFrame([(str(i), "Sri Lanka" if i % 4 else None if i % 8 else "Malta") for i in range(200)] + [("7", "Sri Lanka")],
+                                  "task_id string, country string")
+    stock = sightings(spark, [("s", f"{i:02}", "a", i // 2, i) for i in range(30)]).withColumn("last_seen_at", F.col("seen_at"))
+    place = F.when(F.col("source_job_id") < "25", "Sri Lanka").otherwise("Malta").alias("country")
+    stock = stock.select(place, "source", "source_job_id", "last_seen_at")
+    done = inventory.task_snapshots(tasks, stock, tasks.where("task_id IN ('5', '6')"))
+    got = done.withColumn("part", F.spark_partition_id()).collect()
+    order = sorted(range(30), key=lambda i: (-(i // 2), i))
+    lists = {"Sri Lanka": [i for i in order if i < 25], "Malta": [i for i in order if i >= 25]}
+    asked = [(r.task_id, r.country) for r in tasks.collect() if r.country and r.task_id not in ("5", "6")]
+    wanted = [(t, n, f"{i:02}") for t, country in asked for n, i in enumerate(lists[country])]
+    assert sorted((r.task_id, r.snapshot_order, r.source_job_id) for r in got) == sorted(wanted)
+    assert len({r.part for r in got}) > 1
