@@ -8,8 +8,8 @@ down, by content only, to what can still be in doubt:
    and a run's bytes are its context. Runs are counted by (anchor, hash of the context).
 2. A context that occurs twice settles its run. Contexts that differ under one anchor are cut
    into slices of SLICE starts; all strings of a slice share a core, which joins the key.
-3. Slices that differ under one core are sorted by suffix, the core as one symbol: neighbours
-   in suffix order that agree over a whole string are repeats.
+3. Slices that differ under one core and share what lies next to it are sorted by suffix, the
+   core as one symbol: neighbours in suffix order that agree over a whole string are repeats.
 
 No step looks at more than one anchor's distinct contexts together, and where one core has
 more than CROWD different slices they are split further, start by start.
@@ -23,6 +23,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -44,6 +45,8 @@ PASSAGE_GRAM = 8
 #: Starts of a slice; at most as many as an integer has bits, and fewer than the length.
 SLICE = 32
 PASSAGE_SLICE = 32
+#: Parts of a slice's starts that are ruled out together.
+PARTS = 4
 #: Rows that a task gathers before it hands them on.
 HANDED_ON = 1 << 14
 #: Different slices of one core that are sorted together, and symbols sorted at a time.
@@ -137,7 +140,7 @@ def anchor_runs(text: bytes, of: Measure = BYTES) -> Iterator[tuple[int, int, in
 def _contexts(raw: bytes, p: np.ndarray, lo: np.ndarray, hi: np.ndarray, of: Measure) -> list[bytes]:
     """A 128-bit hash of each run's symbols and of where its anchor lies in them."""
     spans = zip((lo * of.width).tolist(), ((hi + of.length) * of.width).tolist(), (p - lo).tolist(), strict=True)
-    return [hashlib.md5(raw[a:b] + at.to_bytes(4, "little")).digest() for a, b, at in spans]
+    return [xxhash.xxh3_128_digest(raw[a:b], at) for a, b, at in spans]
 
 
 def _runs(docs: DataFrame, of: Measure) -> DataFrame:
@@ -187,10 +190,9 @@ def _slices(of: Measure) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                     for s in range((p - hi) // of.slice, (p - lo) // of.slice + 1):
                         at = p - of.slice * s
                         first, last = max(lo, at - of.slice + 1), min(hi, at)
-                        key = hashlib.md5(part(at, at + core_length))
-                        key.update(spot["anchor"].to_bytes(8, "little", signed=True) + s.to_bytes(4, "little"))
+                        key = xxhash.xxh3_128_digest(part(at, at + core_length) + spot["anchor"].to_bytes(8, "little", signed=True), s)
                         left, right = part(first, at), part(at + core_length, last + of.length)
-                        out.append((key.digest(), left, right, doc_id, mark, at, spot["n"]))
+                        out.append((key, left, right, doc_id, mark, at, spot["n"]))
                     if len(out) >= HANDED_ON:
                         yield _slice_batch(out)
                         out = []
@@ -244,6 +246,32 @@ def repeats_among(strings: list[tuple[bytes, bytes]], groups: list[int], of: Mea
     return masks.tolist()
 
 
+def in_doubt(keys: list[bytes], strings: list[tuple[bytes, bytes]], of: Measure = BYTES) -> list[tuple[int, tuple[bytes, bytes]]]:
+    """Slices with a start that may be repeated under their core: their numbers and what of them is in doubt.
+
+    The starts are looked at in PARTS parts. All strings of a part share the symbols next to the
+    core; where no other slice of the core has these, no string of the part is repeated.
+    """
+    step = of.slice // PARTS
+    parts: list[list[int]] = [[] for _ in strings]
+    for part in range(PARTS):
+        ahead, behind = part * step * of.width, (of.slice - (part + 1) * step) * of.width
+        near = [
+            (key, before[len(before) - ahead :], after[:behind]) if len(before) >= ahead and len(after) >= behind else None
+            for key, (before, after) in zip(keys, strings, strict=True)
+        ]
+        uses = Counter(near)
+        for own, shared in zip(parts, near, strict=True):
+            if shared is not None and uses[shared] > 1:
+                own.append(part)
+    out = []
+    for i, (own, (before, after)) in enumerate(zip(parts, strings, strict=True)):
+        if own:
+            most = ((own[-1] + 1) * step - 1) * of.width
+            out.append((i, (before[max(0, len(before) - most) :], after[: (of.slice - 1 - own[0] * step) * of.width])))
+    return out
+
+
 def _sorted_repeats(of: Measure) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (key, before, after) sorted by key -> the same with ``bits``, keys kept whole."""
 
@@ -253,11 +281,13 @@ def _sorted_repeats(of: Measure) -> Callable[[Iterator[pa.RecordBatch]], Iterato
         size = 0
 
         def solved() -> pa.RecordBatch:
-            groups = np.cumsum([0, *(a != b for a, b in zip(keys, keys[1:], strict=False))]).tolist()
-            bits = repeats_among(strings, groups, of)
+            doubt = in_doubt(keys, strings, of)
+            own = [keys[i] for i, _ in doubt]
+            groups = np.cumsum([0, *(a != b for a, b in zip(own, own[1:], strict=False))]).tolist()
+            bits = repeats_among([s for _, s in doubt], groups, of) if doubt else []
             return pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.binary()), pa.array([s[0] for s in strings], pa.binary()),
-                 pa.array([s[1] for s in strings], pa.binary()), pa.array(bits, pa.int64())],
+                [pa.array(own, pa.binary()), pa.array([strings[i][0] for i, _ in doubt], pa.binary()),
+                 pa.array([strings[i][1] for i, _ in doubt], pa.binary()), pa.array(bits, pa.int64())],
                 ["key", "before", "after", "bits"],
             )
 
@@ -314,17 +344,20 @@ def repeated_ranges(docs: DataFrame, of: Measure = BYTES) -> DataFrame:
     ``spans`` are (lo, hi, bits): all starts from lo to hi if bits is null, else lo - b for each
     set bit b, where hi - 32 + 1 <= lo - b <= hi is what the slice held.
     """
-    runs = stable(_runs(docs.select("doc_id", "mark", "text"), of), "runs")
-    spot = F.struct("doc_id", "mark", "p", "lo", "hi")
-    kinds = runs.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(spot).alias("spot"))
+    # A run is named by one number, so counting moves narrow rows and hashes them instead of sorting them.
+    runs = stable(_runs(docs.select("doc_id", "mark", "text"), of).withColumn("run", F.monotonically_increasing_id()), "runs")
+    kinds = runs.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min("run").alias("first"))
     by_anchor = Window.partitionBy("anchor")
     kinds = kinds.withColumn("kinds", F.count("*").over(by_anchor)).where("kinds > 1 OR n > 1")
-    kinds = stable(kinds.select("anchor", "context", "n", "kinds", "spot.*"), "contexts")
+    kinds = kinds.select("anchor", "context", "n", F.when(F.col("kinds") > 1, F.col("first")).alias("first"))
+    kinds = stable(kinds, "contexts")
 
-    copied = runs.join(kinds.where("n > 1").select("anchor", "context").hint("shuffle_merge"), ["anchor", "context"], "left_semi")
-    whole = copied.select("doc_id", "mark", F.struct("lo", "hi", F.lit(None).cast("long").alias("bits")).alias("span"))
+    known = runs.join(kinds.hint("shuffle_merge"), ["anchor", "context"])
+    known = known.select("doc_id", "mark", "p", "lo", "hi", "anchor", "n", F.col("run").eqNullSafe(F.col("first")).alias("leads"))
+    known = stable(known.where("n > 1 OR leads"), "known-runs")
+    whole = known.where("n > 1").select("doc_id", "mark", F.struct("lo", "hi", F.lit(None).cast("long").alias("bits")).alias("span"))
 
-    spots = kinds.where("kinds > 1").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("anchor", "p", "lo", "hi", "n")).alias("spots"))
+    spots = known.where("leads").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("anchor", "p", "lo", "hi", "n")).alias("spots"))
     spots = stable(spots, "spots")
     texts = docs.where(maybe_among(spots.select("mark"), "mark"))
     cut = texts.join(spots, texts["doc_id"].eqNullSafe(spots["doc_id"]) & (texts["mark"] == spots["mark"]))

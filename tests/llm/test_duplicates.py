@@ -218,3 +218,40 @@ def test_long_documents_are_looked_at_in_stretches(monkeypatch):
 )
 def test_empty_tables(spark, operator):
     assert operator(cases.no_documents(spark)).collect() == []
+
+
+@pytest.mark.parametrize("of", [suffixdedup.BYTES, suffixdedup.WORDS], ids=["bytes", "words"])
+def test_only_slices_in_doubt_are_sorted(of):
+    rng = random.Random(5)
+    side = lambda pool: b"".join(rng.choice(pool) for _ in range(rng.randrange(of.slice)))
+    pool = [bytes([c]) * of.width for c in (97, 98)]
+    kinds = {}
+    for k in range(40):
+        before, after = side(pool[:1]) + side(pool)[:2 * of.width], side(pool[:1])
+        before = before[max(0, len(before) - (of.slice - 1) * of.width) :]
+        if len(before) + len(after) >= (of.slice - 1) * of.width:
+            kinds[bytes([k % 5]), before, after] = None
+    keys, strings = [k for k, *_ in sorted(kinds)], [(b, a) for _, b, a in sorted(kinds)]
+    w, text = of.width, lambda s, b: (s[0][len(s[0]) - b * of.width :], s[1][: (of.slice - 1 - b) * of.width])
+    uses = Counter((k, b, text(s, b)) for k, s in zip(keys, strings, strict=True) for b in suffixdedup.starts_of(*s, of))
+    want = [sum(1 << b for b in suffixdedup.starts_of(*s, of) if uses[k, b, text(s, b)] > 1) for k, s in zip(keys, strings, strict=True)]
+    doubt = suffixdedup.in_doubt(keys, strings, of)
+    own = [keys[i] for i, _ in doubt]
+    bits = suffixdedup.repeats_among([s for _, s in doubt], [ord(k) for k in own], of)
+    got = dict(zip([i for i, _ in doubt], bits, strict=True))
+    assert any(want) and [got.get(i, 0) for i in range(len(keys))] == want
+    lone = [(b"x" * (w * 31), b"y" * (w * 31)), (b"z" * (w * 31), b"v" * (w * 31))]
+    assert suffixdedup.in_doubt([b"k", b"k"], lone, of) == [] and suffixdedup.in_doubt([b"k", b"q"], lone[:1] * 2, of) == []
+
+
+def test_contexts_are_counted_without_sorting(spark, monkeypatch):
+    plans = {}
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stable(df, name)
+
+    stable = suffixdedup.stable
+    monkeypatch.setattr(suffixdedup, "stable", kept)
+    suffixdedup.repeated_ranges(cases.documents(spark, repeat_rows()).withColumn("mark", F.lit(0).cast("long")).na.fill(""))
+    assert "HashAggregate" in plans["contexts"] and "SortAggregate" not in plans["contexts"]
