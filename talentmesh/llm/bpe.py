@@ -15,6 +15,7 @@ import hashlib
 import heapq
 import json
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,9 +65,15 @@ class RankMap:
                     key = left * IDS + right + IDS
                     slots[key % SLOTS] += [key, rank]
         self.slots = F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), "array<array<bigint>>")
-        self.bytes = F.array(*[F.lit(ranks.get(bytes([b]))).cast("bigint") for b in range(256)])
+        by_place = sorted(range(256), key=lambda b: zlib.crc32(bytes([b])) >> 24)
+        self.bytes = F.array(*[F.lit(ranks.get(bytes([b]))).cast("bigint") for b in by_place])
         self.alone = {piece.hex().upper(): rank for piece, rank in ranks.items() if merge_long(piece, ranks, whole=False) != [rank]}
 
+    @staticmethod
+    def place(byte: Column) -> Column:
+        """Where a byte's id lies: the highest byte of a checksum of one byte is different for all 256."""
+        return F.shiftright(F.crc32(byte), 24).cast("int")
+
     @staticmethod
     def rank(slots: Column, left: Column, right: Column) -> Column:
         """Id of two pieces together; null if they are none."""
@@ -107,9 +114,9 @@ def _merge_lowest(slots: Column, state: Column) -> Column:
 def encoded(word: Column, table: RankMap) -> Column:
     """Array of ids of a word, by folding ranked merges over its bytes; a word that is a piece is one id."""
 
-    def ids(slots: Column, bytes_: Column, name: Column) -> Column:
-        size = (F.length(name) / 2).cast("int")
-        byte = lambda i: F.conv(F.substring(name, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    def ids(slots: Column, bytes_: Column, raw: Column) -> Column:
+        size = F.octet_length(raw)
+        byte = lambda i: RankMap.place(F.substring(raw, i + 1, F.lit(1)))
         edge = F.array(F.lit(EDGE).cast("bigint"))
 
         def folded(first: Column) -> Column:
@@ -122,16 +129,17 @@ def encoded(word: Column, table: RankMap) -> Column:
         if not table.alone:
             return merged
         alone = F.create_map(*[F.lit(x) for pair in table.alone.items() for x in pair])
-        return let(F.try_element_at(alone, name), lambda whole: F.when(
+        return let(F.try_element_at(alone, F.hex(raw)), lambda whole: F.when(
             whole.isNotNull(), F.array(whole.cast("bigint"))).otherwise(merged))
 
     return let(table.slots, lambda slots: let(table.bytes, lambda bytes_: let(
-        F.hex(word.cast("binary")), lambda name: ids(slots, bytes_, name))))
+        word.cast("binary"), lambda raw: ids(slots, bytes_, raw))))
 
 
 def short_integers(ids: Column) -> Column:
     """Ids as unsigned 16-bit integers, lowest byte first."""
-    two = F.transform(ids, lambda i: let(F.lpad(F.hex(i), 4, "0"), lambda h: F.concat(F.substring(h, 3, 2), F.substring(h, 1, 2))))
+    swapped = lambda i: F.shiftleft(i.bitwiseAND(255), 8) + F.shiftright(i, 8) + IDS
+    two = F.transform(ids, lambda i: F.substring(F.hex(swapped(i)), 2, 4))  # the digits after a leading 1
     return F.unhex(F.array_join(two, ""))
 
 

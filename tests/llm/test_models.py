@@ -305,3 +305,16 @@ def test_words_are_sorted_once_and_long_ones_come_along(spark):
     coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
     got = {(r.block, r.n): np.frombuffer(r.ids, dtype="<u2").tolist() for r in done.collect()}
     assert got == {(r.block, r.n): coder.encode_ordinary(r.word) for r in words.collect()}
+
+
+def test_fold_reads_bytes_without_digits(spark):
+    ranks = bpe.read_ranks(RANKS)
+    words = ["", *map(chr, range(1, 400)), *(chr(c) * 2 for c in (0x7FF, 0x800, 0x65E5, 0x1F600, 0x10FFFF)), " tree", "\u00e9\u00df\u65e5"]
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    done = df.select("word", bpe.short_integers(bpe.encoded(F.col("word"), bpe.RankMap(ranks))).alias("ids")).where("word <> ''")
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert "conv(" not in plan and "lpad(" not in plan
+    want = {w: np.array(bpe.merge_long(w.encode(), ranks), dtype="<u2").tobytes() for w in words if w}
+    assert {r.word: bytes(r.ids) for r in done.collect()} == want
+    ends = spark.range(1).select(bpe.short_integers(F.array(*[F.lit(i).cast("bigint") for i in (0, 1, 255, 256, 65535)])).alias("ids"))
+    assert bytes(ends.first().ids) == np.array([0, 1, 255, 256, 65535], dtype="<u2").tobytes()
