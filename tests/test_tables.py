@@ -251,3 +251,23 @@ def test_terms_of_a_kind_are_told_apart_by_number_only(spark):
     for m, n in got:
         assert [bin(m & k).count("1") for k in scoring.SKILL_KINDS] == [bin(n & k).count("1") for k in scoring.SKILL_KINDS]
         assert bin(m & (1 << 60) - 1).count("1") == bin(n).count("1")
+
+
+def _bytes_kept(spark):
+    import os
+
+    from talentmesh.session import shared_folder
+
+    top = shared_folder(spark).removeprefix("file://")
+    return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(top) for f in files)
+
+
+def test_unique_vacancies_keep_hashes_on_disk_and_no_texts(spark):
+    words = lambda seq: " ".join(f"{random.Random(f'{seq} {i}').getrandbits(48):012x}" for i in range(400))
+    rows = [job(seq, title="Cook", description=words(seq // 2) + " more" * (seq % 2), source=f"s{seq % 7}",
+                url=f"https://a.test/{seq // 4}-{seq % 4 == 3}") for seq in range(300)]
+    before = _bytes_kept(spark)
+    got = dedupe.unique_vacancies(spark.createDataFrame(rows, JOB)).collect()
+    assert sorted((r.seq, r.source) for r in got) == sorted(
+        (seq, f"s{(seq + (seq % 4 == 0)) % 7}") for seq in range(300) if seq % 4 in (0, 3))
+    assert _bytes_kept(spark) - before < sum(len(r[8]) for r in rows) / 2
