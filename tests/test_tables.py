@@ -286,3 +286,13 @@ def test_components_need_no_more_links_than_nodes(spark, monkeypatch):
     want = _components(rows)
     got = {r.seq: r.leader for r in dedupe.near_duplicates(df).collect()}
     assert got == want and linked.count() == len(want) + len(set(want.values()))
+
+
+def test_copies_taken_in_order_keep_hashes_on_disk_and_no_texts(spark):
+    words = lambda seq: " ".join(f"{random.Random(f'{seq} {i}').getrandbits(48):012x}" for i in range(600))
+    rows = [job(seq, title="Cook", description=words(seq // 2) + " more" * (seq % 2), source=f"s{seq % 7}",
+                url=f"https://a.test/{seq}") for seq in range(200)]
+    before = _bytes_kept(spark)
+    got = dedupe.unique_vacancies(spark.createDataFrame(rows, JOB), in_order=True).collect()
+    assert sorted((r.seq, r.source) for r in got) == [(seq, f"s{(seq + 1) % 7}") for seq in range(0, 200, 2)]
+    assert _bytes_kept(spark) - before < sum(len(r[8]) for r in rows) / 2
